@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinflow.llm.lattice_dedup import near_duplicates
+from skeinflow.llm.packing import pack
 from skeinflow.llm.vertical_join import jaccard_components
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, k=3, percent=90)
@@ -20,6 +32,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_lattice_dedup": op1_lattice_dedup,
+        "op6_packing": op6_packing,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
