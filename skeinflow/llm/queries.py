@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skeinflow.llm.arc_convert import pages_round_trip
 from skeinflow.llm.lattice_dedup import near_duplicates
 from skeinflow.llm.packing import pack
+from skeinflow.llm.secrets import find_secrets
 from skeinflow.llm.vertical_join import jaccard_components
 
 
@@ -19,11 +22,31 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("guess"),
+    )
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, k=3, percent=90)
@@ -32,7 +55,9 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_lattice_dedup": op1_lattice_dedup,
+        "op3_secret_scan": op3_secret_scan,
         "op6_packing": op6_packing,
+        "op7_arc_to_warc": op7_arc_to_warc,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
