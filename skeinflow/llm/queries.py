@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.arc_convert import pages_round_trip
+from skeinflow.llm.language_id import fit, identify
 from skeinflow.llm.lattice_dedup import near_duplicates
+from skeinflow.llm.kd_search import nearest
 from skeinflow.llm.packing import pack
+from skeinflow.llm.quality import quality
 from skeinflow.llm.secrets import find_secrets
 from skeinflow.llm.vertical_join import jaccard_components
 
@@ -22,6 +25,14 @@ def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)")
+    model = fit(docs.where(~held_out))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["kind"] != "guess")
@@ -38,6 +49,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality(docs, labels, fold="crc32(cast(doc_id as string)) % 4 = 2")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, tokenizer_file("byte_bpe_50k.json"), keep_ids=False)
@@ -55,7 +76,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_lattice_dedup": op1_lattice_dedup,
+        "op2_language_id": op2_language_id,
         "op3_secret_scan": op3_secret_scan,
+        "op4_kd_search": op4_kd_search,
+        "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op7_arc_to_warc": op7_arc_to_warc,
         "op10_ngram_jaccard": op10_ngram_jaccard,

@@ -228,3 +228,14 @@ def spread(feats: DataFrame, grouped: DataFrame) -> DataFrame:
         marked.where("large").join(hot, keys, "left").select("id", "n", comp)
         .union(marked.where("large is null").join(grouped, keys, "left").select("id", "n", comp))
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+
+    Rows without an id stay.  A smallest id that is on several rows keeps all of
+    them.
+    """
+    found = Scratch(docs.sparkSession, "kept").put(jaccard_components(docs, id_col, text_col, k, percent), "components")
+    gone = found.where(F.col("component_id") <> F.col(id_col)).select(F.col(id_col).alias("_gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
