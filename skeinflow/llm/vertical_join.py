@@ -237,5 +237,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     them.
     """
     found = Scratch(docs.sparkSession, "kept").put(jaccard_components(docs, id_col, text_col, k, percent), "components")
-    gone = found.where(F.col("component_id") <> F.col(id_col)).select(F.col(id_col).alias("_gone"))
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
