@@ -94,7 +94,7 @@ def guess_bits(value: str) -> float:
             same[i] = same[i - 1] + 1
         if _near(low[i - 1], low[i]):
             walk[i] = walk[i - 1] + 1
-            step = (ord(low[i]) - ord(low[i - 1]), _AT[low[i]][1] - _AT[low[i - 1]][1])
+            step = (_AT[low[i]][0] - _AT[low[i - 1]][0], _AT[low[i]][1] - _AT[low[i - 1]][1])
             turns[i] = turns[i - 1] + (walk[i] == 2 or step != last)
             last = step
     dates: dict[int, list[int]] = {}
