@@ -9,16 +9,21 @@ least ``m - d`` segments are equal on both sides, so equal (fragment, segment)
 signatures find every such pair; no frequency cut or bucket cap is needed.
 ``m`` depends on the size of the smaller set (classes that grow by half), and a
 set whose partner may be in the class below signs for that class too.  Empty
-segments are signed only by the few sets with more than ``spare`` empty ones,
-which keeps the guarantee: m = d + 1 + spare.
+segments are not signed: a set with ``e`` of them shares at least ``m - d - e``
+signed ones with each partner, its need.  Where that is below one, the set of
+its empty fragments is one more signature.
 
 *Counting.*  For candidate pairs, the overlap of each of ``FRAGMENTS`` coarser
 fragments is counted separately and summed per pair.
 
 *Connectivity.*  Sets that are equal are one class from the start.  Within a
 bucket of equal signatures, members are first held against one hub, and only
-where a bucket then still spans several components against a second hub, and at
-last every pair across components.  No pair within a component is made, so a
+where a bucket then still spans several components against a second hub.  Buckets
+that are open even then mostly hold texts that share a passage and little else.
+There a set with fewer open signatures than its need is out, and of the others
+all but the ``need - 1`` most frequent signatures are enough (the prefix filter);
+within what is left, every pair across components that the sizes allow is made.
+No pair within a component is made, so a
 group of n near copies costs about n comparisons, not n*n/2; and no link between
 different components is missed.
 """
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import mix, shingles
@@ -42,7 +47,7 @@ _U = np.uint64
 
 
 def classes(percent: int, limit: int = 1 << 32) -> list[tuple[int, int, int, int]]:
-    """(smallest, end, fragments, spare) of the size classes of the smaller set.
+    """(smallest, end, fragments, fragments that may differ) of the size classes of the smaller set.
 
     Below the first class, only equal sets reach the similarity.
     """
@@ -54,38 +59,40 @@ def classes(percent: int, limit: int = 1 << 32) -> list[tuple[int, int, int, int
         end = max(low + 1, low * 3 // 2)
         both = (end - 1) + (end - 1) * 100 // percent
         differ = both * (100 - percent) // (100 + percent)
-        spare = 1 + differ // 32
-        out.append((low, end, differ + 1 + spare, spare))
+        out.append((low, end, differ + 2 + differ // 3, differ))
         low = end
     return out
 
 
-def signatures(sets: Iterator[np.ndarray], percent: int) -> Iterator[np.ndarray]:
-    """For each sorted set of hashes: its segment signatures, for its own class and maybe the one below."""
+def signatures(sets: Iterator[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """For each sorted set of hashes: its segment signatures, for its own class and maybe the one below, and its needs.
+
+    The lowest bit of a signature is its class's parity; needs are given by parity.
+    """
     table = classes(percent)
     lows = np.array([c[0] for c in table])
-    none = np.zeros(0, np.int64)
     for s in sets:
         n = len(s)
         own = int(np.searchsorted(lows, n, "right")) - 1
-        if own < 0:
-            yield none
-            continue
-        use = [own]
-        if own and n <= (lows[own] - 1) * 100 // percent:
+        out, needs = [np.zeros(0, _U)], [1, 1]
+        use = [] if own < 0 else [own]
+        if own > 0 and n <= (lows[own] - 1) * 100 // percent:
             use.append(own - 1)
-        out = []
         top, mixed = s >> _U(32), mix(s)
         for c in use:
-            _, _, m, spare = table[c]
+            _, _, m, differ = table[c]
             frag = (top * _U(m)) >> _U(32)
             at = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1])))
             where, size = frag[at], np.diff(np.append(at, n)).astype(_U)
             tag = _U((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix(np.add.reduceat(mixed, at) + mix(where + tag) + size))
-            if m - len(at) > spare:
-                out.append(mix(mix(np.setdiff1d(np.arange(m, dtype=_U), where) + tag) + _U(0xA5A5A5A5)))
-        yield np.concatenate(out).view(np.int64)
+            sigs = mix(np.add.reduceat(mixed, at) + mix(where + tag) + size)
+            needs[c & 1] = len(at) - differ
+            if len(at) <= differ:
+                empty = mix(np.setdiff1d(np.arange(m, dtype=_U), where) + tag).sum(dtype=_U)
+                sigs = np.append(sigs, mix(np.array([empty + _U(0xA5A5A5A5)], _U)))
+                needs[c & 1] = 1
+            out.append(sigs & ~_U(1) | _U(c & 1))
+        yield np.concatenate(out).view(np.int64), needs
 
 
 def _features(percent: int, k: int):
@@ -94,7 +101,8 @@ def _features(percent: int, k: int):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = list(shingles(part.column(1), k))
-                sigs = list(signatures(iter(sets), percent))
+                signed = list(signatures(iter(sets), percent))
+                sigs = [x[0] for x in signed]
                 off = np.zeros(len(sigs) + 1, np.int32)
                 np.cumsum([len(x) for x in sigs], out=off[1:])
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
@@ -106,8 +114,9 @@ def _features(percent: int, k: int):
                         pa.array(np.array([p[0] for p in prints], _U).view(np.int64)),
                         pa.array(np.array([p[1] for p in prints], _U).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                        pa.array([x[1] for x in signed], pa.list_(pa.int32())),
                     ],
-                    names=["id", "n", "p1", "p2", "sigs"],
+                    names=["id", "n", "p1", "p2", "sigs", "needs"],
                 )
 
     return run
@@ -164,14 +173,14 @@ def jaccard_components(
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = scratch.put(
-        texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>"), "features"
+        texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>, needs array<int>"), "features"
     )
     twins = feats.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
     reps = scratch.put(twins, "classes")
     sized = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")).where("id is not null")
-    signed = feats.where("size(sigs) > 0").join(sized.select("id"), "id", "left_semi").select("id", F.explode("sigs").alias("sig"))
+    signed = feats.where("size(sigs) > 0").join(sized.select("id"), "id", "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sig", "hub")
-    buckets = scratch.put(signed.join(shared, "sig").select("sig", "id", "hub").distinct(), "buckets")
+    buckets = scratch.put(signed.join(shared, "sig").select("sig", "id", "n", "hub").distinct(), "buckets")
     wanted = buckets.select("id").distinct()
     segments = scratch.put(
         texts.join(wanted, "id", "left_semi").mapInArrow(_segments(k), "id long, frag int, seg array<long>"), "segments"
@@ -186,7 +195,7 @@ def jaccard_components(
     label = components(links, scratch)
     for round_ in range(1, HUB_ROUNDS + 1):
         named = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-            "sig", "id", "hub", F.coalesce("component", "id").alias("component")
+            "sig", "id", "n", "hub", F.coalesce("component", "id").alias("component")
         )
         rest = named.where("id <> hub")
         split = rest.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
@@ -197,8 +206,17 @@ def jaccard_components(
             hubs = open_.groupBy("sig").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id")).alias("h"))
             pairs = open_.join(hubs, "sig").where("component <> h.component").select(F.col("h.id").alias("x"), F.col("id").alias("y"))
         else:
-            one, two = (open_.select("sig", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "xy")
-            pairs = one.join(two, "sig").where("x < y and c_x <> c_y").select("x", "y")
+            often = open_.groupBy("sig").agg(F.count("*").alias("often"))
+            needs = feats.where("size(sigs) > 0").select("id", "needs").dropDuplicates(["id"])
+            parity = F.col("sig").bitwiseAND(1)
+            rarest = Window.partitionBy("id", parity).orderBy("often", "sig")
+            placed = open_.join(often, "sig").withColumns({"place": F.row_number().over(rarest), "of": F.count("*").over(Window.partitionBy("id", parity))})
+            need = F.element_at("needs", (parity + 1).cast("int"))
+            prefix = placed.join(needs, "id").where(F.col("place") <= F.col("of") - need + 1).select("sig", "id", "n", "component")
+            prefix = scratch.put(prefix, "prefix")
+            x, y = (prefix.select("sig", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
+            near = f"x < y and c_x <> c_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
+            pairs = x.join(y, "sig").where(near).select("x", "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         more = verify(pairs, f"links{round_}")
         links = links.union(more)
