@@ -10,8 +10,10 @@ from skeinflow.llm.language_id import fit, identify
 from skeinflow.llm.lattice_dedup import near_duplicates
 from skeinflow.llm.kd_search import nearest
 from skeinflow.llm.packing import pack
+from skeinflow.llm.piece_transducer import round_trip
 from skeinflow.llm.quality import quality
 from skeinflow.llm.secrets import find_secrets
+from skeinflow.llm.tool_links import link, quoted
 from skeinflow.llm.vertical_join import jaccard_components
 
 
@@ -68,6 +70,29 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn that is no assistant's is a call of a tool named after its role, answered by the assistant turn that follows it."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    asked = F.coalesce(F.col("role"), F.lit("none")) != "assistant"
+    call = F.concat(F.lit("call-"), F.col("turn").cast("string"))
+    calls = turns.where(asked).select(
+        "conv_id", "turn", call.alias("call_id"), F.col("role").alias("tool"),
+        F.create_map(F.lit("text"), quoted("text"), F.lit("chars"), F.coalesce(F.length("text"), F.lit(0)).cast("string")).alias("arguments"),
+        F.when(F.col("role") == "user", F.array(F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")))).alias("after"),
+    )
+    results = turns.where(~asked).select("conv_id", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(
+        [("user", ["text"], {"text": "string", "chars": "integer"}), ("system", ["text"], {"text": "string", "chars": "integer"})],
+        "tool string, required array<string>, types map<string,string>",
+    )
+    return link(calls, results, schemas)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, k=3, percent=90)
@@ -82,6 +107,8 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op7_arc_to_warc": op7_arc_to_warc,
+        "op8_piece_transducer": op8_piece_transducer,
+        "op9_tool_links": op9_tool_links,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
