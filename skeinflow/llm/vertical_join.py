@@ -13,6 +13,11 @@ segments are not signed: a set with ``e`` of them shares at least ``m - d - e``
 signed ones with each partner, its need.  Where that is below one, the set of
 its empty fragments is one more signature.
 
+*Sketches.*  Bit b of a set's sketch is the parity of its n-grams that fall on b,
+so two sketches differ in at most as many bits as the sets in n-grams.  Pairs
+whose sketches differ in more than the similarity allows are no candidates; this
+bound is exact and drops no link.
+
 *Counting.*  For candidate pairs, the overlap of each of ``FRAGMENTS`` coarser
 fragments is counted separately and summed per pair.
 
@@ -43,6 +48,8 @@ from skeinflow.llm._io import Scratch
 
 FRAGMENTS = 8
 HUB_ROUNDS = 2
+#: Words of 64 bits of a parity sketch.
+SKETCH = 8
 _U = np.uint64
 
 
@@ -95,6 +102,18 @@ def signatures(sets: Iterator[np.ndarray], percent: int) -> Iterator[tuple[np.nd
         yield np.concatenate(out).view(np.int64), needs
 
 
+def sketch(s: np.ndarray) -> bytes:
+    bits = np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(bool)).tobytes()
+
+
+def _apart(x: str, y: str, percent: int) -> str:
+    """SQL that is false only for pairs of rows whose sketches or sizes rule the similarity out."""
+    bits = " + ".join(f"bit_count({x}.sk[{i}] ^ {y}.sk[{i}])" for i in range(SKETCH))
+    sizes = f"100 * {x}.n >= {percent} * {y}.n and 100 * {y}.n >= {percent} * {x}.n"
+    return f"{sizes} and ({bits}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
+
+
 def _features(percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +134,9 @@ def _features(percent: int, k: int):
                         pa.array(np.array([p[1] for p in prints], _U).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
                         pa.array([x[1] for x in signed], pa.list_(pa.int32())),
+                        pa.array(np.frombuffer(b"".join(map(sketch, sets)), np.int64).reshape(-1, SKETCH).tolist(), pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "p1", "p2", "sigs", "needs"],
+                    names=["id", "n", "p1", "p2", "sigs", "needs", "sk"],
                 )
 
     return run
@@ -173,23 +193,28 @@ def jaccard_components(
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = scratch.put(
-        texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>, needs array<int>"), "features"
+        texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>, needs array<int>, sk array<long>"), "features"
     )
     twins = feats.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
     reps = scratch.put(twins, "classes")
-    sized = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")).where("id is not null")
+    known = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")).where("id is not null")
+    sized = scratch.put(
+        feats.where("n > 0").join(known, ["id", "n"], "left_semi").groupBy("id").agg(F.first(F.struct("n", "sk", "needs"), ignorenulls=True).alias("f")).select("id", "f.n", "f.sk", "f.needs"), "sized"
+    )
     signed = feats.where("size(sigs) > 0").join(sized.select("id"), "id", "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
     shared = signed.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sig", "hub")
     buckets = scratch.put(signed.join(shared, "sig").select("sig", "id", "n", "hub").distinct(), "buckets")
-    wanted = buckets.select("id").distinct()
-    segments = scratch.put(
-        texts.join(wanted, "id", "left_semi").mapInArrow(_segments(k), "id long, frag int, seg array<long>"), "segments"
-    )
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
-        na, nb = (sized.select(F.col("id").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-        close = count_overlaps(pairs, segments).join(na, "a").join(nb, "b")
-        return scratch.put(close.where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b"), tag)
+        """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
+        na, nb = (sized.select(F.col("id").alias(c), F.struct("n", "sk").alias(f"f{c}")) for c in "ab")
+        close = pairs.join(na, "a").join(nb, "b").where(_apart("fa", "fb", percent)).select("a", "b", "fa.n", F.col("fb.n").alias("m"))
+        close = scratch.put(close, f"{tag}-close")
+        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        segments = texts.join(wanted, "id", "left_semi").mapInArrow(_segments(k), "id long, frag int, seg array<long>")
+        counted = count_overlaps(close.select("a", "b"), scratch.put(segments, f"{tag}-segments"))
+        held = close.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
+        return scratch.put(held.select("a", "b"), tag)
 
     links = verify(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links0")
     label = components(links, scratch)
@@ -207,16 +232,14 @@ def jaccard_components(
             pairs = open_.join(hubs, "sig").where("component <> h.component").select(F.col("h.id").alias("x"), F.col("id").alias("y"))
         else:
             often = open_.groupBy("sig").agg(F.count("*").alias("often"))
-            needs = feats.where("size(sigs) > 0").select("id", "needs").dropDuplicates(["id"])
             parity = F.col("sig").bitwiseAND(1)
             rarest = Window.partitionBy("id", parity).orderBy("often", "sig")
             placed = open_.join(often, "sig").withColumns({"place": F.row_number().over(rarest), "of": F.count("*").over(Window.partitionBy("id", parity))})
             need = F.element_at("needs", (parity + 1).cast("int"))
-            prefix = placed.join(needs, "id").where(F.col("place") <= F.col("of") - need + 1).select("sig", "id", "n", "component")
-            prefix = scratch.put(prefix, "prefix")
-            x, y = (prefix.select("sig", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
-            near = f"x < y and c_x <> c_y and 100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x"
-            pairs = x.join(y, "sig").where(near).select("x", "y")
+            prefix = placed.join(sized.select("id", "needs", "sk"), "id").where(F.col("place") <= F.col("of") - need + 1)
+            prefix = scratch.put(prefix.select("sig", "id", "component", F.struct("n", "sk").alias("f")), "prefix")
+            x, y = (prefix.select("sig", F.col("id").alias(i), F.col("f").alias(f"f{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
+            pairs = x.join(y, "sig").where(f"x < y and c_x <> c_y and {_apart('fx', 'fy', percent)}").select("x", "y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         more = verify(pairs, f"links{round_}")
         links = links.union(more)
