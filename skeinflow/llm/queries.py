@@ -114,4 +114,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    value = " + ".join(f"{1 << (4 - j)} * substr(b, 5 * i + {j + 1}, 1)::INT" for j in range(5))
+    return {
+        "op7_arc_to_warc": f"""
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) body FROM pages),
+            q AS (SELECT page_id, octet_length(body) payload_bytes, unhex(sha1(body))::BIT::VARCHAR b FROM p),
+            d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {value}, 1)), '') payload_digest FROM q),
+            m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) latest FROM d)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END record_type,
+                   CASE WHEN page_id < latest THEN latest END refers_to, TRUE intact FROM m""",
+    }
