@@ -9,8 +9,9 @@ Unigram models weigh an arc by the piece's negated log-probability.  BPE models
 weigh nothing, but an arc may follow another only if merging the two pieces'
 characters gives back just these two: such compatibility of neighbours decides
 whether a sequence is what merging makes of the whole text, so exactly one path
-has finite weight.  No piece crosses from another character to a space, so the
-lattice is cut there and each distinct chunk is composed once.
+has finite weight.  No piece crosses from another character to a space or has a
+character that is in no piece, so the lattice is cut there and each distinct
+chunk is composed once.
 """
 
 from __future__ import annotations
@@ -91,7 +92,10 @@ class Transducer:
         self.heads = {p[:n] for p in self.id for n in range(1, len(p) + 1)}  # the trie: every path from its root
         self.lowest = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == NORMAL), default=0.0)
         cut = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
-        self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if cut else r"[\s\S]+")
+        has = re.escape("".join(sorted({c for p in self.id for c in p} - {SPACE})))
+        self.chunk = re.compile(f"{SPACE}*[{has}]+|{SPACE}+|[^{has}{SPACE}]" if cut and has else r"[\s\S]+")
+        self.tails = {p[n:]: -1 for p in self.id for n in range(len(p))} | self.id  # the trie from the pieces' ends
+        self.said = [self.told(i) for i in range(len(self.pieces))]
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
@@ -147,17 +151,19 @@ class Transducer:
 
     def merge_path(self, text: str) -> list[int]:
         """The one path of a BPE lattice: each position has one state that can be reached, the last piece of the text so far."""
-        size, fits, get, longest = len(self.pieces), self.fits, self.id.get, self.longest
+        size, fits, get = len(self.pieces), self.fits, self.tails.get
         last, start = [-1] * (len(text) + 1), [0] * (len(text) + 1)
         spelt: dict[int, tuple[int, ...]] = {}
         for end in range(1, len(text) + 1):
-            for at in range(max(0, end - longest), end):
-                k = get(text[at:end])
-                if k is not None:
+            at, k = end - 1, get(text[end - 1 : end])
+            while k is not None:
+                if k >= 0:
                     fit = fits.get(last[at] * size + k)
                     if self.follows(last[at], k) if fit is None else fit:
                         last[end], start[end] = k, at
                         break
+                at -= 1
+                k = get(text[at:end]) if at >= 0 else None
             else:
                 ids = self.spell(text[end - 1])
                 last[end], start[end], spelt[end] = ids[-1], end - 1, ids
@@ -196,24 +202,26 @@ class Transducer:
         for chunk in self.chunk.findall(self.normalise(text)):
             ids = self.known.get(chunk)
             if ids is None:
-                ids = self.known[chunk] = np.array(self.shortest(chunk), "<i4").tobytes()
+                path = self.shortest(chunk)
+                ids = self.known[chunk] = struct.pack(f"<{len(path)}i", *path)
             parts.append(ids)
         joined = np.frombuffer(b"".join(parts), "<i4")
         if not self.byte and len(joined) > 1:  # neighbouring unknowns are one
             joined = joined[np.concatenate(([True], (joined[1:] != self.unknown) | (joined[:-1] != self.unknown)))]
         return joined
 
+    def told(self, i: int) -> bytes:
+        """What a piece decodes to."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        if i == self.unknown:
+            return " ⁇ ".encode()
+        return self.pieces[i].replace(SPACE, " ").encode() if self.pieces[i] in self.id else b""
+
     def decode(self, ids) -> str:
         """The inverse transducer; control pieces give nothing."""
-        out: list[bytes] = []
-        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
-            if i in self.byte_of:
-                out.append(bytes([self.byte_of[i]]))
-            elif i == self.unknown:
-                out.append(" ⁇ ".encode())
-            elif self.pieces[i] in self.id:
-                out.append(self.pieces[i].replace(SPACE, " ").encode())
-        text = b"".join(out).decode("utf-8", "replace")
+        said = self.said
+        text = b"".join([said[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
