@@ -195,15 +195,23 @@ def jaccard_components(
     feats = scratch.put(
         texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>, needs array<int>, sk array<long>"), "features"
     )
-    twins = feats.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
+    twins = feats.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
     reps = scratch.put(twins, "classes")
     known = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")).where("id is not null")
     sized = scratch.put(
         feats.where("n > 0").join(known, ["id", "n"], "left_semi").groupBy("id").agg(F.first(F.struct("n", "sk", "needs"), ignorenulls=True).alias("f")).select("id", "f.n", "f.sk", "f.needs"), "sized"
     )
-    signed = feats.where("size(sigs) > 0").join(sized.select("id"), "id", "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sig", "hub")
-    buckets = scratch.put(signed.join(shared, "sig").select("sig", "id", "n", "hub").distinct(), "buckets")
+    # Copies of classes with a thousandth of all rows are left out here without a shuffle; the few others once buckets are small.
+    total = reps.agg(F.sum("rows")).first()[0] or 0
+    large = F.broadcast(reps.where(F.col("rows") * 1000 >= total).drop("rows"))
+    signed = feats.where("size(sigs) > 0 and id is not null").join(large, ["n", "p1", "p2"], "left").where("rep is null or id = rep")
+    signed = signed.select("id", F.explode("sigs").alias("sig"))
+    shared = signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1").select("sig")
+    members = signed.join(shared, "sig", "left_semi").join(sized.select("id"), "id", "left_semi").distinct()
+    members = scratch.put(members.select("sig", "id"), "members")
+    hub = members.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sig", "hub")
+    buckets = scratch.put(members.join(hub, "sig").where("id <> hub").select("sig", "id", "hub"), "buckets")
+    scratch.drop(members)
 
     def verify(pairs: DataFrame, tag: str) -> DataFrame:
         """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
@@ -216,13 +224,10 @@ def jaccard_components(
         held = close.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
         return scratch.put(held.select("a", "b"), tag)
 
-    links = verify(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links0")
+    links = verify(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links0")
     label = components(links, scratch)
     for round_ in range(1, HUB_ROUNDS + 1):
-        named = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-            "sig", "id", "n", "hub", F.coalesce("component", "id").alias("component")
-        )
-        rest = named.where("id <> hub")
+        rest = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         split = rest.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
         open_ = scratch.put(rest.join(split.select("sig"), "sig", "left_semi"), f"open{round_}")
         if open_.limit(1).count() == 0:
@@ -236,7 +241,7 @@ def jaccard_components(
             rarest = Window.partitionBy("id", parity).orderBy("often", "sig")
             placed = open_.join(often, "sig").withColumns({"place": F.row_number().over(rarest), "of": F.count("*").over(Window.partitionBy("id", parity))})
             need = F.element_at("needs", (parity + 1).cast("int"))
-            prefix = placed.join(sized.select("id", "needs", "sk"), "id").where(F.col("place") <= F.col("of") - need + 1)
+            prefix = placed.join(sized.select("id", "n", "needs", "sk"), "id").where(F.col("place") <= F.col("of") - need + 1)
             prefix = scratch.put(prefix.select("sig", "id", "component", F.struct("n", "sk").alias("f")), "prefix")
             x, y = (prefix.select("sig", F.col("id").alias(i), F.col("f").alias(f"f{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
             pairs = x.join(y, "sig").where(f"x < y and c_x <> c_y and {_apart('fx', 'fy', percent)}").select("x", "y")
