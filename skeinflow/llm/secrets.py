@@ -39,7 +39,8 @@ CONTEXT = re.compile(
     r"""|authorization:[\x20\t]*(?:basic|bearer)[\x20\t]+|bearer[\x20\t]+|://[^\s:/@]+:)([^\s"'<>,;@]{6,})""",
     re.I | re.A,
 )
-_SCREEN = r"(?i)pass|pwd|secret|token|key|credential|bearer|AKIA|://[^\s:/@]+:"
+#: Holds wherever ASSIGN, ACCESS or CONTEXT may match: an alternative added to one of them needs its own here.
+_SCREEN = r"(?i)pass|pwd|secret|token|key|credential|authorization:|bearer|AKIA|://[^\s:/@]+:"
 
 #: Words that guessers try first, the likelier ones earlier.
 WORDS = """password pass admin secret welcome login love dragon master monkey letmein sunshine princess shadow

@@ -72,6 +72,23 @@ def test_screen_keeps_every_suspect():
         assert want <= set(suspects(pa.array(texts)).tolist())
 
 
+def test_screen_keeps_each_alternative(spark):
+    value = "dXNlcjpodW50ZXIyOmFi"
+    assign = [f"{name}={value}" for name in ("password", "passwd", "secret", "token", "apikey", "api_key")]
+    names = ["pass", "password", "passphrase", "passcode", "pwd", "secret", "token", "credential", "credentials"]
+    names += [f"{a}{b}key" for a in ("api", "access", "private", "auth") for b in ("", "_", "-")]
+    context = [f"{name}: {value}" for name in names] + [f"authorization: {a} {value}" for a in ("basic", "bearer")] + [f"bearer {value}", f"x://me:{value}@h"]
+    texts = [*assign, *context, "AKIA" + "B2" * 8, "0f" * 16]
+    for i, text in enumerate([*texts, *map(str.title, context), *map(str.upper, context)]):
+        assert find(text), text
+        assert suspects(pa.array([text])).tolist() == [0], (i, text)
+    header = f"GET / Authorization: Basic {value} end"
+    df = spark.createDataFrame([(1, header, len(header))], "doc_id long, text string, n_chars int")
+    row = redact(df).first()
+    assert (row.text, row.n_chars) == ("GET / Authorization: Basic [SECRET] end", 39)
+    assert [s.kind for s in find_secrets(df).first().spans] == ["guess"]
+
+
 def test_quality(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
     got = {r.doc_id: r for r in quality(docs, labels, fold="crc32(cast(doc_id as string)) % 4 = 2").collect()}
