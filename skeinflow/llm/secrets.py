@@ -61,6 +61,9 @@ _AT = {c: (x + 0.5 * y, y) for y, row in enumerate(ROWS) for x, c in enumerate(r
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)", re.A)
 #: Bits for telling where a segment ends and of which kind it is.
 CUT = 2.0
+#: Units of a repeat segment at most; a longer filler is several segments.
+REPEATS = 64
+_LOG2 = [0.0, *(math.log2(k) for k in range(1, REPEATS + 1))]
 
 
 def _alphabet(value: str) -> float:
@@ -77,6 +80,43 @@ def _near(a: str, b: str) -> bool:
     return bool(p and q and a != b and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1)
 
 
+class _Starts:
+    """Starts of a segment that may still be best: ``least(i)`` is the least of cost + log2(i - start).
+
+    What an older start loses by its length shrinks as i grows, so once it is
+    better than a younger one it stays so; each start enters and leaves once.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, float, float]] = []  # start, cost, and when the one below gets better
+
+    def _until(self, older: tuple[int, float, float], start: int, cost: float) -> float:
+        """The i from which ``older`` is better than the younger start."""
+        gap = cost - older[1]
+        if gap > 1000:
+            return 0.0
+        ratio = 2.0**gap
+        return (ratio * start - older[0]) / (ratio - 1) if ratio > 1 else math.inf
+
+    def add(self, start: int, cost: float, i: int) -> None:
+        self._drop(i)
+        s = self.stack
+        while s and (t := self._until(s[-1], start, cost)) > i and t >= s[-1][2]:
+            s.pop()
+        until = self._until(s[-1], start, cost) if s else math.inf
+        if until > i:
+            s.append((start, cost, until))
+
+    def _drop(self, i: int) -> None:
+        while self.stack and self.stack[-1][2] <= i:
+            self.stack.pop()
+
+    def least(self, i: int) -> float:
+        self._drop(i)
+        start, cost, _ = self.stack[-1]
+        return cost + math.log2(i - start)
+
+
 def guess_bits(value: str) -> float:
     """Least sum of segment costs: time in proportion to the value's length."""
     n = len(value)
@@ -86,23 +126,22 @@ def guess_bits(value: str) -> float:
     plain = low.translate(_PLAIN)
     best = [0.0] * (n + 1)
     brute = [CUT] * (n + 1)  # least cost up to here if the last segment is brute force
-    same = [1] * n  # length of the run of one character that ends here
-    walk = [1] * n  # length of the keyboard walk that ends here
-    turns = [0] * n
+    turns = [0] * n  # turns of the keyboard walk that ends here
     last = None
     for i in range(1, n):
-        if low[i] == low[i - 1]:
-            same[i] = same[i - 1] + 1
         if _near(low[i - 1], low[i]):
-            walk[i] = walk[i - 1] + 1
             step = (_AT[low[i]][0] - _AT[low[i - 1]][0], _AT[low[i]][1] - _AT[low[i - 1]][1])
-            turns[i] = turns[i - 1] + (walk[i] == 2 or step != last)
+            turns[i] = turns[i - 1] + (turns[i - 1] == 0 or step != last)
             last = step
     dates: dict[int, list[int]] = {}
     for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            for end in {m.end(), i + 4 if m.end() - i >= 4 and value[i : i + 2] in ("19", "20") else m.end()}:
-                dates.setdefault(end, []).append(i)
+        if value[i].isdigit() and _DATE.match(value, i):
+            for end in range(i + 4, min(i + 10, n) + 1):
+                if _DATE.fullmatch(value, i, end):
+                    dates.setdefault(end, []).append(i)
+    since = dict.fromkeys((1, 2, 3, 4), 0)  # where the run of that period starts that ends here
+    runs = _Starts()
+    walks, walk = _Starts(), 0
     for i in range(1, n + 1):
         brute[i] = min(brute[i - 1], best[i - 1] + CUT) + each
         cost = brute[i]
@@ -118,16 +157,23 @@ def guess_bits(value: str) -> float:
                 cost = min(cost, best[a] + CUT + rank + extra)
         for a in dates.get(i, ()):
             cost = min(cost, best[a] + CUT + (7.0 if i - a <= 4 else 16.0))
-        if (k := same[i - 1]) >= 3:
-            cost = min(cost, best[i - k] + CUT + each + math.log2(k))
-        if (k := walk[i - 1]) >= 3:
-            cost = min(cost, best[i - k] + CUT + 5.0 + math.log2(k) + 2.2 * turns[i - 1])
+        if i > 1 and not turns[i - 1]:
+            walks, walk = _Starts(), i - 1
+        if i - 3 >= walk:
+            walks.add(i - 3, best[i - 3] - 2.2 * (turns[i - 2] - 1), i)
+            cost = min(cost, walks.least(i) + CUT + 5.0 + 2.2 * turns[i - 1])
+        for unit in since:
+            if i > unit and low[i - 1] != low[i - 1 - unit]:
+                since[unit] = i - unit
+        if i - 1 == since[1]:
+            runs = _Starts()
+        if i - 3 >= since[1]:
+            runs.add(i - 3, best[i - 3], i)
+            cost = min(cost, runs.least(i) + CUT + each)
         for unit in (2, 3, 4):  # a repeated unit costs one of it and the count
-            k = 1
-            while i - unit * (k + 1) >= 0 and k < 64 and low[i - unit * (k + 1) : i - unit * k] == low[i - unit : i]:
-                k += 1
-            if k >= 2:
-                cost = min(cost, best[i - unit * k] + CUT + unit * each + math.log2(k))
+            if (most := min((i - since[unit]) // unit, REPEATS)) >= 2:
+                least = min(best[i - unit * k] + _LOG2[k] for k in range(2, most + 1))
+                cost = min(cost, least + CUT + unit * each)
         best[i] = cost
     return best[n]
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from skeinflow.llm import arc_convert as arc
+from skeinflow.llm import secrets
 from skeinflow.llm.language_id import codewords, fit, identify
 from skeinflow.llm.packing import pack
 from skeinflow.llm.quality import Discriminant, quality
@@ -64,6 +65,40 @@ def test_guess_cost():
     assert guess_bits("p4ssw0rd") < 15 and guess_bits("abcabcabcabc") < guess_bits("abcxqzmwjkpt")
 
 
+def brute_bits(value):
+    """Least cost over all cuts, each segment judged alone."""
+    low, each = value.lower(), secrets._alphabet(value)
+    plain = low.translate(secrets._PLAIN)
+    best = [0.0]
+    for i in range(1, len(value) + 1):
+        costs = []
+        for a in range(i):
+            t, k, own = low[a:i], i - a, [(i - a) * each]
+            if t in secrets._RANK or plain[a:i] in secrets._RANK:
+                changed = sum(x != y for x, y in zip(t, plain[a:i]))
+                caps = sum(c.isupper() for c in value[a:i])
+                upper = 0 if not caps else 1 if caps == k or value[a].isupper() and caps == 1 else k
+                own.append(secrets._RANK[plain[a:i] if t not in secrets._RANK else t] + (1 + changed if t not in secrets._RANK else 0) + upper)
+            if secrets._DATE.fullmatch(value[a:i]):
+                own.append(7 if k <= 4 else 16)
+            own += [u * each + np.log2(k // u) for u, least in ((1, 3), (2, 2), (3, 2), (4, 2)) if k % u == 0 and k // u >= least and (u == 1 or k // u <= secrets.REPEATS) and t == t[:u] * (k // u)]
+            steps = [(secrets._AT[y][0] - secrets._AT[x][0], secrets._AT[y][1] - secrets._AT[x][1]) for x, y in zip(t, t[1:]) if secrets._near(x, y)]
+            if k >= 3 and len(steps) == k - 1:
+                own.append(5 + np.log2(k) + 2.2 * (1 + sum(x != y for x, y in zip(steps, steps[1:]))))
+            costs.append(best[a] + secrets.CUT + min(own))
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least():
+    rng = np.random.default_rng(4)
+    parts = ["pass", "ab", "aaaa", "abcabcabcabc", "s", "ssss", "qwerty", "tyuiop", "2024-01-05", "20102012", "1999", "P@ss", "xK9", "0", "dada", "d"]
+    values = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(150)] + ["".join(rng.choice(list("asd1"), 60)) for _ in range(60)]
+    values += ["password" + "ds" * 150, "passssssssss", "ab" * 200, "abc" * 70 + "x" * 90, "aqwertyuiop" + "abcd" * 70]
+    for value in values:
+        assert abs(guess_bits(value) - brute_bits(value)) < 1e-6, value
+
+
 def test_screen_keeps_every_suspect():
     rng = np.random.default_rng(0)
     for _ in range(200):
