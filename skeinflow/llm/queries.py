@@ -76,7 +76,10 @@ def op8_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn that is no assistant's is a call of a tool named after its role, answered by the assistant turn that follows it."""
+    """Each turn that is no assistant's is a call of a tool named after its role, answered by the assistant turn that follows it.
+
+    Turns whose number is repeated in a conversation stay as rows of status ``repeated id``.
+    """
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     asked = F.coalesce(F.col("role"), F.lit("none")) != "assistant"
     call = F.concat(F.lit("call-"), F.col("turn").cast("string"))
@@ -90,7 +93,7 @@ def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("user", ["text"], {"text": "string", "chars": "integer"}), ("system", ["text"], {"text": "string", "chars": "integer"})],
         "tool string, required array<string>, types map<string,string>",
     )
-    return link(calls, results, schemas)
+    return link(calls, results, schemas, repeats=True)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

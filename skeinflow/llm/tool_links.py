@@ -75,15 +75,33 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).drop("required", "types", "known")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def _first(rows: DataFrame, order: list, keys: list[str], scratch: Scratch, tag: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with one row for each conv_id and call_id, the first by ``order``, and the others.
+
+    Rows with a null key are all in the first table.  The first is found by
+    partial aggregates, so an id may be on any number of rows.
+    """
+    both = " and ".join(f"{k} is not null" for k in keys)
+    numbered = scratch.put(rows.withColumn("row", F.monotonically_increasing_id()), tag)
+    first = numbered.where(both).groupBy(*keys).agg(F.min_by("row", F.struct(*order, "row")).alias("row"), F.count("*").alias("rows"))
+    repeated = scratch.put(first.where("rows > 1").select(*keys, F.col("row").alias("kept")), f"{tag}-repeated")
+    if repeated.limit(1).count() == 0:
+        return numbered.drop("row"), numbered.where("false").drop("row")
+    marked = numbered.join(repeated, keys, "left")
+    return tuple(marked.where(c).drop("row", "kept") for c in ("kept is null or kept = row", "kept <> row"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, repeats: bool = False) -> DataFrame:
     """One row per call and per result: conv_id, turn, level, call_id, part (0 call, 1 result), status, json.
 
     ``calls``: conv_id, turn, call_id, tool, arguments map<string,string> of JSON
     texts, after array<string>.  ``results``: conv_id, call_id, content.  Status
     of a call is ``ok``, ``no result``, ``cycle`` or its arguments' problem; of a
     result ``ok``, or ``no call`` for one whose call is missing (turn and level
-    null).  A call_id that is repeated in a conversation counts once: the call
-    of the smallest turn, tool and arguments, and the smallest content.  Rows
+    null).  A call_id that is repeated in a conversation links once: the call
+    of the smallest turn, tool and arguments, and the smallest content.  With
+    ``repeats`` the other rows stay too, with status ``repeated id``, their own
+    JSON, the turn of calls only and no level.  Rows
     with a null conv_id or call_id link with nothing and stay.  Empty tables
     give an empty table; extra columns are not read.
     """
@@ -92,10 +110,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     both = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     text = canonical(F.col("arguments"))
     named = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), text.alias("args"))
-    first = named.where(both).groupBy(*keys).agg(F.min_by(F.struct("turn", "tool", "arguments", "after", "args"), F.struct(F.struct("turn", "tool", "args"))).alias("c"))
-    one = scratch.put(first.select(*keys, "c.*").union(named.where(~both).select(*keys, "turn", "tool", "arguments", "after", "args")), "calls")
+    one, more_calls = _first(named, ["turn", "tool", "args", "after"], keys, scratch, "calls")
     said = results.select(*keys, F.col("content").cast("string").alias("content"))
-    answers = scratch.put(said.where(both).groupBy(*keys).agg(F.min("content").alias("content"), F.lit(True).alias("answered")), "answers")
+    answers, more_said = _first(said, [F.col("content").isNull(), "content"], keys, scratch, "answers")
+    lone, answers = answers.where(~both), answers.where(both).withColumn("answered", F.lit(True))
     level = levels(one.where(both), scratch)
     checked = problems(one, schemas).join(level, keys, "left").join(answers.select(*keys, "answered"), keys, "left")
     status = (
@@ -108,8 +126,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     result_json = F.concat(F.lit('{"content":'), quoted("content"), F.lit(',"id":'), quoted("call_id"), F.lit(',"type":"result"}'))
     placed = scratch.put(checked.select("conv_id", "turn", F.col("level").cast("int").alias("level"), "call_id", F.lit(0).alias("part"), status.alias("status"), call_json.alias("json")), "placed")
     where = placed.where(both).select(*keys, "turn", "level", F.lit(True).alias("called"))
-    lone = said.where(~both).select(*keys, "content", F.lit(None).cast("boolean").alias("answered"))
     held = answers.join(where, keys, "left").select(*keys, "turn", "level", "content", "called").union(
         lone.join(where.where("false"), keys, "left").select(*keys, "turn", "level", "content", "called")
     )
-    return placed.union(held.select("conv_id", "turn", "level", "call_id", F.lit(1).alias("part"), F.when(F.col("called"), "ok").otherwise("no call").alias("status"), result_json.alias("json")))
+    out = placed.union(held.select("conv_id", "turn", "level", "call_id", F.lit(1).alias("part"), F.when(F.col("called"), "ok").otherwise("no call").alias("status"), result_json.alias("json")))
+    if repeats:
+        for rows, turn, part, written in ((more_calls, F.col("turn"), 0, call_json), (more_said, F.lit(None).cast(calls.schema["turn"].dataType).alias("turn"), 1, result_json)):
+            out = out.union(rows.select("conv_id", turn, F.lit(None).cast("int").alias("level"), "call_id", F.lit(part).alias("part"), F.lit("repeated id").alias("status"), written.alias("json")))
+    return out

@@ -78,6 +78,23 @@ def test_links_over_conversations(spark, sf):
     assert all((r.status == "ok") == ((r.conv_id, r.call_id) in answers) for r in got if r.part == 0)
 
 
+def test_repeated_turns_stay(spark, sf, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "b"), (1, 0, "user", "b"), (1, 1, "assistant", "x"), (1, 1, "assistant", "y"), (1, 1, "assistant", None), (2, 0, "system", "c"), (None, 0, "user", "d"), (None, 0, "user", "d")]
+    schema = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").schema
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = op9_tool_links(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+
+    def texts(status, part):
+        found = [json.loads(r.json) for r in got if r.status == status and r.part == part]
+        return sorted((x["content"] if part else x["arguments"]["text"] for x in found), key=str)
+
+    assert texts("ok", 0) == ["a"] and texts("ok", 1) == ["x"]
+    assert texts("repeated id", 0) == ["b", "b"] and texts("repeated id", 1) == [None, "y"]
+    assert texts("no result", 0) == ["c", "d", "d"]
+    assert {(r.turn, r.level) for r in got if r.status == "repeated id"} == {(0, None), (None, None)}
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
