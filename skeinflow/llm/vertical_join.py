@@ -10,8 +10,10 @@ signatures find every such pair; no frequency cut or bucket cap is needed.
 ``m`` depends on the size of the smaller set (classes that grow by half), and a
 set whose partner may be in the class below signs for that class too.  Empty
 segments are not signed: a set with ``e`` of them shares at least ``m - d - e``
-signed ones with each partner, its need.  Where that is below one, the set of
-its empty fragments is one more signature.
+signed ones with each partner, its need.  Where that is below one, which only
+small sets come to, its first n-grams by hash are signatures too, as many as may
+be missing in a partner and one more: two such sets that reach the similarity
+have one of these in common.
 
 *Sketches.*  Bit b of a set's sketch is the parity of its n-grams that fall on b,
 so two sketches differ in at most as many bits as the sets in n-grams.  Pairs
@@ -95,8 +97,8 @@ def signatures(sets: Iterator[np.ndarray], percent: int) -> Iterator[tuple[np.nd
             sigs = mix(np.add.reduceat(mixed, at) + mix(where + tag) + size)
             needs[c & 1] = len(at) - differ
             if len(at) <= differ:
-                empty = mix(np.setdiff1d(np.arange(m, dtype=_U), where) + tag).sum(dtype=_U)
-                sigs = np.append(sigs, mix(np.array([empty + _U(0xA5A5A5A5)], _U)))
+                first = mixed[: n + percent * -n // 100 + 1]
+                sigs = np.append(sigs, mix(first + tag + _U(0xA5A5A5A5)))
                 needs[c & 1] = 1
             out.append(sigs & ~_U(1) | _U(c & 1))
         yield np.concatenate(out).view(np.int64), needs

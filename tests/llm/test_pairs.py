@@ -9,7 +9,7 @@ import pytest
 
 from skeinflow.llm.kd_search import chi_square_point, nearest
 from skeinflow.llm.lattice_dedup import decode_e8, near_duplicates
-from skeinflow.llm.vertical_join import jaccard_components, keep_one
+from skeinflow.llm.vertical_join import jaccard_components, keep_one, signatures
 
 
 def components_of(ids, links):
@@ -56,6 +56,28 @@ def test_jaccard_components(spark, k, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_small_sets_with_empty_fragments_share_a_signature():
+    rng = np.random.default_rng(6)
+
+    def signed(s, percent):
+        return set(next(signatures(iter([np.sort(s)]), percent))[0].tolist())
+
+    quarter = 1 << 62
+    a = rng.integers(0, quarter, 8, dtype=np.uint64)
+    b = np.concatenate([a, rng.integers(0, quarter, 1, dtype=np.uint64), rng.integers(quarter, 2 * quarter, 1, dtype=np.uint64)])
+    assert signed(a, 80) & signed(b, 80)
+    for percent in (70, 80, 90):
+        for _ in range(3000):
+            n = int(rng.integers(2, 24))
+            union = np.unique(np.concatenate([rng.integers(0, 1 << 60, n, dtype=np.uint64), rng.integers(0, 1 << 63, n // 3 + 1, dtype=np.uint64)]))
+            rng.shuffle(union)
+            spare = len(union) * (100 - percent) // 100
+            x = int(rng.integers(0, spare + 1))
+            a, b = union[x:], np.concatenate([union[:x], union[spare:]])
+            assert 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+            assert len(a) == len(b) == len(union) or signed(a, percent) & signed(b, percent), (percent, len(a), len(b))
+
+
 def test_jaccard_hot_group_and_edges(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base[:59], f"y{i}"])) for i in range(300)] + [(1000 + i, " ".join(base)) for i in range(300)] + [(None, " ".join(base)), (None, None)]
