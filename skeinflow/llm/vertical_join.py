@@ -279,11 +279,23 @@ def spread(feats: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+    """The rows of ``docs``, all columns, that have the smallest id of their component.
 
-    Rows without an id stay.  A smallest id that is on several rows keeps all of
-    them.
+    Rows without an id stay.  Where ids are repeated, every row is compared by
+    its own text: of each component one row stays, one of those with the
+    smallest id, and no row goes for another that only has its id.
     """
-    found = Scratch(docs.sparkSession, "kept").put(jaccard_components(docs, id_col, text_col, k, percent), "components")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "kept")
+    number = F.col(id_col).cast("long")
+    again = docs.groupBy(number.alias("id")).agg(F.count("*").alias("rows")).where("rows > 1 and id is not null")
+    if again.limit(1).count() == 0:
+        found = scratch.put(jaccard_components(docs, id_col, text_col, k, percent), "components")
+        gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
+        return docs.join(gone, number == F.col("_gone"), "left_anti")
+    rows = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    known = rows.where(number.isNotNull())
+    parts = jaccard_components(known.select("_row", F.col(text_col).alias("_text")), "_row", "_text", k, percent)
+    found = scratch.put(parts.select("_row", "component_id").join(known.select("_row", number.alias("_id")), "_row"), "components")
+    kept = found.groupBy("component_id").agg(F.min_by("_row", F.struct("_id", "_row")).alias("_row")).select("_row")
+    gone = found.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

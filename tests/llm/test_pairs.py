@@ -91,6 +91,15 @@ def test_jaccard_hot_group_and_edges(spark):
         jaccard_components(df, percent=40)
 
 
+def test_keep_one_with_repeated_ids(spark):
+    copied, clean, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, copied, "r0"), (5, copied, "r1"), (5, clean, "r2"), (5, clean, "r3"), (7, clean + " z", "r4"), (3, third, "r5"), (3, third, "r6"), (8, None, "r7"), (8, None, "r8"), (None, copied, "r9"), (None, None, "r10")]
+    got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3))
+    assert got.columns == ["doc_id", "text", "row"]
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert found == sorted([(1, copied), (5, clean), (3, third), (8, None), (8, None), (None, copied), (None, None)], key=str)
+
+
 def test_decoder_finds_nearest_lattice_point():
     from skeinflow.llm.lattice_dedup import _minimal
 
