@@ -71,7 +71,7 @@ def parse_arc(content: bytes) -> Iterator[tuple[dict, bytes, bool]]:
         end = content.find(b"\n", at)
         line = content[at : end if end >= 0 else len(content)].rstrip(b"\r")
         start = end + 1 if end >= 0 else len(content)
-        if line.startswith(b"filedesc:"):
+        if line.startswith(b"filedesc:") and not content.startswith(b"HTTP/", start):
             second = content[start : content.find(b"\n", start) + 1 or len(content)]
             fields = FIELDS.get(second.split(b" ")[0].strip(), fields)
             parts = line.rsplit(b" ", 4) if len(line.split(b" ")) == 5 else line.rsplit(b" ", len(fields) - 1)
@@ -95,9 +95,9 @@ def split_http(block: bytes) -> tuple[bytes, bytes] | None:
 
 
 def as_warc(head: dict, block: bytes, truncated: bool, payloads: bool = True) -> tuple:
-    """The fields of ``RECORDS`` for one ARC record."""
+    """The fields of ``RECORDS`` for one ARC record; a page may have a URL like a version block's, but is an HTTP reply."""
     parts = split_http(block)
-    if head["url"].startswith("filedesc:"):
+    if head["url"].startswith("filedesc:") and not parts:
         kind, content, first, body = "warcinfo", "application/warc-fields", b"", block
     elif parts:
         kind, content, (first, body) = "response", "application/http; msgtype=response", parts

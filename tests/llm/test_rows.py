@@ -223,6 +223,15 @@ def test_pages_round_trip(spark, version):
     assert arc.pages_round_trip(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_pages_with_version_block_urls_stay(spark, version):
+    pages = [(1, "filedesc://x.arc", "a"), (2, "filedesc:y z", "2 0 x"), (3, "http://c", "a"), (4, "filedesc://x.arc", None)]
+    got = arc.pages_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), version=version).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.intact) for r in got) == [
+        (1, 1, "revisit", 3, True), (2, 5, "response", None, True), (3, 1, "response", None, True), (4, 0, "response", None, True)
+    ]
+
+
 def test_arc_versions():
     about1 = b"1 0 Org\nURL IP-address Archive-date Content-type Archive-length\n"
     about2 = b"2 0 Org\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
