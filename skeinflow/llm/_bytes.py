@@ -56,6 +56,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def pieces(column: pa.Array, rows: int = 2000) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most ``rows`` rows with about ``BLOCK`` bytes of text; a longer text stands alone."""
+    sizes = np.diff(buffers(column)[1])
+    group = (np.cumsum(sizes) - sizes) // BLOCK
+    at = 0
+    for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]:
+        while at < end:
+            yield at, min(at + rows, end)
+            at = min(at + rows, end)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered, and the n+1 bounds of each row's words.
 
@@ -90,24 +101,43 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(s, off)
 
 
-def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """Per row: the sorted distinct 64-bit hashes of its k-word shingles; shorter texts have one, empty ones none."""
+def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of each row's k-word shingles, row after row, and the n+1 bounds of the rows.
+
+    A text of fewer words is one shingle; null and blank texts have none.
+    """
     data, off = buffers(column)
     h, bound = words(data, off)
     odd = [_U((0x9E3779B97F4A7C15 * (2 * i + 3)) & 0xFFFFFFFFFFFFFFFF | 1) for i in range(k)]
-    full = np.zeros(0, _U)
-    if len(h) >= k:
-        full = h[: len(h) - k + 1] * odd[0]
+    n = len(h)
+    full = np.zeros(n, _U)
+    if n >= k:
+        part = h[: n - k + 1] * odd[0]
         for i in range(1, k):
-            full = full + h[i : len(h) - k + 1 + i] * odd[i]
-        full = mix(full)
-    for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(full[a : b - k + 1])
-        elif b > a:
-            short = np.array([b - a], _U)
-            for i in range(a, b):
-                short = short * _U(0x2545F4914F6CDD1D) + h[i]
-            yield mix(short)
-        else:
-            yield full[:0]
+            part += h[i : n - k + 1 + i] * odd[i]
+        full[: n - k + 1] = mix(part)
+    a, b = bound[:-1], bound[1:]
+    size = np.where(b - a >= k, b - a - k + 1, np.minimum(b - a, 1))
+    for i in np.flatnonzero((b - a > 0) & (b - a < k)).tolist():
+        short = np.array([b[i] - a[i]], _U)
+        for w in h[a[i] : b[i]]:
+            short = short * _U(0x2545F4914F6CDD1D) + w
+        full[a[i]] = mix(short)[0]
+    for x, y in zip(a.tolist(), (a + size).tolist(), strict=True):
+        full[x:y].sort()
+    keep = np.zeros(n + 1, np.int64)
+    np.add.at(keep, a, size > 0)
+    np.add.at(keep, a + size, -(size > 0).astype(np.int64))
+    inside = np.cumsum(keep[:n]) > 0
+    first = np.ones(n, bool)
+    first[1:] = full[1:] != full[:-1]
+    first[a[size > 0]] = True
+    inside &= first
+    return full[inside], np.concatenate(([0], np.cumsum(inside)))[bound]
+
+
+def shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """``shingle_sets`` row by row."""
+    flat, off = shingle_sets(column, k)
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        yield flat[a:b]

@@ -13,8 +13,29 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Bytes of a row group of scratch tables: what a writing task holds.
+GROUP = 16 << 20
+#: Rows of a key table that is broadcast at most; a larger one is joined by a shuffle.
+FEW = 1_000_000
+
+
+def pick(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """``rows`` whose key is in ``keys`` (or is not: ``left_anti``), without a shuffle of ``rows`` if ``keys`` has few rows.
+
+    ``keys`` is counted: give a written table.
+    """
+    return rows.join(F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys, on, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,7 +80,7 @@ class Scratch:
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         where = self.path(tag)
-        df.write.parquet(where)
+        df.write.option("parquet.block.size", GROUP).parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         self._paths[id(out)] = where
         out._scratch_path = where

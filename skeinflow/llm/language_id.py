@@ -15,7 +15,6 @@ not of rows.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import buffers
-from skeinflow.llm._io import Scratch, ship
+from skeinflow.llm._bytes import buffers, pieces
+from skeinflow.llm._io import ship
 
 BUCKETS = 1 << 14
-#: Bytes of text that are counted or scored at once.
-BLOCK = 1 << 20
 #: Made-up count of every bucket; slope of a soft bit per n-gram; lead below which a text is ambiguous.
 SMOOTH, SLOPE, LEAD = 0.5, 8.0, 0.2
 _FOLD = np.full(256, 32, np.uint8)
@@ -73,14 +70,6 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (code >> np.uint32(18))[ok].astype(np.int32), owner[: len(code)][ok]
 
 
-def pieces(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows with about ``BLOCK`` bytes of text; a longer text stands alone."""
-    sizes = np.diff(buffers(column)[1])
-    group = (np.cumsum(sizes) - sizes) // BLOCK
-    cut = np.flatnonzero(np.diff(group)) + 1
-    yield from itertools.pairwise([0, *cut.tolist(), len(sizes)])
-
-
 def codewords(languages: int, length: int = 0) -> np.ndarray:
     """A matrix of -1 and 1, one row a language; each next column keeps the least distance of rows greatest.
 
@@ -219,8 +208,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for a, b in pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
                 named, scores, unsure = shared.value.predict(part.column(1))
                 yield pa.record_batch([part.column(0), pa.array(named), pa.array(scores), pa.array(unsure)], names=["id", "lang_pred", "score", "ambiguous"])
 
@@ -232,15 +221,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is found without ambiguity; all columns, ``lang_col`` filled in where it is null.
 
-    The model is learnt from the rows of ``docs`` that have a language.
+    The model is learnt from the rows of ``docs`` that have a language; if none
+    has, and where a text is null or has no letter, the language is ambiguous.
+    Rows without an id and rows that repeat one are judged like any other.  An
+    empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, lang_col))
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for a, b in pieces(batch.column(text_at)):
+                part = batch.slice(a, b - a)
                 named, _, unsure = model.value.predict(part.column(text_at))
                 cols = list(part.columns)
                 cols[lang_at] = pc.coalesce(cols[lang_at], pa.array(named, cols[lang_at].type))

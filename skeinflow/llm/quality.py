@@ -5,7 +5,8 @@ of counts, so very short texts lie near the middle).  Per class, the sums that
 fix mean and covariance are added up over all labelled training rows; the
 covariances are shrunk towards the pooled one and towards its diagonal, and
 their Cholesky factors are kept.  A score is the logistic of the difference of
-the log densities, each from a Mahalanobis distance by forward substitution.
+the log densities, each from a Mahalanobis distance by forward substitution
+with the kept factor.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import buffers
-from skeinflow.llm._io import Scratch, ship
+from skeinflow.llm._bytes import buffers, pieces
+from skeinflow.llm._io import FEW, Scratch, ship
 
 #: Shares of the pooled covariance and of the diagonal in each class's covariance, and the score from which a text is good.
 POOLED, DIAGONAL, ACCEPT = 0.3, 0.05, 0.7
@@ -34,7 +35,6 @@ _KIND[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{}~"]] = 6
 _KIND[124], _KIND[33] = 7, 8
 _KIND[0x80:0xC0] = 9
 _KIND[0xC0:] = 2
-_BLOCK = 1 << 22
 
 
 def _odds(part: np.ndarray, whole: np.ndarray, share: float, weight: float = 20.0) -> np.ndarray:
@@ -61,7 +61,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     data, off = buffers(column)
     rows, n = len(off) - 1, len(data)
     if len(_powers.get("p", ())) < n + 2:
-        base = np.full(max(n + 2, 1 << 20), 0x9E3779B97F4A7C15, np.uint64)
+        base = np.full(max(n + 2, 1 << 21), 0x9E3779B97F4A7C15, np.uint64)
         base[0] = 1
         _powers["p"] = np.cumprod(base, dtype=np.uint64)
     powers = _powers["p"]
@@ -121,23 +121,12 @@ def statistics(column: pa.Array) -> np.ndarray:
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.diff(buffers(batch.column(1))[1])
-        group = np.cumsum(sizes) // _BLOCK
-        for g in np.unique(group):
-            rows = np.flatnonzero(group == g)
-            part = batch.slice(int(rows[0]), len(rows))
-            x = statistics(part.column(1))
-            off = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(off, pa.array(x.ravel()))], names=["id", "x"])
-
-
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the statistics of every text."""
-    ship(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(_measure, "id long, x array<double>")
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """z with factor @ z = b for a lower triangular factor: forward substitution, all columns of b at once."""
+    z = np.zeros_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
 
 
 @dataclass
@@ -172,54 +161,51 @@ class Discriminant:
         """The chance of the good class for each row."""
         logs = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             logs.append(offset - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class: the count, the sums and the sums of products of a task's rows."""
+    """Per class: the count, the sums and the sums of products of the statistics of a task's rows (y, text)."""
     d = len(FEATURES)
     total = np.zeros((2, 1 + d + d * d))
     for batch in batches:
-        y = batch.column(0).to_numpy(zero_copy_only=False)
-        x = batch.column(1).flatten().to_numpy().reshape(-1, d)
-        for k in (0, 1):
-            own = x[y == k]
-            total[k] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
+        for a, b in pieces(batch.column(1)):
+            part = batch.slice(a, b - a)
+            y, x = part.column(0).to_numpy(zero_copy_only=False), statistics(part.column(1))
+            for k in (0, 1):
+                own = x[y == k]
+                total[k] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
     yield pa.record_batch(
         [pa.array(np.repeat([0, 1], total.shape[1])), pa.array(np.tile(np.arange(total.shape[1]), 2)), pa.array(total.ravel())],
         names=["k", "i", "v"],
     )
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> Discriminant:
-    """Fit on all rows of ``measured`` (id, x) that ``labels`` (id, y) marks 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Discriminant:
+    """Fit on all rows of ``docs`` whose id ``labels`` marks 0 or 1; statistics are taken of those rows alone.
 
     What reaches the driver is 2 * (1 + d + d * d) sums.  An id with several
     labels counts once if they agree, else not at all.  With no labels, every
     score is one half; with one class, its own density decides against itself.
     """
-    clear = labels.where("y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("id", "y")
-    sums = measured.join(clear, "id").select(F.col("y").cast("long"), "x").mapInArrow(_sums, "k long, i long, v double")
+    scratch = Scratch(docs.sparkSession, "quality")
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
+    clear = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("id", "y")
+    clear = scratch.put(clear, "labels")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # few labels come to the texts; texts are shuffled only for more
+    marked = texts.join(F.broadcast(clear) if clear.limit(FEW + 1).count() <= FEW else clear, "id")
+    sums = marked.select(F.col("y").cast("long").alias("y"), "text").mapInArrow(_sums, "k long, i long, v double")
     d = len(FEATURES)
     flat = np.zeros((2, 1 + d + d * d))
     for k, i, v in sums.groupBy("k", "i").agg(F.sum("v")).collect():
         flat[k, i] = v
+    scratch.drop(clear)
     return Discriminant.fit(flat[:, 0], flat[:, 1 : d + 1], flat[:, d + 1 :].reshape(2, d, d))
 
 
-def score(measured: DataFrame, model: Discriminant) -> DataFrame:
-    """(id, score) of every row of ``measured``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))
-            yield pa.record_batch([batch.column(0), pa.array(model.score(x))], names=["id", "score"])
-
-    return measured.mapInArrow(run, "id long, score double")
-
-
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fold: str | None = None) -> DataFrame:
     """One row per input row: the id, ``held_out``, ``score`` and ``predicted``.
 
@@ -229,27 +215,37 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     each scored, and each learnt from.  An empty table gives an empty table.
     Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    measured = scratch.put(measure(docs, id_col, text_col), "statistics")
     held = F.expr(fold) if fold else F.lit(False)
     marks = labels.where(~F.coalesce(held, F.lit(True))) if fold else labels
-    model = fit(measured, marks.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")))
-    out = score(measured, model).withColumnRenamed("id", id_col)
+    model = fit(docs, marks, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.record_batch([part.column(0), pa.array(model.score(statistics(part.column(1))))], names=["id", "score"])
+
+    ship(docs.sparkSession)
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = chosen.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
     return out.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``least``; a model of all labels."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    measured = scratch.put(measure(docs, id_col, text_col), "statistics")
-    model = fit(measured, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")))
-    names, where = docs.columns, docs.columns.index(text_col)
+    """The rows of ``docs``, all columns, whose score is at least ``least``; a model of all labels.
+
+    Null and empty texts are scored as texts without words; rows without an id
+    and rows that repeat one are judged like any other, by their own text.  An
+    empty table gives an empty table; without labels, every score is one half.
+    """
+    model = fit(docs, labels, id_col, text_col, label_col)
+    where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for a, b in pieces(batch.column(where)):
+                part = batch.slice(a, b - a)
                 good = model.score(statistics(part.column(where))) >= least
                 yield part.filter(pa.array(good))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

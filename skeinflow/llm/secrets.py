@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import buffers
+from skeinflow.llm._bytes import buffers, pieces
 from skeinflow.llm._io import ship
 
 BITS = 40.0
@@ -223,8 +223,8 @@ def suspects(column: pa.Array) -> np.ndarray:
 def _scan(bits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for a, b in pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
                 spans: list[list] = [[] for _ in range(part.num_rows)]
                 texts = part.column(1)
                 for i in suspects(texts).tolist():
@@ -250,7 +250,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars", bits: float = BITS, mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every run of overlapping spans replaced by ``mark``; ``count_col`` follows if there is one.
 
-    Texts without spans, nulls among them, stay as they are.
+    Texts without spans, nulls among them, stay as they are.  Rows without an id
+    and rows that repeat one are redacted like any other; an empty table gives
+    an empty table.
     """
     ship(docs.sparkSession)
     names = docs.columns
@@ -258,25 +260,27 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(where)
-            hits = {}
-            for i in suspects(texts).tolist():
-                text = texts[i].as_py()
-                if spans := find(text, bits):
-                    hits[i] = cover(text, spans, mark)
-            if hits:
-                cols = list(batch.columns)
-                values = texts.to_pylist()
-                for i, t in hits.items():
-                    values[i] = t
-                cols[where] = pa.array(values, texts.type)
-                if count is not None:
-                    sizes = cols[count].to_pylist()
+            for a, b in pieces(batch.column(where)):
+                part = batch.slice(a, b - a)
+                texts = part.column(where)
+                hits = {}
+                for i in suspects(texts).tolist():
+                    text = texts[i].as_py()
+                    if spans := find(text, bits):
+                        hits[i] = cover(text, spans, mark)
+                if hits:
+                    cols = list(part.columns)
+                    values = texts.to_pylist()
                     for i, t in hits.items():
-                        sizes[i] = len(t)
-                    cols[count] = pa.array(sizes, cols[count].type)
-                batch = pa.record_batch(cols, schema=batch.schema)
-            yield batch
+                        values[i] = t
+                    cols[where] = pa.array(values, texts.type)
+                    if count is not None:
+                        sizes = cols[count].to_pylist()
+                        for i, t in hits.items():
+                            sizes[i] = len(t)
+                        cols[count] = pa.array(sizes, cols[count].type)
+                    part = pa.record_batch(cols, schema=part.schema)
+                yield part
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,12 +8,20 @@ The global order of n-grams is the order of their 64-bit hashes.  It is cut into
 least ``m - d`` segments are equal on both sides, so equal (fragment, segment)
 signatures find every such pair; no frequency cut or bucket cap is needed.
 ``m`` depends on the size of the smaller set (classes that grow by half), and a
-set whose partner may be in the class below signs for that class too.  Empty
-segments are not signed: a set with ``e`` of them shares at least ``m - d - e``
-signed ones with each partner, its need.  Where that is below one, which only
-small sets come to, its first n-grams by hash are signatures too, as many as may
-be missing in a partner and one more: two such sets that reach the similarity
-have one of these in common.
+set signs for its own class and for each below that a partner of it may be in.
+Empty segments are not signed: a set with ``e`` of them shares at least
+``m - d - e`` signed ones with each partner, its need.  Where that is below one,
+which only small sets come to, its first n-grams by hash are signatures too, as
+many as may be missing in a partner and one more: two such sets that reach the
+similarity have one of these in common.
+
+*Meeting.*  A task sorts the signatures of some thousands of documents; of those
+with the same signature the first stands for all, the others are tied to it on
+the spot.  Only the firsts are shuffled, as sorted runs of a few bytes each, and
+meet those of other tasks, whose smallest they are tied to.  So a signature of a
+third of all documents arrives once a task, and no document is tied to more than
+a task's documents or the number of tasks.  Signatures have ``WIDTH`` bits: equal
+bits of different segments make a candidate more, never a link or a loss.
 
 *Sketches.*  Bit b of a set's sketch is the parity of its n-grams that fall on b,
 so two sketches differ in at most as many bits as the sets in n-grams.  Pairs
@@ -23,38 +31,43 @@ bound is exact and drops no link.
 *Counting.*  For candidate pairs, the overlap of each of ``FRAGMENTS`` coarser
 fragments is counted separately and summed per pair.
 
-*Connectivity.*  Sets that are equal are one class from the start.  Within a
-bucket of equal signatures, members are first held against one hub, and only
-where a bucket then still spans several components against a second hub.  Buckets
-that are open even then mostly hold texts that share a passage and little else.
-There a set with fewer open signatures than its need is out, and of the others
-all but the ``need - 1`` most frequent signatures are enough (the prefix filter);
-within what is left, every pair across components that the sizes allow is made.
-No pair within a component is made, so a
-group of n near copies costs about n comparisons, not n*n/2; and no link between
-different components is missed.
+*Connectivity.*  Sets that are equal are one class from the start.  The ties are
+counted first; they form a tree for every signature, so all documents of one whose
+ties lie within components are done.  The others mostly hold texts that share a
+passage and little else.  There a set with fewer open signatures than its need is
+out, and of the others all but the ``need - 1`` most frequent signatures are
+enough (the prefix filter); within what is left, every pair across components
+that sizes and sketches allow is counted, in blocks of ``BUCKET`` documents.
+No pair within a component is made, so a group of n near copies costs about n
+comparisons, not n*n/2; and no link between different components is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import mix, shingles
+from skeinflow.llm._bytes import mix, pieces, shingle_sets, shingles
 from skeinflow.llm._graph import components
-from skeinflow.llm._io import Scratch
+from skeinflow.llm._io import Scratch, fresh, pick
 
 FRAGMENTS = 8
-HUB_ROUNDS = 2
 #: Words of 64 bits of a parity sketch.
 SKETCH = 8
+#: Bits of a signature; the lowest are its class's number modulo ``PHASES``.
+WIDTH, PHASES = 48, 4
+#: Signatures that a task sorts at once, documents of a block in the last comparison.
+RUN, BUCKET = 1 << 21, 1024
 _U = np.uint64
 
 
+@lru_cache
 def classes(percent: int, limit: int = 1 << 32) -> list[tuple[int, int, int, int]]:
     """(smallest, end, fragments, fragments that may differ) of the size classes of the smaller set.
 
@@ -73,40 +86,64 @@ def classes(percent: int, limit: int = 1 << 32) -> list[tuple[int, int, int, int
     return out
 
 
-def signatures(sets: Iterator[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, list[int]]]:
-    """For each sorted set of hashes: its segment signatures, for its own class and maybe the one below, and its needs.
+def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums, modulo 2^64, of the values of each row."""
+    out = np.zeros(len(off) - 1, _U)
+    full = np.flatnonzero(off[1:] > off[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, off[full])
+    return out
+
+
+def _chosen(off: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first ``sizes`` values of some rows, and for each which of ``rows`` it is of."""
+    which = np.repeat(np.arange(len(rows)), sizes)
+    return np.arange(len(which)) + (off[rows] - (np.cumsum(sizes) - sizes))[which], which
+
 
-    The lowest bit of a signature is its class's parity; needs are given by parity.
+def sign(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets given row after row: segment signatures, the row of each, and each row's needs by phase.
+
+    A set signs for its own class and for those below that a partner may be in.
+    The lowest bits of a signature are its class's phase.
     """
-    table = classes(percent)
-    lows = np.array([c[0] for c in table])
-    for s in sets:
-        n = len(s)
-        own = int(np.searchsorted(lows, n, "right")) - 1
-        out, needs = [np.zeros(0, _U)], [1, 1]
-        use = [] if own < 0 else [own]
-        if own > 0 and n <= (lows[own] - 1) * 100 // percent:
-            use.append(own - 1)
-        top, mixed = s >> _U(32), mix(s)
-        for c in use:
-            _, _, m, differ = table[c]
-            frag = (top * _U(m)) >> _U(32)
-            at = np.flatnonzero(np.concatenate(([True], frag[1:] != frag[:-1])))
-            where, size = frag[at], np.diff(np.append(at, n)).astype(_U)
-            tag = _U((c + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            sigs = mix(np.add.reduceat(mixed, at) + mix(where + tag) + size)
-            needs[c & 1] = len(at) - differ
-            if len(at) <= differ:
-                first = mixed[: n + percent * -n // 100 + 1]
-                sigs = np.append(sigs, mix(first + tag + _U(0xA5A5A5A5)))
-                needs[c & 1] = 1
-            out.append(sigs & ~_U(1) | _U(c & 1))
-        yield np.concatenate(out).view(np.int64), needs
-
-
-def sketch(s: np.ndarray) -> bytes:
-    bits = np.bincount((mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    table = np.array(classes(percent))
+    n = np.diff(off)
+    own = np.searchsorted(table[:, 0], n, "right") - 1
+    needs = np.ones((len(n), PHASES), np.int64)
+    mixed = mix(flat)
+    out, owner = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for step in range(PHASES):
+        c = own - step
+        rows = np.flatnonzero((c >= 0) & ((step == 0) | (n <= (table[c, 1] - 1) * 100 // percent)) & (n > 0))
+        if not len(rows):
+            break
+        c = c[rows]
+        at, which = _chosen(off, rows, n[rows])
+        m, differ = table[c, 2], table[c, 3]
+        tag = (c + 1).astype(_U) * _U(0x9E3779B97F4A7C15)
+        frag = ((flat[at] >> _U(32)) * m.astype(_U)[which]) >> _U(32)
+        start = np.flatnonzero(np.concatenate(([True], (frag[1:] != frag[:-1]) | (which[1:] != which[:-1]))))
+        of = which[start]
+        size = np.diff(np.append(start, len(at))).astype(_U)
+        sigs = mix(np.add.reduceat(mixed[at], start) + mix(frag[start] + tag[of]) + size)
+        held = np.bincount(of, minlength=len(rows))
+        few = held <= differ
+        needs[rows, c % PHASES] = np.where(few, 1, held - differ)
+        some = np.flatnonzero(few)
+        at, which = _chosen(off, rows[some], n[rows[some]] + percent * -n[rows[some]] // 100 + 1)
+        for x, o in ((sigs, of), (mix(mixed[at] + tag[some][which] + _U(0xA5A5A5A5)), some[which])):
+            out.append(x >> _U(64 - WIDTH) & ~_U(PHASES - 1) | (c % PHASES).astype(_U)[o])
+            owner.append(rows[o])
+    return np.concatenate(out), np.concatenate(owner), needs
+
+
+def _sketches(marks: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A row of ``SKETCH`` words for each set, from well-mixed hashes."""
+    size = 64 * SKETCH
+    bit = (marks >> _U(40)).astype(np.int64) % size + size * np.repeat(np.arange(len(off) - 1), np.diff(off))
+    parity = np.bincount(bit, minlength=size * (len(off) - 1)).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
 
 
 def _apart(x: str, y: str, percent: int) -> str:
@@ -116,64 +153,168 @@ def _apart(x: str, y: str, percent: int) -> str:
     return f"{sizes} and ({bits}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
 
 
-def _features(percent: int, k: int):
+#: What one pass over the texts gives: documents (kind 0), runs of signatures for a bucket (1), and ties within a task (2).
+MADE = pa.schema(
+    [
+        ("kind", pa.int32()), ("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("needs", pa.list_(pa.int32())),
+        ("sk", pa.list_(pa.int64())), ("signed", pa.bool_()), ("bucket", pa.int32()), ("width", pa.int32()), ("run", pa.binary()), ("sig", pa.int64()), ("hub", pa.int64()),
+    ]
+)
+_MADE = (
+    "kind int, row long, id long, n long, p1 long, p2 long, needs array<int>, sk array<long>, signed boolean, bucket int, width int, run binary, sig long, hub long"
+)
+
+
+def _made(kind: int, size: int, **cols) -> pa.RecordBatch:
+    cols["kind"] = np.full(size, kind, np.int32)
+    given = {n: x if isinstance(x, pa.Array) else pa.array(x, MADE.field(n).type) for n, x in cols.items()}
+    return pa.record_batch([given[f.name] if f.name in given else pa.nulls(size, f.type) for f in MADE], schema=MADE)
+
+
+def _packed(run: np.ndarray, base: int) -> tuple[int, bytes]:
+    """Ascending numbers from ``base`` on as differences of as many bytes as the largest needs."""
+    steps = np.diff(run, prepend=_U(base))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return width, np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes, width: int, base: int) -> np.ndarray:
+    steps = np.zeros((len(data) // width, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return np.cumsum(steps.view(_U).ravel(), dtype=_U) + _U(base)
+
+
+def _features(percent: int, k: int, bits: int):
+    """Documents get a number, ``row``: 16 bits within a block, the rest for the block."""
+
+    def meet_here(base: int, sigs: list[np.ndarray], places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([np.zeros(0, _U), *(s << _U(16) | p.astype(_U) for s, p in zip(sigs, places, strict=True))])
+        if not len(keys):
+            return
+        keys.sort()
+        sig = keys >> _U(16)
+        first = np.concatenate(([True], sig[1:] != sig[:-1]))
+        again, start = np.flatnonzero(~first), np.flatnonzero(first)
+        hub = keys[start[np.searchsorted(start, again, "right") - 1]]
+        for at in range(0, len(again), 200_000):
+            x, h = keys[again[at : at + 200_000]], hub[at : at + 200_000]
+            tied = x != h
+            x, h = x[tied], h[tied]
+            row, other = (((v & _U(0xFFFF)).astype(np.int64) | base) for v in (x, h))
+            yield _made(2, len(x), sig=(x >> _U(16)).view(np.int64), row=row, hub=other)
+        keys = keys[first]
+        bucket = (keys >> _U(64 - bits)).astype(np.int32)
+        cut = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(keys)).tolist()
+        runs = [_packed(keys[a:b], int(bucket[a]) << (64 - bits)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        yield _made(1, len(runs), row=np.full(len(runs), base), bucket=bucket[cut[:-1]], width=[w for w, _ in runs], run=[d for _, d in runs])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, sigs, places, seen, count = TaskContext.get().partitionId() << 40, [], [], set(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = list(shingles(part.column(1), k))
-                signed = list(signatures(iter(sets), percent))
-                sigs = [x[0] for x in signed]
-                off = np.zeros(len(sigs) + 1, np.int32)
-                np.cumsum([len(x) for x in sigs], out=off[1:])
-                flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-                prints = [(int(s.sum(dtype=_U)), int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))) for s in sets]
-                yield pa.record_batch(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(np.array([p[0] for p in prints], _U).view(np.int64)),
-                        pa.array(np.array([p[1] for p in prints], _U).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
-                        pa.array([x[1] for x in signed], pa.list_(pa.int32())),
-                        pa.array(np.frombuffer(b"".join(map(sketch, sets)), np.int64).reshape(-1, SKETCH).tolist(), pa.list_(pa.int64())),
-                    ],
-                    names=["id", "n", "p1", "p2", "sigs", "needs", "sk"],
-                )
+            for a, b in pieces(batch.column(1), 1000):
+                part, full = batch.slice(a, b - a), (row & 0xFFFF) + b - a > 0x10000
+                if full or count >= RUN:
+                    yield from meet_here(row >> 16 << 16, sigs, places)
+                    sigs, places, seen, count = [], [], set(), 0
+                if full:
+                    row = ((row >> 16) + 1) << 16
+                flat, off = shingle_sets(part.column(1), k)
+                marks = mix(flat ^ _U(0x5851F42D4C957F2D))
+                prints = [x.view(np.int64) for x in (_sums(flat, off), _sums(marks, off))]
+                size, ids = np.diff(off), part.column(0).to_pylist()
+                signed = np.zeros(b - a, bool)
+                for i, own in enumerate(zip(ids, size.tolist(), *(x.tolist() for x in prints), strict=True)):
+                    if own[0] is not None and own[1] and own[1:] not in seen:  # of equal sets in one run, the first signs for all
+                        seen.add(own[1:])
+                        signed[i] = True
+                rows = np.flatnonzero(signed)
+                at, _ = _chosen(off, rows, size[rows])
+                mine, of, some = sign(flat[at], np.concatenate(([0], np.cumsum(size[rows]))), percent)
+                needs = np.ones((b - a, PHASES), np.int32)
+                needs[rows] = some
+                sigs.append(mine)
+                places.append((row & 0xFFFF) + rows[of])
+                count += len(mine)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * w), pa.array(x)) for w, x in ((PHASES, needs.ravel()), (SKETCH, _sketches(marks, off)))]
+                yield _made(0, b - a, row=row + np.arange(b - a), id=part.column(0), n=size, p1=prints[0], p2=prints[1], needs=lists[0], sk=lists[1], signed=signed)
+                row += b - a
+        yield from meet_here(row >> 16 << 16, sigs, places)
+
+    return run
+
+
+def _meet(bits: int):
+    """Of rows (bucket, row, width, run) in order of buckets: (sig, row, hub) for documents of different runs that share a signature."""
+
+    def met(bucket: int, runs: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if len(runs) < 2:
+            return
+        keys = np.concatenate([x for _, x in runs])
+        rows = np.repeat([b for b, _ in runs], [len(x) for _, x in runs]) | (keys & _U(0xFFFF)).astype(np.int64)
+        sig = keys >> _U(16)
+        order = np.argsort(sig, kind="stable")
+        sig, rows = sig[order], rows[order]
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(start, len(sig)))
+        hub = np.repeat(np.minimum.reduceat(rows, start), size)
+        tied = np.flatnonzero((np.repeat(size, size) > 1) & (rows != hub))
+        for at in range(0, len(tied), 200_000):
+            t = tied[at : at + 200_000]
+            yield pa.record_batch([pa.array(sig[t].view(np.int64)), pa.array(rows[t]), pa.array(hub[t])], names=["sig", "row", "hub"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs = -1, []
+        for batch in batches:
+            for bucket, base, width, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if bucket != now:
+                    yield from met(now, runs)
+                    now, runs = bucket, []
+                runs.append((base, _unpacked(data, width, bucket << (64 - bits))))
+        yield from met(now, runs)
 
     return run
 
 
 def _segments(k: int):
+    """(id, p1, frag, seg) of texts; p1 tells texts apart that repeat an id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = [_U(i * ((1 << 64) // FRAGMENTS)) for i in range(1, FRAGMENTS)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, frags, parts = [], [], []
+            for a, b in pieces(batch.column(1), 500):
+                part = batch.slice(a, b - a)
+                ids, prints, frags, parts = [], [], [], []
                 for i, s in zip(part.column(0).to_pylist(), shingles(part.column(1), k), strict=True):
+                    p1 = int(s.sum(dtype=_U).view(np.int64))
                     for f, seg in enumerate(np.split(s, np.searchsorted(s, bounds))):
                         if len(seg):
                             ids.append(i)
+                            prints.append(p1)
                             frags.append(f)
                             parts.append(seg.view(np.int64))
                 off = np.zeros(len(parts) + 1, np.int32)
                 np.cumsum([len(x) for x in parts], out=off[1:])
                 flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 yield pa.record_batch(
-                    [pa.array(ids, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
-                    names=["id", "frag", "seg"],
+                    [pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))],
+                    names=["id", "p1", "frag", "seg"],
                 )
 
     return run
 
 
 def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap): overlaps counted fragment by fragment, then summed per pair."""
-    left = segments.select(F.col("id").alias("a"), "frag", F.col("seg").alias("sa"))
-    right = segments.select(F.col("id").alias("b"), "frag", F.col("seg").alias("sb"))
-    held = pairs.join(left, "a").join(right, ["b", "frag"])
-    return held.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b").agg(F.sum("c").alias("overlap"))
+    """(a, b, overlap) of pairs (a, ia, pa, b, ib, pb): overlaps counted fragment by fragment, then summed per pair.
+
+    Every fragment of a pair is a row of its own, so a set with many partners is
+    spread over ``FRAGMENTS`` keys.
+    """
+    left = segments.select(F.col("id").alias("ia"), F.col("p1").alias("pa"), "frag", F.col("seg").alias("sa"))
+    right = segments.select(F.col("id").alias("ib"), F.col("p1").alias("pb"), "frag", F.col("seg").alias("sb"))
+    each = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])))
+    held = each.join(left, ["ia", "pa", "frag"]).join(right, ["ib", "pb", "frag"])
+    once = held.select("a", "b", "frag", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b", "frag").agg(F.max("c").alias("c"))
+    return once.groupBy("a", "b").agg(F.sum("c").alias("overlap"))
 
 
 def jaccard_components(
@@ -184,77 +325,80 @@ def jaccard_components(
     Two rows link when 100 * |A & B| >= percent * |A | B| for their sets of
     distinct k-word shingles (A-Z lowered; a text of fewer words is one shingle).
     ``component_id`` is the smallest id reachable by links, itself included.
-    Null or blank texts have no shingles and link with nothing.  Ids are taken
-    as unique: rows that repeat an id keep their own set, and an id that is the
-    smallest of two classes joins them.  A row without an id gets no component.
-    An empty table gives an empty table.  Only ``id_col`` and ``text_col`` are
-    read.  percent must be over 50.
+    Null or blank texts have no shingles and link with nothing.  Rows that repeat
+    an id are rows of their own, each compared by its own text.  A row without an
+    id links with nothing and gets no component.  An empty table gives an empty
+    table.  Only ``id_col`` and ``text_col`` are read.  percent must be over 50.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be in (50, 100]")
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = scratch.put(
-        texts.mapInArrow(_features(percent, k), "id long, n long, p1 long, p2 long, sigs array<long>, needs array<int>, sk array<long>"), "features"
-    )
-    twins = feats.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
-    reps = scratch.put(twins, "classes")
-    known = reps.groupBy(F.col("rep").alias("id")).agg(F.min("n").alias("n")).where("id is not null")
-    sized = scratch.put(
-        feats.where("n > 0").join(known, ["id", "n"], "left_semi").groupBy("id").agg(F.first(F.struct("n", "sk", "needs"), ignorenulls=True).alias("f")).select("id", "f.n", "f.sk", "f.needs"), "sized"
-    )
-    # Copies of classes with a thousandth of all rows are left out here without a shuffle; the few others once buckets are small.
-    total = reps.agg(F.sum("rows")).first()[0] or 0
-    large = F.broadcast(reps.where(F.col("rows") * 1000 >= total).drop("rows"))
-    signed = feats.where("size(sigs) > 0 and id is not null").join(large, ["n", "p1", "p2"], "left").where("rep is null or id = rep")
-    signed = signed.select("id", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1").select("sig")
-    members = signed.join(shared, "sig", "left_semi").join(sized.select("id"), "id", "left_semi").distinct()
-    members = scratch.put(members.select("sig", "id"), "members")
-    hub = members.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sig", "hub")
-    buckets = scratch.put(members.join(hub, "sig").where("id <> hub").select("sig", "id", "hub"), "buckets")
-    scratch.drop(members)
-
-    def verify(pairs: DataFrame, tag: str) -> DataFrame:
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    bits = min(20, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    made = scratch.put(texts.mapInArrow(_features(percent, k, bits), _MADE), "features")
+    feats = made.where("kind = 0").select("row", "id", "n", "p1", "p2", "needs", "sk", "signed")
+    keys = ["n", "p1", "p2"]
+    sets = scratch.put(feats.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
+
+    runs = made.where("kind = 1").select("bucket", "row", "width", "run").repartition("bucket").sortWithinPartitions("bucket")
+    met = runs.mapInArrow(_meet(bits), "sig long, row long, hub long")
+    ties = scratch.put(met.union(made.where("kind = 2").select("sig", "row", "hub")), "ties")
+    pairs = scratch.put(ties.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+
+    def verify(asked: DataFrame, tag: str) -> DataFrame:
         """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
-        na, nb = (sized.select(F.col("id").alias(c), F.struct("n", "sk").alias(f"f{c}")) for c in "ab")
-        close = pairs.join(na, "a").join(nb, "b").where(_apart("fa", "fb", percent)).select("a", "b", "fa.n", F.col("fb.n").alias("m"))
-        close = scratch.put(close, f"{tag}-close")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        segments = texts.join(wanted, "id", "left_semi").mapInArrow(_segments(k), "id long, frag int, seg array<long>")
-        counted = count_overlaps(close.select("a", "b"), scratch.put(segments, f"{tag}-segments"))
-        held = close.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
-        return scratch.put(held.select("a", "b"), tag)
-
-    links = verify(buckets.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "links0")
+        na, nb = (feats.select(F.col("row").alias(c), F.struct("n", "p1", "p2", "sk", "id").alias(f"f{c}")) for c in "ab")
+        facts = ["a", F.col("fa.id").alias("ia"), F.col("fa.p1").alias("pa"), "b", F.col("fb.id").alias("ib"), F.col("fb.p1").alias("pb")]
+        equal = F.col("fa.n").eqNullSafe(F.col("fb.n")) & (F.col("fa.p1") == F.col("fb.p1")) & (F.col("fa.p2") == F.col("fb.p2"))
+        close = asked.join(na, "a").join(nb, "b").where(_apart("fa", "fb", percent))
+        close = scratch.put(close.select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
+        open_ = close.where("not equal")
+        wanted = scratch.put(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{tag}-wanted")
+        segments = scratch.put(pick(texts, wanted, ["id"]).mapInArrow(_segments(k), "id long, p1 long, frag int, seg array<long>"), f"{tag}-segments")
+        counted = count_overlaps(open_.select("a", "ia", "pa", "b", "ib", "pb"), segments)
+        held = open_.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
+        out = scratch.put(held.select("a", "b").union(close.where("equal").select("a", "b")), tag)
+        scratch.drop(close, wanted, segments)
+        return out
+
+    copies = feats.where("signed").join(sets.where("rows > 1"), keys).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    links = verify(pairs, "links").union(scratch.put(copies, "copies"))
     label = components(links, scratch)
-    for round_ in range(1, HUB_ROUNDS + 1):
-        rest = buckets.join(label.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        split = rest.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        open_ = scratch.put(rest.join(split.select("sig"), "sig", "left_semi"), f"open{round_}")
-        if open_.limit(1).count() == 0:
-            break
-        if round_ < HUB_ROUNDS:
-            hubs = open_.groupBy("sig").agg(F.max_by(F.struct("id", "component"), F.xxhash64("id")).alias("h"))
-            pairs = open_.join(hubs, "sig").where("component <> h.component").select(F.col("h.id").alias("x"), F.col("id").alias("y"))
-        else:
-            often = open_.groupBy("sig").agg(F.count("*").alias("often"))
-            parity = F.col("sig").bitwiseAND(1)
-            rarest = Window.partitionBy("id", parity).orderBy("often", "sig")
-            placed = open_.join(often, "sig").withColumns({"place": F.row_number().over(rarest), "of": F.count("*").over(Window.partitionBy("id", parity))})
-            need = F.element_at("needs", (parity + 1).cast("int"))
-            prefix = placed.join(sized.select("id", "n", "needs", "sk"), "id").where(F.col("place") <= F.col("of") - need + 1)
-            prefix = scratch.put(prefix.select("sig", "id", "component", F.struct("n", "sk").alias("f")), "prefix")
-            x, y = (prefix.select("sig", F.col("id").alias(i), F.col("f").alias(f"f{i}"), F.col("component").alias(f"c_{i}")) for i in "xy")
-            pairs = x.join(y, "sig").where(f"x < y and c_x <> c_y and {_apart('fx', 'fy', percent)}").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = verify(pairs, f"links{round_}")
-        links = links.union(more)
-        label = components(links, scratch)
-    grouped = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "p1", "p2", F.coalesce("component", "rep").alias("component")
-    )
-    return spread(feats, grouped).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+    def placed(df: DataFrame, row: str, name: str) -> DataFrame:
+        return df.join(label.select(F.col("node").alias(row), F.col("component").alias("_c")), row, "left").withColumn(name, F.coalesce("_c", row)).drop("_c")
+
+    cross = scratch.put(placed(placed(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("hub"), F.col("b").alias("row")), "cross")
+    if cross.limit(1).count():
+        open_sigs = scratch.put(pick(ties, cross, ["row", "hub"]).select("sig").distinct(), "open")
+        tied = scratch.put(pick(ties, open_sigs, ["sig"]), "tied")
+        members = tied.select("sig", "row").union(tied.select("sig", F.col("hub").alias("row"))).distinct()
+        phase = F.col("sig").bitwiseAND(PHASES - 1)
+        own = members.groupBy("row", phase.alias("phase")).agg(F.count("*").alias("of"))
+        fit = feats.select("row", "n", "sk", "needs").join(own, "row").withColumn("need", F.element_at("needs", F.col("phase").cast("int") + 1)).where("of >= need")
+        fit = scratch.put(fit.select("row", "phase", "n", "sk", "of", "need"), "fit")
+        kept = scratch.put(members.withColumn("phase", phase).join(fit.select("row", "phase", "of", "need"), ["row", "phase"]), "kept")
+        often = kept.groupBy("sig").agg(F.count("*").alias("often"))
+        rarest = F.row_number().over(Window.partitionBy("row", "phase").orderBy("often", "sig"))
+        prefix = kept.join(often, "sig").withColumn("place", rarest).where("place <= of - need + 1").select("sig", "row", "phase")
+        prefix = placed(prefix, "row", "component")
+        sizes = prefix.groupBy("sig").agg(F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several")).where("several")
+        prefix = scratch.put(prefix.join(sizes.select("sig", "b"), "sig").join(fit.select("row", "phase", F.struct("n", "sk").alias("f")), ["row", "phase"]), "prefix")
+        blocks = F.ceil(F.col("b") / BUCKET).cast("int")
+        side = F.pmod(F.xxhash64("row"), blocks).cast("int")
+        dealt = prefix.select("sig", "row", "component", "f", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
+        x, y = (dealt.select("sig", "bi", "bj", *[F.col(c).alias(f"{c}_{i}") for c in ("row", "component", "f", "side")]) for i in "xy")
+        apart = f"row_x < row_y and component_x <> component_y and (bi = bj or side_x <> side_y) and {_apart('f_x', 'f_y', percent)}"
+        more = x.join(y, ["sig", "bi", "bj"]).where(apart).select(F.col("row_x").alias("a"), F.col("row_y").alias("b")).distinct()
+        more = verify(scratch.put(more, "more"), "more-links")
+        if more.limit(1).count():
+            label = components(links.union(more), scratch)
+    named = placed(sets.withColumnRenamed("rep", "row"), "row", "component")
+    least = named.groupBy("component").agg(F.min("least").alias("least_of"))
+    grouped = named.join(least, "component").select(*keys, F.col("least_of").alias("component"))
+    return spread(feats, scratch.put(grouped, "grouped")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def spread(feats: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -281,21 +425,24 @@ def spread(feats: DataFrame, grouped: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest id of their component.
 
-    Rows without an id stay.  Where ids are repeated, every row is compared by
-    its own text: of each component one row stays, one of those with the
-    smallest id, and no row goes for another that only has its id.
+    Rows without an id stay, as do those with null or blank texts.  Where ids are
+    repeated, every row is compared by its own text: of each component one row
+    stays, one of those with the smallest id, and no row goes for another that
+    only has its id.  An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     number = F.col(id_col).cast("long")
-    again = docs.groupBy(number.alias("id")).agg(F.count("*").alias("rows")).where("rows > 1 and id is not null")
+    again = docs.select(number.alias("id")).groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1 and id is not null")
     if again.limit(1).count() == 0:
-        found = scratch.put(jaccard_components(docs, id_col, text_col, k, percent), "components")
-        gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone"))
-        return docs.join(gone, number == F.col("_gone"), "left_anti")
-    rows = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        name = fresh(docs, "gone")
+        found = jaccard_components(docs, id_col, text_col, k, percent)
+        gone = scratch.put(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(name)), "gone")
+        return pick(docs.withColumn(name, number), gone, [name], "left_anti").drop(name)
+    row = fresh(docs, "row")
+    rows = scratch.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     known = rows.where(number.isNotNull())
-    parts = jaccard_components(known.select("_row", F.col(text_col).alias("_text")), "_row", "_text", k, percent)
-    found = scratch.put(parts.select("_row", "component_id").join(known.select("_row", number.alias("_id")), "_row"), "components")
+    parts = jaccard_components(known.select(F.col(row).alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", k, percent)
+    found = scratch.put(parts.select("_row", "component_id").join(known.select(F.col(row).alias("_row"), number.alias("_id")), "_row"), "components")
     kept = found.groupBy("component_id").agg(F.min_by("_row", F.struct("_id", "_row")).alias("_row")).select("_row")
-    gone = found.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = scratch.put(found.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias(row)), "gone")
+    return pick(rows, gone, [row], "left_anti").select(*docs.columns)

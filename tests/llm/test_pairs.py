@@ -9,7 +9,7 @@ import pytest
 
 from skeinflow.llm.kd_search import chi_square_point, nearest
 from skeinflow.llm.lattice_dedup import decode_e8, near_duplicates
-from skeinflow.llm.vertical_join import jaccard_components, keep_one, signatures
+from skeinflow.llm.vertical_join import jaccard_components, keep_one, sign
 
 
 def components_of(ids, links):
@@ -60,7 +60,7 @@ def test_small_sets_with_empty_fragments_share_a_signature():
     rng = np.random.default_rng(6)
 
     def signed(s, percent):
-        return set(next(signatures(iter([np.sort(s)]), percent))[0].tolist())
+        return set(sign(np.sort(s), np.array([0, len(s)]), percent)[0].tolist())
 
     quarter = 1 << 62
     a = rng.integers(0, quarter, 8, dtype=np.uint64)
