@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

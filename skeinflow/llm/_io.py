@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a row group of scratch tables: what a writing task holds.
 GROUP = 16 << 20
+#: Bytes of an Arrow batch that goes to Python at most; Spark's own setting counts in tens of megabytes.
+BATCH = 4 << 20
 #: Rows of a key table that is broadcast at most; a larger one is joined by a shuffle.
 FEW = 1_000_000
 
@@ -39,7 +41,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed."""
+    """Let Python workers import this package when it is not installed, and hand them at most ``BATCH`` bytes at once.
+
+    Rows with long texts would otherwise fill executors' memory; a smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= BATCH:
+        spark.conf.set(key, BATCH)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

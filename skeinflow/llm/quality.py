@@ -77,11 +77,10 @@ def statistics(column: pa.Array) -> np.ndarray:
     close[:-1] &= ~solid[1:] | edge[1:n]
     a, b = np.flatnonzero(begin), np.flatnonzero(close) + 1
     words = np.bincount(owner[a], minlength=rows).astype(float)
-    new = data == 10
-    line_end = np.unique(np.concatenate((np.flatnonzero(new), off[1:])))
-    line_begin = np.unique(np.concatenate((off[:-1], np.flatnonzero(new) + 1)))
+    new = np.flatnonzero(data == 10)
+    line_begin = np.unique(np.concatenate((off[:-1], new + 1)))
     line_begin = line_begin[line_begin < n]
-    line_end = line_end[np.searchsorted(line_end, line_begin)]
+    line_end = np.minimum(np.append(new, n)[np.searchsorted(new, line_begin)], off[1:][owner[line_begin]])
     full = line_end > line_begin
     line_begin, line_end = line_begin[full], line_end[full]
     lines = np.bincount(owner[line_begin], minlength=rows).astype(float)

@@ -26,7 +26,8 @@ bits of different segments make a candidate more, never a link or a loss.
 *Sketches.*  Bit b of a set's sketch is the parity of its n-grams that fall on b,
 so two sketches differ in at most as many bits as the sets in n-grams.  Pairs
 whose sketches differ in more than the similarity allows are no candidates; this
-bound is exact and drops no link.
+bound is exact and drops no link.  A short sketch is held against another in the
+join, a long one, of twice the set's size at least, before counting.
 
 *Counting.*  For candidate pairs, the overlap of each of ``FRAGMENTS`` coarser
 fragments is counted separately and summed per pair.
@@ -63,7 +64,7 @@ SKETCH = 8
 #: Bits of a signature; the lowest are its class's number modulo ``PHASES``.
 WIDTH, PHASES = 48, 4
 #: Signatures that a task sorts at once, documents of a block in the last comparison.
-RUN, BUCKET = 1 << 21, 1024
+RUN, BUCKET = 1 << 20, 1024
 _U = np.uint64
 
 
@@ -138,30 +139,38 @@ def sign(flat: np.ndarray, off: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return np.concatenate(out), np.concatenate(owner), needs
 
 
-def _sketches(marks: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of ``SKETCH`` words for each set, from well-mixed hashes."""
-    size = 64 * SKETCH
-    bit = (marks >> _U(40)).astype(np.int64) % size + size * np.repeat(np.arange(len(off) - 1), np.diff(off))
-    parity = np.bincount(bit, minlength=size * (len(off) - 1)).astype(np.uint8) & 1
-    return np.packbits(parity).view(np.int64)
+def _parities(marks: np.ndarray, off: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The parity sketches of ``size`` bits, a power of two from 64 on, of each set, row after row in words, from well-mixed hashes."""
+    count = np.diff(off)
+    base = np.cumsum(size) - size
+    at = np.repeat(base, count) + ((marks >> _U(20)).astype(np.int64) & np.repeat(size - 1, count))
+    return np.packbits(np.bincount(at, minlength=int(size.sum())).astype(np.uint8) & 1).view(np.int64)
 
 
 def _apart(x: str, y: str, percent: int) -> str:
-    """SQL that is false only for pairs of rows whose sketches or sizes rule the similarity out."""
+    """SQL that is false only for pairs of rows whose sizes or short sketches rule the similarity out."""
     bits = " + ".join(f"bit_count({x}.sk[{i}] ^ {y}.sk[{i}])" for i in range(SKETCH))
     sizes = f"100 * {x}.n >= {percent} * {y}.n and 100 * {y}.n >= {percent} * {x}.n"
     return f"{sizes} and ({bits}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
 
 
+def _far(x: str, y: str, percent: int) -> str:
+    """The same by the long sketches; the longer one is folded to the length of the other."""
+    short = f"least(size({x}.wide), size({y}.wide))"
+    word = "aggregate(sequence(0, cast(size({0}.wide) / {1} as int) - 1), 0L, (w, j) -> w ^ {0}.wide[i + j * {1}])"
+    bits = f"aggregate(sequence(0, {short} - 1), 0, (c, i) -> c + bit_count({word.format(x, short)} ^ {word.format(y, short)}))"
+    return f"{bits} * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
+
+
 #: What one pass over the texts gives: documents (kind 0), runs of signatures for a bucket (1), and ties within a task (2).
 MADE = pa.schema(
     [
         ("kind", pa.int32()), ("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64()), ("needs", pa.list_(pa.int32())),
-        ("sk", pa.list_(pa.int64())), ("signed", pa.bool_()), ("bucket", pa.int32()), ("width", pa.int32()), ("run", pa.binary()), ("sig", pa.int64()), ("hub", pa.int64()),
+        ("sk", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("signed", pa.bool_()), ("bucket", pa.int32()), ("width", pa.int32()), ("run", pa.binary()), ("sig", pa.int64()), ("hub", pa.int64()),
     ]
 )
 _MADE = (
-    "kind int, row long, id long, n long, p1 long, p2 long, needs array<int>, sk array<long>, signed boolean, bucket int, width int, run binary, sig long, hub long"
+    "kind int, row long, id long, n long, p1 long, p2 long, needs array<int>, sk array<long>, wide array<long>, signed boolean, bucket int, width int, run binary, sig long, hub long"
 )
 
 
@@ -235,8 +244,13 @@ def _features(percent: int, k: int, bits: int):
                 sigs.append(mine)
                 places.append((row & 0xFFFF) + rows[of])
                 count += len(mine)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * w), pa.array(x)) for w, x in ((PHASES, needs.ravel()), (SKETCH, _sketches(marks, off)))]
-                yield _made(0, b - a, row=row + np.arange(b - a), id=part.column(0), n=size, p1=prints[0], p2=prints[1], needs=lists[0], sk=lists[1], signed=signed)
+                long = np.maximum(64 * SKETCH, 2 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(w))).astype(np.int32)), pa.array(x)) for w, x in (
+                        (np.full(b - a, PHASES), needs.ravel()), (np.full(b - a, SKETCH), _parities(marks, off, np.full(b - a, 64 * SKETCH))), (long // 64, _parities(marks, off, long)),
+                    )
+                ]
+                yield _made(0, b - a, row=row + np.arange(b - a), id=part.column(0), n=size, p1=prints[0], p2=prints[1], needs=lists[0], sk=lists[1], wide=lists[2], signed=signed)
                 row += b - a
         yield from meet_here(row >> 16 << 16, sigs, places)
 
@@ -337,22 +351,23 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = min(20, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     made = scratch.put(texts.mapInArrow(_features(percent, k, bits), _MADE), "features")
-    feats = made.where("kind = 0").select("row", "id", "n", "p1", "p2", "needs", "sk", "signed")
+    feats = scratch.put(made.where("kind = 0").select("row", "id", "n", "p1", "p2", "needs", "sk", "wide", "signed"), "documents")
     keys = ["n", "p1", "p2"]
     sets = scratch.put(feats.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
 
     runs = made.where("kind = 1").select("bucket", "row", "width", "run").repartition("bucket").sortWithinPartitions("bucket")
     met = runs.mapInArrow(_meet(bits), "sig long, row long, hub long")
     ties = scratch.put(met.union(made.where("kind = 2").select("sig", "row", "hub")), "ties")
+    scratch.drop(made)
     pairs = scratch.put(ties.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
 
     def verify(asked: DataFrame, tag: str) -> DataFrame:
         """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
-        na, nb = (feats.select(F.col("row").alias(c), F.struct("n", "p1", "p2", "sk", "id").alias(f"f{c}")) for c in "ab")
+        na, nb = (feats.select(F.col("row").alias(c), F.struct("n", "p1", "p2", "sk", "wide", "id").alias(f"f{c}")) for c in "ab")
         facts = ["a", F.col("fa.id").alias("ia"), F.col("fa.p1").alias("pa"), "b", F.col("fb.id").alias("ib"), F.col("fb.p1").alias("pb")]
         equal = F.col("fa.n").eqNullSafe(F.col("fb.n")) & (F.col("fa.p1") == F.col("fb.p1")) & (F.col("fa.p2") == F.col("fb.p2"))
         close = asked.join(na, "a").join(nb, "b").where(_apart("fa", "fb", percent))
-        close = scratch.put(close.select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
+        close = scratch.put(close.where(_far("fa", "fb", percent)).select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
         open_ = close.where("not equal")
         wanted = scratch.put(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{tag}-wanted")
         segments = scratch.put(pick(texts, wanted, ["id"]).mapInArrow(_segments(k), "id long, p1 long, frag int, seg array<long>"), f"{tag}-segments")

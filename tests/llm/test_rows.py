@@ -14,7 +14,7 @@ from skeinflow.llm import arc_convert as arc
 from skeinflow.llm import secrets
 from skeinflow.llm.language_id import codewords, fit, identify
 from skeinflow.llm.packing import pack
-from skeinflow.llm.quality import Discriminant, quality
+from skeinflow.llm.quality import FEATURES, Discriminant, forward, quality, statistics
 from skeinflow.llm.queries import op3_secret_scan, queries, tokenizer_file
 from skeinflow.llm.secrets import find, find_secrets, guess_bits, redact, suspects
 
@@ -134,6 +134,21 @@ def test_quality(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_statistics_do_not_depend_on_neighbours():
+    texts = pa.array(["a b\nc d\na b", "", "x y z", None, "one line", "\n\nlast\n", "p q\np q\np q", "é | !"])
+    whole = statistics(texts)
+    alone = np.concatenate([statistics(texts[i : i + 1]) for i in range(len(texts))])
+    assert np.allclose(whole, alone, rtol=1e-12)
+    column = FEATURES.index("line_repeats")
+    assert whole[6, column] > whole[0, column] > whole[2, column]
+
+
+def test_forward_substitution():
+    factor = np.linalg.cholesky(np.cov(np.random.default_rng(1).normal(size=(5, 40))))
+    b = np.random.default_rng(2).normal(size=(5, 7))
+    assert np.allclose(factor @ forward(factor, b), b)
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (3, "word " * 50_000), (None, "a b c"), (4, "x"), (4, "| | |")]
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
