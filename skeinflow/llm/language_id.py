@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import buffers, pieces
-from skeinflow.llm._io import ship
+from skeinflow.llm._io import ship, tidied
 
 BUCKETS = 1 << 14
 #: Made-up count of every bucket; slope of a soft bit per n-gram; lead below which a text is ambiguous.
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    return chosen.mapInArrow(tidied(run), f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -238,4 +238,4 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
                 cols[lang_at] = pc.coalesce(cols[lang_at], pa.array(named, cols[lang_at].type))
                 yield pa.record_batch(cols, schema=part.schema).filter(pa.array(~unsure))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

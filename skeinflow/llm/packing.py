@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._io import Scratch
+from skeinflow.llm._io import Scratch, tidied
 
 OPEN, CUT, MERGE = 32, 64, 64
 #: Chunks of text whose ids a worker remembers.
-REMEMBER = 700_000
+REMEMBER = 400_000
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space that may join a chunk to the next; texts with it are tokenised whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -47,6 +48,7 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -262,7 +264,7 @@ def pack(
         raise ValueError("size must be a power of two")
     scratch = Scratch(docs.sparkSession, "packing")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = scratch.put(texts.mapInArrow(_pack(tokenizer_path, end_id, size, keep_ids), _SCHEMA), "packed")
+    made = scratch.put(texts.mapInArrow(tidied(_pack(tokenizer_path, end_id, size, keep_ids)), _SCHEMA), "packed")
     out, rest, round_ = made.where("closed"), made.where("not closed"), 0
     while True:
         round_ += 1

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import buffers, pieces
-from skeinflow.llm._io import FEW, Scratch, ship
+from skeinflow.llm._io import FEW, Scratch, ship, tidied
 
 #: Shares of the pooled covariance and of the diagonal in each class's covariance, and the score from which a text is good.
 POOLED, DIAGONAL, ACCEPT = 0.3, 0.05, 0.7
@@ -226,7 +226,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     ship(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = chosen.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    out = chosen.mapInArrow(tidied(run), "id long, score double").withColumnRenamed("id", id_col)
     return out.select(id_col, F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
@@ -247,4 +247,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 good = model.score(statistics(part.column(where))) >= least
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import buffers, pieces
-from skeinflow.llm._io import ship
+from skeinflow.llm._io import ship, tidied
 
 BITS = 40.0
 KINDS = ("assign", "access", "hex", "guess")
@@ -282,7 +282,7 @@ def redact(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars",
                     part = pa.record_batch(cols, schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def cover(text: str, spans: list[tuple], mark: str) -> str:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import mix, pieces, shingle_sets, shingles
 from skeinflow.llm._graph import components
-from skeinflow.llm._io import Scratch, fresh, pick
+from skeinflow.llm._io import Scratch, fresh, pick, tidied
 
 FRAGMENTS = 8
 #: Words of 64 bits of a parity sketch.
@@ -350,13 +350,13 @@ def jaccard_components(
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = min(20, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    made = scratch.put(texts.mapInArrow(_features(percent, k, bits), _MADE), "features")
+    made = scratch.put(texts.mapInArrow(tidied(_features(percent, k, bits)), _MADE), "features")
     feats = scratch.put(made.where("kind = 0").select("row", "id", "n", "p1", "p2", "needs", "sk", "wide", "signed"), "documents")
     keys = ["n", "p1", "p2"]
     sets = scratch.put(feats.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
 
     runs = made.where("kind = 1").select("bucket", "row", "width", "run").repartition("bucket").sortWithinPartitions("bucket")
-    met = runs.mapInArrow(_meet(bits), "sig long, row long, hub long")
+    met = runs.mapInArrow(tidied(_meet(bits)), "sig long, row long, hub long")
     ties = scratch.put(met.union(made.where("kind = 2").select("sig", "row", "hub")), "ties")
     scratch.drop(made)
     pairs = scratch.put(ties.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
@@ -370,7 +370,7 @@ def jaccard_components(
         close = scratch.put(close.where(_far("fa", "fb", percent)).select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
         open_ = close.where("not equal")
         wanted = scratch.put(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{tag}-wanted")
-        segments = scratch.put(pick(texts, wanted, ["id"]).mapInArrow(_segments(k), "id long, p1 long, frag int, seg array<long>"), f"{tag}-segments")
+        segments = scratch.put(pick(texts, wanted, ["id"]).mapInArrow(tidied(_segments(k)), "id long, p1 long, frag int, seg array<long>"), f"{tag}-segments")
         counted = count_overlaps(open_.select("a", "ia", "pa", "b", "ib", "pb"), segments)
         held = open_.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
         out = scratch.put(held.select("a", "b").union(close.where("equal").select("a", "b")), tag)
