@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.sources.scratch import keep
+
 
 def successors(relations: DataFrame) -> DataFrame:
     """(oid, otype, source, target) for consecutive events of an object, in order of (ts, eid).
@@ -42,7 +44,7 @@ def dfg(relations: DataFrame, patterns: DataFrame) -> DataFrame:
     ``weight`` is the share of all such steps in percent, rounded up, computed in
     double precision in a fixed order.
     """
-    loose = F.broadcast(patterns.where("divergent").select("activity", "otype"))
+    loose = patterns.where("divergent").select("activity", "otype")
     steps = successors(_once(relations)).groupBy("otype", "source", "target").agg(F.count("*").alias("n"))
     a = steps.join(loose.select(F.col("activity").alias("source"), "otype", F.lit(True).alias("da")), ["source", "otype"], "left")
     b = a.join(loose.select(F.col("activity").alias("target"), "otype", F.lit(True).alias("db")), ["target", "otype"], "left")
@@ -86,10 +88,18 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 
 
 def reachability(edges: DataFrame) -> DataFrame:
-    """(source, target): reflexive transitive closure over the activities on an edge."""
+    """(source, target): reflexive transitive closure over the activities on an edge.
+
+    Every round doubles the length of paths and is written, so a plan holds one
+    join however many rounds there are; it ends when a round adds nothing.
+    """
+    edges = keep(edges.select("source", "target"), "edges")
     names = edges.select(F.explode(F.array("source", "target")).alias("source")).distinct()
-    far = names.select("source", F.col("source").alias("target")).union(edges.select("source", "target")).distinct()
-    for _ in range(max(1, names.count() - 1).bit_length()):  # each round doubles the length of paths
+    far = keep(names.select("source", F.col("source").alias("target")).union(edges).distinct(), "reach")
+    size = far.count()
+    while True:
         onward = far.select(F.col("source").alias("target"), F.col("target").alias("_end"))
-        far = far.join(onward, "target").select("source", F.col("_end").alias("target")).distinct()
-    return far
+        far = keep(far.join(onward, "target").select("source", F.col("_end").alias("target")).distinct(), "reach")
+        if (now := far.count()) == size:
+            return far
+        size = now

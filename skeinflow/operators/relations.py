@@ -35,7 +35,7 @@ def patterns(relations: DataFrame) -> DataFrame:
         F.sum("events").alias("events"), F.max(F.col("part.n") > 1).alias("convergent"), F.max("divergent").alias("divergent")
     )
     total = once.select("eid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("total"))
-    return pairs.join(F.broadcast(total), "activity").select(
+    return pairs.join(total, "activity").select(
         "activity", "otype", F.lit(True).alias("related"), "divergent", "convergent", (F.col("events") != F.col("total")).alias("deficient")
     )
 

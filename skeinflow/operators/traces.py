@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.sources.scratch import keep
+
 
 def kept_relations(relations: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows of objects in whose trace fewer than two activities are divergent for the object's type."""
-    loose = F.broadcast(patterns.where("divergent").select("activity", "otype"))
+    loose = patterns.where("divergent").select("activity", "otype")
     bad = relations.select("oid", "otype", "activity").distinct().join(loose, ["activity", "otype"], "left_semi")
     gone = bad.groupBy("oid").agg(F.count("*").alias("n")).where("n >= 2").select("oid")
     return relations.join(gone, "oid", "left_anti")
@@ -35,9 +37,9 @@ def offsets(relations: DataFrame) -> DataFrame:
 
 def presence(relations: DataFrame) -> DataFrame:
     """(activity, objects, share): the share of objects that have the activity."""
-    total = relations.agg(F.count_distinct("oid").alias("total"))
+    total = relations.select("oid").distinct().count()
     held = relations.select("oid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("objects"))
-    return held.join(F.broadcast(total)).select("activity", "objects", (F.col("objects").cast("double") / F.col("total")).alias("share"))
+    return held.select("activity", "objects", (F.col("objects").cast("double") / float(total or 1)).alias("share"))
 
 
 def histogram(relations: DataFrame) -> DataFrame:
@@ -53,9 +55,10 @@ def order_cost(missing: DataFrame, relations: DataFrame) -> DataFrame:
 
     Pairs of occurrences are counted from running sums over the histogram, never made.
     """
-    hist, share = histogram(relations), F.broadcast(presence(relations).select("activity", "share"))
-    size = F.broadcast(hist.groupBy("activity").agg(F.sum("n").alias("size")))
-    pairs = F.broadcast(missing.select("source", "target"))
+    relations = keep(relations, "kept")
+    hist, share = keep(histogram(relations), "histogram"), keep(presence(relations).select("activity", "share"), "presence")
+    missing = keep(missing.select("source", "target"), "missing")
+    pairs = missing
     asks = hist.withColumnRenamed("activity", "source").join(pairs, "source").select("source", "target", "secs", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
     data = hist.withColumnRenamed("activity", "target").join(pairs, "target").select("source", "target", "secs", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
     until = F.sum("b").over(Window.partitionBy("source", "target").orderBy("secs").rangeBetween(Window.unboundedPreceding, 0))
@@ -70,25 +73,28 @@ def order_cost(missing: DataFrame, relations: DataFrame) -> DataFrame:
 BUCKETS = 100
 
 
-def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform", floor: float | None = 1.0) -> DataFrame:
-    """(source, target, score, cost): the area between the smoothed chance that target is still to come and source's mass.
+def curve_series(missing: DataFrame, relations: DataFrame, kernel: str = "uniform") -> DataFrame:
+    """(source, target, i, step, share_a, share_b, mass, later): the two curves of each missing edge over the buckets of its range.
 
-    Buckets of a pair's common range look up counts and sums below their bounds
+    ``mass`` is source's share in a bucket, ``later`` the smoothed chance that
+    target is still to come.  Buckets look up counts and sums below their bounds
     in one running sum per activity.  ``kernel="logistic"`` has no closed form
     and holds every bucket against the target's histogram.
     """
-    hist = histogram(relations)
+    relations = keep(relations, "kept")
+    hist, missing = keep(histogram(relations), "histogram"), keep(missing.select("source", "target"), "missing")
     stats = hist.groupBy("activity").agg(
         F.sum("n").alias("size"), F.min("secs").alias("lo"), F.max("secs").alias("hi"), F.sum(F.col("n") * F.col("secs").cast("double")).alias("s"),
         F.sum(F.col("n") * F.col("secs").cast("double") * F.col("secs").cast("double")).alias("ss"),
     )
     mean = stats.select("activity", (F.col("s") / F.col("size")).alias("mean"))
-    spread = hist.join(F.broadcast(mean), "activity").groupBy("activity").agg(F.sum(F.col("n") * F.pow(F.col("secs") - F.col("mean"), 2)).alias("dev"))
+    spread = hist.join(mean, "activity").groupBy("activity").agg(F.sum(F.col("n") * F.pow(F.col("secs") - F.col("mean"), 2)).alias("dev"))
     sd = F.sqrt(F.col("dev") / (F.col("size") - 1))
     wide = 4.0 if kernel == "uniform" else 1.0
     bw = F.when((F.col("size") < 2) | (F.col("dev") == 0), 1.0).otherwise(F.lit(1.06) * sd * F.pow(F.col("size").cast("double"), F.lit(-0.2)) * wide)
     known = stats.join(spread, "activity").join(presence(relations).select("activity", "share"), "activity").select("activity", "size", "lo", "hi", "share", bw.alias("bw"))
-    a, b = (F.broadcast(known.select(*[F.col(c).alias(f"{c}_{x}" if c != "activity" else n) for c in known.columns])) for x, n in (("a", "source"), ("b", "target")))
+    known = keep(known, "activities")
+    a, b = ((known.select(*[F.col(c).alias(f"{c}_{x}" if c != "activity" else n) for c in known.columns])) for x, n in (("a", "source"), ("b", "target")))
     low, high = F.least("lo_a", "lo_b").cast("double"), F.greatest("hi_a", "hi_b").cast("double")
     margin = (high - low) * 0.1 + 1.0
     grid = missing.select("source", "target").join(a, "source").join(b, "target").withColumns({"x0": low - margin, "step": ((high + margin) - (low - margin)) / float(BUCKETS)})
@@ -118,6 +124,13 @@ def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform"
         mine = hist.select(F.col("activity").alias("source"), F.col("secs").cast("double").alias("v"), "n")
         mass = grid.join(mine, "source").where("v >= r and v <= t").groupBy("source", "target", "i").agg((F.sum("n") / F.first("size_a")).alias("mass"))
         points = late.join(mass, ["source", "target", "i"], "left").select("source", "target", "i", "step", "share_a", "share_b", F.coalesce("mass", F.lit(0.0)).alias("mass"), "later")
+    return points
+
+
+def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform", floor: float | None = 1.0) -> DataFrame:
+    """(source, target, score, cost): the area between the curves of ``curve_series``, scaled so that the largest costs nothing; at least ``floor``."""
+    missing = keep(missing.select("source", "target"), "missing")
+    points = curve_series(missing, relations, kernel)
     area = points.groupBy("source", "target").agg(((F.sum(F.col("step") * F.col("later")) - F.sum(F.col("step") * F.col("mass"))) * F.first("share_a") * F.first("share_b")).alias("score"))
     every = missing.select("source", "target").join(area, ["source", "target"], "left").select("source", "target", F.coalesce("score", F.lit(0.0)).alias("score"))
     most = F.max(F.abs("score")).over(Window.partitionBy())
@@ -125,10 +138,64 @@ def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform"
     return every.select("source", "target", "score", (F.greatest(cost, F.lit(float(floor))) if floor is not None else cost).alias("cost"))
 
 
-def violations(traces_df: DataFrame, left: list[str], right: list[str], kind: str) -> DataFrame:
-    """(traces, violating): traces that break a cut; sequence: the first of ``left`` comes before the first of ``right``; exclusive: not both."""
+def violations(relations: DataFrame, left: list[str], right: list[str], kind: str) -> DataFrame:
+    """(traces, violating): traces that break a cut; sequence: the first of ``left`` comes before the first of ``right``; exclusive: not both.
+
+    Only the first event of each side is kept of an object, by partial
+    aggregates, so no trace is gathered.
+    """
+    key = F.struct("ts", "eid")
+    first = [F.min(F.when(F.col("activity").isin(side), key)).alias(n) for n, side in (("a", left), ("b", right))]
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    bad = both if kind == "exclusive" else both & (F.col("a") > F.col("b"))
+    return relations.groupBy("oid", "otype").agg(*first).agg(F.count("*").alias("traces"), F.count_if(bad).alias("violating"))
+
+
+def raw_traces(events: DataFrame, e2o: DataFrame) -> DataFrame:
+    """(oid, activities) of every object id that a link names, declared or not, in order of (time, id).
+
+    ``events``: id, type, time; ``e2o``: event_id, object_id.  Links to unknown
+    events and without an object are left out.
+    """
+    named = events.select(F.col("id").alias("event_id"), F.col("type").alias("activity"), F.col("time").alias("ts"))
+    held = e2o.select("event_id", F.col("object_id").alias("oid")).where("oid is not null").join(named, "event_id")
+    seen = F.array_sort(F.collect_list(F.struct("ts", F.col("event_id").alias("eid"), "activity")))
+    return held.groupBy("oid").agg(F.transform(seen, lambda x: x["activity"]).alias("activities"))
+
+
+def loop_variants(runs: DataFrame, loops: list[str]) -> DataFrame:
+    """(activities): distinct traces with runs of ``loops`` cut to one, each as it is and with one or two more at each of their places.
+
+    ``runs`` has a column activities; a trace with p places of such activities
+    becomes 1 + 2 * p.
+    """
+    inside = F.array(*[F.lit(x) for x in loops]).cast("array<string>")
     names = F.col("activities")
-    first = [F.array_min(F.transform(F.array(*[F.lit(x) for x in side]), lambda x: F.nullif(F.array_position(names, x), F.lit(0)))) for side in (left, right)]
-    both = first[0].isNotNull() & first[1].isNotNull()
-    bad = both if kind == "exclusive" else both & (first[0] > first[1])
-    return traces_df.agg(F.count("*").alias("traces"), F.count_if(bad).alias("violating"))
+    once = runs.select(F.filter(names, lambda x, i: (i == 0) | (x != F.get(names, i - 1)) | ~F.array_contains(inside, x)).alias("activities")).distinct()
+    places = F.filter(F.sequence(F.lit(1), F.size("activities")), lambda i: F.array_contains(inside, F.get("activities", i - 1)))
+
+    def grown(times: int):
+        longer = F.transform(places, lambda i: F.concat(F.slice("activities", 1, i), F.array_repeat(F.get("activities", i - 1), times), F.slice("activities", i + 1, F.size("activities"))))
+        return F.when(F.size("activities") > 0, longer).otherwise(F.array().cast("array<array<string>>"))
+
+    return once.select(F.explode(F.concat(F.array("activities"), grown(1), grown(2))).alias("activities")).distinct()
+
+
+def coverage(variants: DataFrame, runs: DataFrame) -> DataFrame:
+    """(executions, covered, share): how many executions (run) are among the traces (activities), in percent."""
+    held = runs.select("run").distinct().join(variants.select(F.col("activities").alias("run"), F.lit(True).alias("found")).distinct(), "run", "left")
+    counts = held.agg(F.count("*").alias("executions"), F.count("found").alias("covered"))
+    return counts.select("executions", "covered", F.coalesce(F.try_divide(F.col("covered") * 100.0, "executions"), F.lit(0.0)).alias("share"))
+
+
+def log_metrics(relations: DataFrame, model: list[str]) -> DataFrame:
+    """One row: traces, events, activities of the log, and the share of the model's activities that the log has.
+
+    ``model`` is a set of activities; without any the share is 0.
+    """
+    names = sorted(set(model))
+    known = F.count_distinct(F.when(F.col("activity").isin(names), F.col("activity")))
+    share = (known / float(len(names))) if names else F.lit(0.0)
+    return relations.agg(
+        F.count_distinct("oid").alias("traces"), F.count_distinct("eid").alias("events"), F.count_distinct("activity").alias("activities"), share.alias("activity_precision")
+    )

@@ -82,6 +82,20 @@ def best_sequence(edges: Edges, names: set[str], costs: Edges) -> Suggestion | N
     return _best(found)
 
 
+def best_sequence_cut(edges: Edges, names: set[str]) -> Suggestion | None:
+    """The cheapest sequence cut by removals alone: of all minimum cuts between an activity and one it reaches, those after which every activity of the first set still reaches all of the second."""
+    found = []
+    for a, b in itertools.permutations(sorted(names), 2):
+        if a not in reach(edges, b):
+            continue
+        side = min_cut(edges, [b], [a])[1] & names  # what stays behind: the second set
+        removed = {e for e in edges if e[0] in side and e[1] in names - side}
+        now = {e: w for e, w in edges.items() if e not in removed}
+        if sequence_ok(now, names - side, side):
+            found.append(_made("sequence", names - side, side, [], removed, edges, {}))
+    return _best(found)
+
+
 def best_parallel(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges, force_endpoints: bool = True, unit_cost: bool = False) -> Suggestion | None:
     """A minimum cut of the graph of what is missing, with a start and an end tied to each side."""
     missing: Edges = {}
@@ -106,59 +120,81 @@ def best_parallel(edges: Edges, names: set[str], starts: set[str], ends: set[str
     return _best(found)
 
 
-def _bypasses(edges: Edges, side: set[str], ends: set[str]) -> set[tuple[str, str]]:
-    """For c -> x -> d with x outside: c -> d, if both are in the side, or one is and the other starts or ends."""
-    out = set()
-    for c, x in edges:
-        if x in side or c == x:
-            continue
-        for y, d in edges:
-            if y == x and d != x and c != d and (c, d) not in edges and (c in side and (d in side or d in ends) or d in side and c in ends):
-                out.add((c, d))
-    return out
+def _bypasses(edges: Edges, x: str, side: set[str], fixed: set[str]) -> set[tuple[str, str]]:
+    """Missing edges c -> d for c -> x -> d, if both are in the side, or one is and the other starts or ends."""
+    before, after = {a for a, b in edges if b == x}, {b for a, b in edges if a == x}
+    reach_of = side | fixed
+    pairs = ((c, d) for c in before & reach_of for d in after & reach_of)
+    return {(c, d) for c, d in pairs if (c in side or d in side) and (c, d) not in edges}
+
+
+def _crossing(edges: Edges, one: set[str], two: set[str], fixed: set[str]) -> set[tuple[str, str]]:
+    """Edges between body and redo part whose ends neither start nor end."""
+    return {(a, b) for a, b in edges if a not in fixed and b not in fixed and (a in one and b in two or a in two and b in one)}
 
 
 def best_redo(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges) -> Suggestion | None:
-    """Activities only on the way from starts to ends join the body, those only on the way back the redo part; others go where it is cheaper."""
+    """Split what neither starts nor ends into body and redo part, one activity after another in alphabetical order.
+
+    An activity only on the way from starts to ends joins the body, one only on
+    the way back the redo part.  On both, it goes where it cannot be spared: to
+    the body if only starts no longer reach ends without it, to the redo part if
+    only the way back breaks.  If that does not decide, the cheaper place is
+    taken, and the redo part at equal price: the other side gets edges that
+    bypass the activity, and edges across are removed.  Ends and starts that the
+    redo part does not follow or lead to then get their cheapest edge.
+    """
     far = closure(edges, names)
     if not starts or not ends or not all(e in far[s] and s in far[e] for s in starts for e in ends):
         return None
-    fixed = starts | ends
-    ahead = set().union(*(reach(edges, s, ends) for s in starts))
-    back = set().union(*(reach(edges, e, starts) for e in ends))
+    fixed, now = starts | ends, dict(edges)
     one, two = set(fixed), set()
+    added: dict[tuple[str, str], float] = {}
+    removed: set[tuple[str, str]] = set()
+
+    def way(sources: set[str], x: str, others: set[str]) -> bool:
+        return any(x in reach(now, s, others) for s in sources)
 
-    def changes(a: set[str], b: set[str]) -> tuple[set, set]:
-        gone = {(x, y) for x, y in edges if (x in a and y in b or x in b and y in a) and x not in fixed and y not in fixed}
-        return gone, _bypasses({e: w for e, w in edges.items() if e not in gone}, b, fixed) & {(x, y) for x in names for y in b | fixed} if b else set()
+    def broken(without: Edges, sources: set[str], targets: set[str]) -> bool:
+        return any(t not in reach(without, s) for s in sources for t in targets)
 
-    def price(a: set[str], b: set[str]) -> float:
-        gone, new = changes(a, b)
-        return sum(edges[e] for e in gone) + sum(int(costs.get(e, ABSENT)) for e in new)
+    def trial(x: str, to_body: bool) -> tuple[int, set, set]:
+        body, again = (one | {x}, two) if to_body else (one, two | {x})
+        new = _bypasses(now, x, two if to_body else one, fixed)
+        gone = _crossing({**now, **dict.fromkeys(new, 1)}, body, again, fixed)
+        price = {e: int(costs.get(e, ABSENT)) for e in new}
+        return sum(price.values()) + int(sum(price.get(e, now.get(e, 0)) for e in gone)), new, gone
 
     for x in sorted(names - fixed):
-        if x in ahead and x not in back:
-            one.add(x)
-        elif x in back and x not in ahead:
-            two.add(x)
-        elif x not in ahead:
+        ahead, back = way(starts, x, ends), way(ends, x, starts)
+        if not ahead and not back:
             return None
-        elif price(one | {x}, two) < price(one, two | {x}):
-            one.add(x)
-        else:
-            two.add(x)
+        new: set[tuple[str, str]] = set()
+        to_body = ahead
+        if ahead and back:
+            left = {e: w for e, w in now.items() if x not in e}
+            lost, lost_back = broken(left, starts, ends), broken(left, ends, starts)
+            to_body = lost
+            if lost == lost_back:
+                for_body, for_redo = trial(x, True), trial(x, False)
+                to_body = for_body[0] < for_redo[0]
+                new = (for_body if to_body else for_redo)[1]
+        (one if to_body else two).add(x)
+        added |= {e: costs.get(e, ABSENT) for e in new}
+        now |= {e: int(costs.get(e, ABSENT)) for e in new}
+        gone = _crossing(now, one, two, fixed)
+        removed |= gone
+        now = {e: w for e, w in now.items() if e not in gone}
     if not two:
         return None
-    removed, _ = changes(one, two)
-    now = {e: w for e, w in edges.items() if e not in removed}
-    added = set()
     for e in sorted(ends):
         if not any((e, x) in now for x in two):
-            added.add(min(((e, x) for x in two), key=lambda p: (costs.get(p, ABSENT), p)))
+            added[min(((e, x) for x in two), key=lambda p: (costs.get(p, ABSENT), p))] = 0
     for s in sorted(starts):
         if not any((x, s) in now for x in two):
-            added.add(min(((x, s) for x in two), key=lambda p: (costs.get(p, ABSENT), p)))
-    return _made("redo", one, two, added, removed, edges, costs)
+            added[min(((x, s) for x in two), key=lambda p: (costs.get(p, ABSENT), p))] = 0
+    # an edge that was added and then fell between the parts is neither
+    return _made("redo", one, two, set(added) - removed, removed & set(edges), edges, costs)
 
 
 def suggest(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges) -> list[Suggestion]:

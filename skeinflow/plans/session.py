@@ -14,6 +14,7 @@ from skeinflow.plans.cuts import discover
 from skeinflow.plans.graph import Edges
 from skeinflow.plans.repair import Suggestion, suggest
 from skeinflow.plans.tree import TAU, Node, collapse, descendants, language, open_flower, relations_of, replace_flowers
+from skeinflow.sources.scratch import keep
 
 #: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
 MOST_ACTIVITIES = 1000
@@ -34,7 +35,8 @@ class Session:
     @classmethod
     def open(cls, relations: DataFrame, noise: float = 0.0, remove: tuple[str, ...] = ()) -> Session:
         """Graph, endpoints and tree of a log; noise and removals act on the graph, not on endpoints."""
-        held = patterns(relations)
+        relations = keep(relations, "relations")
+        held = keep(patterns(relations), "patterns")
         kinds = D.endpoints(relations).limit(MOST_ACTIVITIES + 1).collect()
         names = {r.activity for r in relations.select("activity").distinct().limit(MOST_ACTIVITIES + 1).collect()}
         if len(names) > MOST_ACTIVITIES:
@@ -146,9 +148,8 @@ class Session:
     def conformance(self, tree: Node | None = None) -> tuple[float, float, float]:
         """(fitness, precision, F) by abstractions.
 
-        For each object type the starts, ends and steps of its traces, and the
-        patterns, are held against those of the tree projected to the type's
-        activities; fitness is the common share of the log's, precision of the
+        For each object type the starts, ends and steps of its traces are held
+        against those of the tree projected to the type's activities; fitness is the common share of the log's, precision of the
         tree's.
         """
         tree = tree or self.tree
@@ -179,18 +180,26 @@ def f_score(fitness: float, precision: float) -> tuple[float, float, float]:
     return fitness, precision, 2 * fitness * precision / both if both else 0.0
 
 
-def score_table(kept: DataFrame, runs: DataFrame) -> DataFrame:
-    """(executions, fitting_executions, traces, fitting_traces) of candidate executions against a log.
+def score_table(kept: DataFrame, runs: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(executions, fitting_executions, traces, fitting_traces) of candidate executions against a log, for each key of ``by``.
 
     Traces have repeats collapsed; those that still hold an activity twice fit
     nothing, but count.
     """
     held = T.traces(kept).select("otype", T.collapse(F.col("activities")).alias("run"))
-    types = kept.groupBy("otype").agg(F.collect_set("activity").alias("names"))
-    own = types.join(runs).select("otype", F.filter("run", lambda x: F.array_contains("names", x)).alias("run")).where("size(run) > 0").select("run").distinct()
+    known = kept.select("otype", "activity").distinct().limit(MOST_ACTIVITIES**2).collect()
+    types: dict[str, list[str]] = {}
+    for r in known:  # at most activities times types
+        types.setdefault(r.otype, []).append(r.activity)
+
+    def projected(names: list[str]):
+        return F.filter("run", lambda x: x.isin(names))
+
+    each = F.array(*[projected(sorted(names)) for _, names in sorted(types.items())]) if types else F.array().cast("array<array<string>>")
+    own = runs.select(*by, F.explode(each).alias("run")).where("size(run) > 0").distinct()
     single = held.where(F.size("run") == F.size(F.array_distinct("run"))).groupBy("run").agg(F.count("*").alias("n"))
-    fit = own.join(single, "run", "left").agg(F.count("*").alias("executions"), F.count("n").alias("fitting_executions"), F.coalesce(F.sum("n"), F.lit(0)).alias("fitting_traces"))
-    return fit.join(held.agg(F.count("*").alias("traces")))
+    fit = own.join(single, "run", "left").groupBy(*by).agg(F.count("*").alias("executions"), F.count("n").alias("fitting_executions"), F.coalesce(F.sum("n"), F.lit(0)).alias("fitting_traces"))
+    return fit.withColumn("traces", F.lit(kept.select("oid", "otype").distinct().count()))
 
 
 def scores(kept: DataFrame, runs: DataFrame) -> tuple[float, float, float]:
@@ -218,7 +227,8 @@ def enumerate_trees(session: Session, most: int = 200) -> list[tuple[Node, tuple
             todo.append((now, replace_flowers(tree, found[1], node), (*chosen, s.cut_type)))
         if len(todo) + len(done) > most:
             raise ValueError(f"more than {most} trees")
-    kept = T.kept_relations(session.relations, session.patterns)
     spark = session.relations.sparkSession
-    out = [(t, c, scores(kept, spark.createDataFrame([(list(x),) for x in sorted(language(t))], "run array<string>"))) for t, c in done]
-    return sorted(out, key=lambda x: tuple(-v for v in x[2]))
+    runs = spark.createDataFrame([(i, list(x)) for i, (t, _) in enumerate(done) for x in sorted(language(t))], "candidate int, run array<string>")
+    table = score_table(T.kept_relations(session.relations, session.patterns), runs, ["candidate"]).collect()
+    marks = {r.candidate: f_score(r.fitting_traces / r.traces if r.traces else 0.0, r.fitting_executions / r.executions if r.executions else 0.0) for r in table}
+    return sorted(((t, c, marks.get(i, (0.0, 0.0, 0.0))) for i, (t, c) in enumerate(done)), key=lambda x: tuple(-v for v in x[2]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
@@ -13,6 +13,7 @@ from skeinflow.operators.relations import event_object_sets, patterns
 from skeinflow.plans.repair import suggest
 from skeinflow.plans.session import Session, enumerate_trees, score_table
 from skeinflow.plans.tree import language, open_flower, table
+from skeinflow.sources.scratch import keep
 from skeinflow.sources.tables import clicks, clicks_by_key, orders
 
 LOGS = {"clicks": clicks, "keys": clicks_by_key, "orders": orders}
@@ -58,18 +59,43 @@ def _with(log: str, *parts: str, recursive: bool = False) -> str:
 
 
 def _parts(spark: SparkSession, sf_dir: str, log: str) -> tuple[DataFrame, DataFrame]:
-    rel = LOGS[log](spark, sf_dir)
-    return rel, patterns(rel)
+    rel = keep(LOGS[log](spark, sf_dir), "relations")
+    return rel, keep(patterns(rel), "patterns")
 
 
 def _graph(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
-    return D.dfg(*_parts(spark, sf_dir, log))
+    return keep(D.dfg(*_parts(spark, sf_dir, log)), "graph")
 
 
 def _kept(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
     return T.kept_relations(*_parts(spark, sf_dir, log))
 
 
+def _missing(spark: SparkSession, sf_dir: str, log: str, noise: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Missing edges of a log's graph, and the relations that cost is taken from."""
+    rel, pat = _parts(spark, sf_dir, log)
+    return D.missing_edges(D.reduce_noise(keep(D.dfg(rel, pat), "graph"), noise)), T.kept_relations(rel, pat)
+
+
+def _raw_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces by key of the keys log, taken from links alone."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"), F.col("ts").alias("time"), F.get_json_object("props", "$.k").alias("k"))
+    links = e.select(F.col("id").alias("event_id"), F.concat(F.lit("k"), "k").alias("object_id"))
+    return T.raw_traces(e, links).select("oid", F.array_join("activities", ">").alias("trace"))
+
+
+#: Given executions, loops and model activities for the queries of coverage and metrics.
+CLICK_RUNS, CLICK_LOOPS = [["view"], ["view", "click"], ["click", "view", "purchase"], ["error"], ["nothing"]], ["view", "click"]
+MODEL_NAMES = ["place order", "ship item", "pay order"]
+
+
+def _loop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the traces of the first four events of each user's day."""
+    first = F.row_number().over(Window.partitionBy("oid", F.to_date("ts")).orderBy("ts", "eid"))
+    some = clicks(spark, sf_dir).withColumn("k", first).where("k <= 4").withColumn("oid", F.concat_ws("-", "oid", F.to_date("ts")))
+    return T.loop_variants(T.traces(some), CLICK_LOOPS)
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -107,12 +133,12 @@ def _score(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return spark.createDataFrame([getattr(s, kind)()], "fitness double, precision double, f_score double")
 
 
-#: The executions of the tree that the orders log gives, as a table for SQL.
-ORDER_RUNS = [["place order", x] for x in ("close item", "return item", "ship item")]
+#: Given executions, of no tree in particular: a table that Spark and SQL both count against the orders log.
+GIVEN_RUNS = [["place order", x] for x in ("close item", "return item", "ship item")]
 
 
 def _replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_table(_kept(spark, sf_dir, "orders"), spark.createDataFrame([(r,) for r in ORDER_RUNS], "run array<string>"))
+    return score_table(_kept(spark, sf_dir, "orders"), spark.createDataFrame([(r,) for r in GIVEN_RUNS], "run array<string>"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -137,17 +163,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "traces_collapsed_clicks": lambda s, d: T.traces(_kept(s, d, "clicks")).select("oid", F.array_join(T.collapse(F.col("activities")), ">").alias("trace")),
         "activity_presence_orders": lambda s, d: T.presence(_kept(s, d, "orders")),
         "missing_edges_orders": lambda s, d: D.missing_edges(_graph(s, d, "orders")),
-        "add_cost_order_orders": lambda s, d: _rounded(T.order_cost(D.missing_edges(_graph(s, d, "orders")), _kept(s, d, "orders")), "cost"),
-        "add_cost_curve_orders": lambda s, d: _rounded(T.curve_cost(D.missing_edges(_graph(s, d, "orders")), _kept(s, d, "orders")), "cost").select("source", "target", "cost"),
-        "add_cost_logistic_orders": lambda s, d: _rounded(T.curve_cost(D.missing_edges(_graph(s, d, "orders")), _kept(s, d, "orders"), "logistic", None), "cost").select("source", "target", "cost"),
-        "add_cost_curve_clicks": lambda s, d: _rounded(T.curve_cost(D.missing_edges(D.reduce_noise(_graph(s, d, "clicks"), 0.04)), _kept(s, d, "clicks")), "cost").select("source", "target", "cost"),
+        "add_cost_order_orders": lambda s, d: _rounded(T.order_cost(*_missing(s, d, "orders")), "cost"),
+        "add_cost_curve_orders": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "orders")), "cost").select("source", "target", "cost"),
+        "add_cost_logistic_orders": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "orders"), "logistic", None), "cost").select("source", "target", "cost"),
+        "add_cost_curve_clicks": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "clicks", 0.04)), "cost").select("source", "target", "cost"),
+        "add_cost_no_floor_orders": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "orders"), floor=None), "cost").select("source", "target", "cost"),
+        "curve_series_orders": lambda s, d: _rounded(T.curve_series(*_missing(s, d, "orders")), "mass", "later").select("source", "target", "i", "mass", "later"),
+        "raw_traces_keys": _raw_traces,
+        "loop_variants_clicks": lambda s, d: _loop_variants(s, d).select(F.array_join("activities", ">").alias("trace")),
+        "coverage_clicks": lambda s, d: T.coverage(_loop_variants(s, d), s.createDataFrame([(r,) for r in CLICK_RUNS], "run array<string>")),
+        "log_metrics_orders": lambda s, d: T.log_metrics(orders(s, d), MODEL_NAMES),
         "bidirectional_pairs_clicks": lambda s, d: D.bidirectional(_graph(s, d, "clicks")),
         "reachability_orders": lambda s, d: D.reachability(_graph(s, d, "orders")),
         "components_orders": lambda s, d: _components(s, _graph(s, d, "orders")),
         "sccs_clicks": lambda s, d: _strong(_graph(s, d, "clicks")),
         "replay_counts_orders": _replay_counts,
-        "violations_sequence_orders": lambda s, d: T.violations(T.traces(_kept(s, d, "orders")), ["place order"], ["return item"], "sequence"),
-        "violations_exclusive_orders": lambda s, d: T.violations(T.traces(_kept(s, d, "orders")), ["close item"], ["return item"], "exclusive"),
+        "violations_sequence_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["place order"], ["return item"], "sequence"),
+        "violations_exclusive_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["close item"], ["return item"], "exclusive"),
         "tree_orders": lambda s, d: _tree(s, d, "orders"),
         "tree_clicks": lambda s, d: _tree(s, d, "clicks"),
         "tree_keys": lambda s, d: _tree(s, d, "keys"),
@@ -160,10 +192,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
-def _curve_sql(log: str, graph: str, kernel: str, floor: bool) -> str:
-    """The curve costs by the plain formula: every bucket of every pair against the whole histogram."""
+def _curve_sql(log: str, graph: str, kernel: str, floor: bool, series: bool = False) -> str:
+    """The curve costs by the plain formula: every bucket of every pair against the whole histogram; or the curves."""
     phi = "least(1, greatest(0, 0.5::DOUBLE * ((g.t - h.secs) / g.bw + 1)))" if kernel == "uniform" else "1 / (1 + exp(-1.702::DOUBLE * (g.t - h.secs) / g.bw))"
     wide = "4" if kernel == "uniform" else "1"
+    last = f"""SELECT source, target, round({'greatest(1, ' * floor}CASE WHEN max(abs(score)) OVER () > 0 THEN (1 - score / max(abs(score)) OVER ()) * 100 ELSE score END{')' * floor}, 6) cost FROM every"""
+    if series:
+        last = "SELECT source, target, CAST(i AS INTEGER) i, round(coalesce(mass, 0), 6) mass, round(later, 6) later FROM later LEFT JOIN mass USING (source, target, i)"
     return _with(
         log, PATTERNS, STEPS, GRAPH if graph == "dfg" else GRAPH.replace("dfg AS", "dfg0 AS") + f", {graph}", MISSING, KEPT, OFFSETS,
         "expanded AS (SELECT activity, secs::DOUBLE secs FROM offs)",
@@ -177,7 +212,7 @@ def _curve_sql(log: str, graph: str, kernel: str, floor: bool) -> str:
         "mass AS (SELECT g.source, g.target, i, sum(h.n)::DOUBLE / any_value(g.na) mass FROM grid g JOIN hist h ON h.activity = g.source AND h.secs >= g.r AND h.secs <= g.t GROUP BY g.source, g.target, i)",
         "area AS (SELECT source, target, (sum(step * later) - sum(step * coalesce(mass, 0))) * any_value(sa) * any_value(sb) score FROM later LEFT JOIN mass USING (source, target, i) GROUP BY source, target)",
         "every AS (SELECT source, target, coalesce(score, 0) score FROM missing LEFT JOIN area USING (source, target))",
-    ) + f"""SELECT source, target, round({'greatest(1, ' * floor}CASE WHEN max(abs(score)) OVER () > 0 THEN (1 - score / max(abs(score)) OVER ()) * 100 ELSE score END{')' * floor}, 6) cost FROM every"""
+    ) + last
 
 
 def oracle_sql() -> dict[str, str]:
@@ -186,6 +221,13 @@ def oracle_sql() -> dict[str, str]:
         side AS (SELECT otype, a activity, TRUE s FROM f UNION ALL SELECT otype, z, FALSE FROM f)"""
     trace = "tr AS (SELECT oid, otype, list(activity ORDER BY ts, eid) acts FROM kept GROUP BY oid, otype)"
     collapsed = "list_filter(acts, lambda x, i: i = 1 OR x <> acts[i - 1])"
+    loops = ", ".join(repr(x) for x in CLICK_LOOPS)
+    variants = f"""first AS (SELECT 'u' || user_id || '-' || CAST(ts AS DATE) oid, event_type, ts, CAST(event_id AS VARCHAR) eid FROM events
+            QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) <= 4),
+        seq AS (SELECT list(event_type ORDER BY ts, eid) a FROM first GROUP BY oid),
+        once AS (SELECT DISTINCT list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1] OR x NOT IN ({loops})) a FROM seq),
+        place AS (SELECT a, unnest(range(1, len(a) + 1)) i FROM once),
+        grown AS (SELECT a FROM once UNION SELECT a[1:i] || list_resize([a[i]], t, a[i]) || a[i + 1:] FROM place, (SELECT unnest([1, 2]) t) WHERE a[i] IN ({loops}))"""
     for log in LOGS:
         out |= {
             f"relations_{log}": RELATIONS[log],
@@ -214,6 +256,14 @@ def oracle_sql() -> dict[str, str]:
                 FROM missing m JOIN hist a ON a.activity = m.source JOIN hist b ON b.activity = m.target JOIN pres pa ON pa.activity = m.source JOIN pres pb ON pb.activity = m.target GROUP BY m.source, m.target)""",
         ) + "SELECT source, target, round(CASE WHEN p > 0 THEN (1 - p) * 100 ELSE 99999::DOUBLE END, 6) cost FROM missing LEFT JOIN pq USING (source, target)",
         "add_cost_curve_orders": _curve_sql("orders", "dfg", "uniform", True),
+        "add_cost_curve_clicks": _curve_sql("clicks", "dfg AS (SELECT * FROM dfg0 WHERE weight > (SELECT floor(CAST(sum(weight) AS DOUBLE) * CAST(0.04 AS DOUBLE)) FROM dfg0))", "uniform", True),
+        "add_cost_no_floor_orders": _curve_sql("orders", "dfg", "uniform", False),
+        "curve_series_orders": _curve_sql("orders", "dfg", "uniform", False, True),
+        "raw_traces_keys": "SELECT 'k' || json_extract_string(props, '$.k') oid, string_agg(event_type, '>' ORDER BY ts, CAST(event_id AS VARCHAR)) trace FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY oid",
+        "loop_variants_clicks": f"WITH {variants} SELECT array_to_string(a, '>') trace FROM grown",
+        "coverage_clicks": f"WITH {variants}, runs AS (SELECT DISTINCT unnest([{', '.join('[' + ', '.join(repr(x) for x in r) + ']' for r in CLICK_RUNS)}]) a) "
+        "SELECT count(*) executions, count(*) FILTER (a IN (SELECT a FROM grown)) covered, count(*) FILTER (a IN (SELECT a FROM grown)) * 100.0::DOUBLE / count(*) AS share FROM runs",
+        "log_metrics_orders": _with("orders") .rstrip().rstrip(",") + f" SELECT count(DISTINCT oid) traces, count(DISTINCT eid) events, count(DISTINCT activity) activities, count(DISTINCT activity) FILTER (activity IN ({', '.join(repr(x) for x in MODEL_NAMES)})) / {len(MODEL_NAMES)}::DOUBLE activity_precision FROM rel",
         "add_cost_logistic_orders": _curve_sql("orders", "dfg", "logistic", False),
         "bidirectional_pairs_clicks": _with("clicks", *base) + "SELECT a.source, a.target FROM dfg a JOIN dfg b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target",
         "reachability_orders": _with("orders", *base, MISSING, CLOSURE, recursive=True) + "SELECT DISTINCT source, target FROM r",
@@ -221,14 +271,11 @@ def oracle_sql() -> dict[str, str]:
         "sccs_clicks": _with("clicks", *base, MISSING, CLOSURE, recursive=True) + "SELECT a.source activity, min(a.target) component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source",
         "replay_counts_orders": _with(
             "orders", PATTERNS, KEPT, trace, f"run AS (SELECT otype, {collapsed} run FROM tr)", "single AS (SELECT run, count(*) n FROM run WHERE len(run) = len(list_distinct(run)) GROUP BY run)",
-            "model AS (SELECT unnest([" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]" for r in ORDER_RUNS) + "]) m)",
+            "model AS (SELECT unnest([" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]" for r in GIVEN_RUNS) + "]) m)",
             "types AS (SELECT otype, list(DISTINCT activity) names FROM kept GROUP BY otype)",
             "own AS (SELECT DISTINCT list_filter(m, lambda x: list_contains(names, x)) run FROM types, model)",
         ) + "SELECT count(*) executions, count(n) fitting_executions, CAST(coalesce(sum(n), 0) AS BIGINT) fitting_traces, (SELECT count(*) FROM tr) traces FROM own LEFT JOIN single USING (run) WHERE len(own.run) > 0",
         "violations_sequence_orders": _with("orders", PATTERNS, KEPT, trace) + "SELECT count(*) traces, count(*) FILTER (list_position(acts, 'place order') > list_position(acts, 'return item') AND list_contains(acts, 'return item') AND list_contains(acts, 'place order')) violating FROM tr",
         "violations_exclusive_orders": _with("orders", PATTERNS, KEPT, trace) + "SELECT count(*) traces, count(*) FILTER (list_contains(acts, 'close item') AND list_contains(acts, 'return item')) violating FROM tr",
-        "tree_orders": """SELECT * FROM (VALUES ('0', NULL, 0, 0, 'sequence', 'sequence'), ('0.0', '0', 0, 1, 'place order', 'leaf'), ('0.1', '0', 1, 1, 'exclusive', 'exclusive'),
-            ('0.1.0', '0.1', 0, 2, 'close item', 'leaf'), ('0.1.1', '0.1', 1, 2, 'exclusive', 'exclusive'), ('0.1.1.0', '0.1.1', 0, 3, 'return item', 'leaf'), ('0.1.1.1', '0.1.1', 1, 3, 'ship item', 'leaf'))
-            t(node_id, parent_id, child_pos, depth, label, kind)""",
     }
     return out
