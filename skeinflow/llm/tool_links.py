@@ -5,27 +5,57 @@ calls and results meet in a hash join on conversation and identifier.  A call
 stands ``after`` the calls it names there; its level is one more than the
 largest of theirs, found by joins round after round until none changes (as many
 rounds as the longest chain; a call on a cycle, or after one, gets no level).
-Arguments are checked against the tool's schema of required names and types.
+Arguments are parsed, checked against the tool's schema of required names and
+types, and written again: keys sorted at every depth, no spaces, whole numbers
+without a fraction.
 The output has one row per part, so a conversation of any length is many rows
 that no task has to hold together; (turn, level, call_id, part) orders them.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from skeinflow.llm._io import Scratch
-
-#: JSON schema types and the pattern of a JSON text of that type.
-TYPES = {"string": r'^"', "integer": r"^-?[0-9]+$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\[", "null": "^null$"}
-
-
-def canonical(value) -> F.Column:
-    """Canonical JSON of a map of JSON texts: keys sorted, no spaces; null is ``{}``."""
-    keys = F.array_sort(F.map_keys(value))
-    parts = F.transform(keys, lambda k: F.concat(quoted(k), F.lit(":"), F.coalesce(F.element_at(value, k), F.lit("null"))))
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")), F.lit("{}"))
+from pyspark.sql.types import MapType, StringType, StructField, StructType
+
+from skeinflow.llm._io import Scratch, ship
+
+def canonical_json(text: str) -> tuple[str, str]:
+    """(canonical JSON, JSON schema type) of a JSON text; one that is no JSON becomes a string of type ``malformed``."""
+
+    def even(x):
+        if isinstance(x, float):
+            if not math.isfinite(x):
+                raise ValueError("not a JSON number")
+            return int(x) if x.is_integer() and abs(x) < 2**53 else x
+        if isinstance(x, list):
+            return [even(y) for y in x]
+        return {k: even(y) for k, y in x.items()} if isinstance(x, dict) else x
+
+    try:
+        value = even(json.loads(text))
+        written = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):
+        return json.dumps(text, ensure_ascii=False), "malformed"
+    kinds = {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}
+    return written, kinds[type(value)]
+
+
+def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with ``args``, their arguments as one JSON text, and ``kinds``, the type of each."""
+    for batch in batches:
+        texts, kinds = [], []
+        for pairs in batch.column(batch.schema.get_field_index("arguments")).to_pylist():
+            named = {k: canonical_json("null" if v is None else v) for k, v in pairs or ()}
+            texts.append("{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{named[k][0]}" for k in sorted(named)) + "}")
+            kinds.append([(k, named[k][1]) for k in sorted(named)])
+        columns = [*batch.columns, pa.array(texts, pa.string()), pa.array(kinds, pa.map_(pa.string(), pa.string()))]
+        yield pa.record_batch(columns, names=[*batch.schema.names, "args", "kinds"])
 
 
 def quoted(text) -> F.Column:
@@ -58,17 +88,25 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
     ``schemas`` has tool, required array<string>, types map<string,string>; the
     number of tools is small by nature and at most ten thousand, else an error.
+    Of several schemas for a tool, the smallest by required names and then by
+    types counts.  ``calls`` has ``kinds``, the JSON type of each argument.
     """
     if schemas.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 tools")
-    tools = schemas.groupBy("tool").agg(F.first("required").alias("required"), F.first("types").alias("types"), F.lit(True).alias("known"))
+    tools = schemas.groupBy("tool").agg(F.min_by(F.struct("required", "types"), F.struct("required", F.array_sort(F.map_entries("types")))).alias("s"), F.lit(True).alias("known")).select("tool", "s.*", "known")
     joined = calls.join(F.broadcast(tools), "tool", "left")
     names = F.coalesce(F.map_keys("arguments"), F.array().cast("array<string>"))
     missing = F.array_sort(F.array_except(F.coalesce("required", F.array().cast("array<string>")), names))
-    kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    wrong = F.array_sort(F.filter(names, lambda k: F.coalesce(~F.regexp_like(F.element_at("arguments", k), F.element_at(kind, F.element_at("types", k))), F.lit(False))))
+
+    def is_wrong(k):
+        wanted, found = F.element_at("types", k), F.element_at("kinds", k)
+        return F.coalesce((wanted != found) & ~((wanted == "number") & (found == "integer")), F.lit(False))
+
+    broken = F.array_sort(F.filter(names, lambda k: F.element_at("kinds", k) == "malformed"))
+    wrong = F.array_sort(F.filter(names, is_wrong))
     problem = (
         F.when(F.col("known").isNull(), F.lit("unknown tool"))
+        .when(F.size(broken) > 0, F.concat(F.lit("malformed "), broken[0]))
         .when(F.size(missing) > 0, F.concat(F.lit("missing "), missing[0]))
         .when(F.size(wrong) > 0, F.concat(F.lit("type of "), wrong[0]))
     )
@@ -108,8 +146,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, repeats: bool
     scratch = Scratch(calls.sparkSession, "links")
     keys = ["conv_id", "call_id"]
     both = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    text = canonical(F.col("arguments"))
-    named = calls.select("conv_id", "turn", "call_id", "tool", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), text.alias("args"))
+    ship(calls.sparkSession)
+    named = calls.select("conv_id", "turn", "call_id", "tool", F.col("arguments").cast("map<string,string>").alias("arguments"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))
+    schema = StructType([*named.schema.fields, StructField("args", StringType()), StructField("kinds", MapType(StringType(), StringType()))])
+    named = named.mapInArrow(_canonical, schema)
     one, more_calls = _first(named, ["turn", "tool", "args", "after"], keys, scratch, "calls")
     said = results.select(*keys, F.col("content").cast("string").alias("content"))
     answers, more_said = _first(said, [F.col("content").isNull(), "content"], keys, scratch, "answers")
