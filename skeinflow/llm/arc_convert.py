@@ -36,8 +36,8 @@ FIELDS = {
     b"1": ("url", "ip", "date", "type", "length"),
     b"2": ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length"),
 }
-#: Bytes after which ``arc_archives`` starts another archive, and records of a WARC file at most.
-ARCHIVE, PER_FILE = 4 << 20, 20_000
+#: Bytes after which ``arc_archives`` starts another archive; records of a WARC file and bytes of its records at most.
+ARCHIVE, PER_FILE, FILE = 4 << 20, 20_000, 128 << 20
 END = b"\r\n\r\n"
 RECORDS = (
     "record_id string, warc_type string, uri string, ip string, date string, content_type string, "
@@ -185,10 +185,12 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return chosen.mapInArrow(run, "name string, content binary")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
+def write_warc(records: DataFrame, path: str, largest: int) -> None:
     """Write rows of ``convert`` as gzipped WARC files; rows with ``refers_id`` are written as revisits without payload.
 
     ``refers_id`` is the identifier of the record that has the same payload.
+    ``largest`` is the size of the largest payload: no file holds more records
+    than ``FILE`` bytes have room for if all are that large, but one at least.
     """
     revisit = F.col("refers_id").isNotNull()
 
@@ -214,7 +216,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     record = F.concat(lines.cast("binary"), head, F.when(revisit, F.lit(b"")).otherwise(body)).cast("string")
-    records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    records.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, min(PER_FILE, FILE // (largest + 2048)))).text(path)
 
 
 READ = (
@@ -288,15 +290,15 @@ def pages_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     page = F.when(page != "", page.cast("long"))
     archives = arc_archives(pages, id_col, url_col, html_col, version)
     http = F.col("warc_type") == "response"
-    index = scratch.put(convert(archives, payloads=False).where(http).select(page.alias("page"), "record_id", "payload_digest"), "index")
+    index = scratch.put(convert(archives, payloads=False).where(http).select(page.alias("page"), "record_id", "payload_digest", "payload_bytes"), "index")
     held = index.where("page is not null").groupBy("payload_digest").agg(
         F.count("*").alias("n"), F.max("page").alias("last"), F.max_by("record_id", "page").alias("refers_id")
     ).where("n > 1")
     repeated = scratch.put(held, "repeated")
-    flags = lookup(index.where("page is not null"), repeated, ["payload_digest"]).where("page <> last")
+    flags = lookup(index.drop("payload_bytes").where("page is not null"), repeated, ["payload_digest"]).where("page <> last")
     flags = scratch.put(flags.select("record_id", "refers_id").distinct(), "flags")
     where = scratch.path("warc")
-    write_warc(convert(archives).join(flags, "record_id", "left"), where)
+    write_warc(convert(archives).join(flags, "record_id", "left"), where, index.agg(F.max("payload_bytes")).first()[0] or 0)
     back = scratch.put(read_warc(spark, where).where("warc_type in ('response', 'revisit')"), "back")
     named = back.where("warc_type = 'response'").join(
         repeated.select(F.col("refers_id").alias("record_id")), "record_id", "left_semi"
