@@ -32,12 +32,15 @@ join, a long one, of twice the set's size at least, before counting.
 *Counting.*  For candidate pairs, the overlap of each of ``FRAGMENTS`` coarser
 fragments is counted separately and summed per pair.
 
-*Connectivity.*  Sets that are equal are one class from the start.  The ties are
-counted first; they form a tree for every signature, so all documents of one whose
-ties lie within components are done.  The others mostly hold texts that share a
+*Connectivity.*  Sets that are equal are one class from the start.  Of each
+document's ties the one that most signatures share is counted first, then those
+whose ends are not in one component yet.  Ties form a tree for every signature,
+so all documents of one whose ties lie within components are done.  The others mostly hold texts that share a
 passage and little else.  There a set with fewer open signatures than its need is
 out, and of the others all but the ``need - 1`` most frequent signatures are
-enough (the prefix filter); within what is left, every pair across components
+enough (the prefix filter).  Within what is left, ``HUBS`` times a document by
+random order is held against the others of its signature, which joins most near
+copies, and at last every pair that is still across components and
 that sizes and sketches allow is counted, in blocks of ``BUCKET`` documents.
 No pair within a component is made, so a group of n near copies costs about n
 comparisons, not n*n/2; and no link between different components is missed.
@@ -63,8 +66,8 @@ FRAGMENTS = 8
 SKETCH = 8
 #: Bits of a signature; the lowest are its class's number modulo ``PHASES``.
 WIDTH, PHASES = 48, 4
-#: Signatures that a task sorts at once, documents of a block in the last comparison.
-RUN, BUCKET = 1 << 20, 1024
+#: Signatures that a task sorts at once, documents of a block in the last comparison, hubs of a signature before it.
+RUN, BUCKET, HUBS = 1 << 20, 1024, 4
 _U = np.uint64
 
 
@@ -359,7 +362,8 @@ def jaccard_components(
     met = runs.mapInArrow(tidied(_meet(bits)), "sig long, row long, hub long")
     ties = scratch.put(met.union(made.where("kind = 2").select("sig", "row", "hub")), "ties")
     scratch.drop(made)
-    pairs = scratch.put(ties.select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    pairs = scratch.put(ties.groupBy(F.col("hub").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("shared")), "pairs")
+    nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
     def verify(asked: DataFrame, tag: str) -> DataFrame:
         """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
@@ -378,13 +382,24 @@ def jaccard_components(
         return out
 
     copies = feats.where("signed").join(sets.where("rows > 1"), keys).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
-    links = verify(pairs, "links").union(scratch.put(copies, "copies"))
-    label = components(links, scratch)
 
     def placed(df: DataFrame, row: str, name: str) -> DataFrame:
         return df.join(label.select(F.col("node").alias(row), F.col("component").alias("_c")), row, "left").withColumn(name, F.coalesce("_c", row)).drop("_c")
 
-    cross = scratch.put(placed(placed(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("hub"), F.col("b").alias("row")), "cross")
+    def crossing(tag: str) -> DataFrame:
+        """Ties whose ends are not in one component."""
+        return scratch.put(placed(placed(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), tag)
+
+    links = verify(scratch.put(nearest, "nearest"), "links").union(scratch.put(copies, "copies"))
+    label = components(links, scratch)
+    cross = crossing("other-ties")
+    if cross.limit(1).count():
+        others = verify(cross, "other-links")
+        if others.limit(1).count():
+            links = links.union(others)
+            label = components(links, scratch)
+            cross = crossing("cross")
+    cross = cross.select(F.col("a").alias("hub"), F.col("b").alias("row"))
     if cross.limit(1).count():
         open_sigs = scratch.put(pick(ties, cross, ["row", "hub"]).select("sig").distinct(), "open")
         tied = scratch.put(pick(ties, open_sigs, ["sig"]), "tied")
@@ -397,9 +412,26 @@ def jaccard_components(
         often = kept.groupBy("sig").agg(F.count("*").alias("often"))
         rarest = F.row_number().over(Window.partitionBy("row", "phase").orderBy("often", "sig"))
         prefix = kept.join(often, "sig").withColumn("place", rarest).where("place <= of - need + 1").select("sig", "row", "phase")
-        prefix = placed(prefix, "row", "component")
-        sizes = prefix.groupBy("sig").agg(F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several")).where("several")
-        prefix = scratch.put(prefix.join(sizes.select("sig", "b"), "sig").join(fit.select("row", "phase", F.struct("n", "sk").alias("f")), ["row", "phase"]), "prefix")
+        prefix = scratch.put(prefix.join(fit.select("row", "phase", F.struct("n", "sk").alias("f")), ["row", "phase"]), "prefix")
+
+        def still_open() -> DataFrame:
+            """The prefix of signatures whose documents are in several components by now."""
+            now = placed(prefix, "row", "component")
+            sizes = now.groupBy("sig").agg(F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several")).where("several")
+            return scratch.put(now.join(sizes.select("sig", "b"), "sig"), "open-prefix")
+
+        prefix = still_open()
+        for seed in range(HUBS):  # each time another document is held against the others of its signatures
+            hubs = prefix.groupBy("sig").agg(F.max_by(F.struct("row", "component", "f"), F.xxhash64("row", F.lit(seed))).alias("h"))
+            met = prefix.join(hubs, "sig").withColumn("hf", F.col("h.f")).where(f"component <> h.component and {_apart('f', 'hf', percent)}")
+            asked = met.select(F.least("row", "h.row").alias("a"), F.greatest("row", "h.row").alias("b")).distinct()
+            found = verify(scratch.put(asked, "hubs"), "hub-links")
+            if found.limit(1).count() == 0:
+                break
+            links = links.union(found)
+            label = components(links, scratch)
+            prefix = prefix.drop("component", "b")
+            prefix = still_open()
         blocks = F.ceil(F.col("b") / BUCKET).cast("int")
         side = F.pmod(F.xxhash64("row"), blocks).cast("int")
         dealt = prefix.select("sig", "row", "component", "f", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
