@@ -139,16 +139,26 @@ def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform"
 
 
 def violations(relations: DataFrame, left: list[str], right: list[str], kind: str) -> DataFrame:
-    """(traces, violating): traces that break a cut; sequence: the first of ``left`` comes before the first of ``right``; exclusive: not both.
+    """(traces, violating): traces that break a cut; sequence: every event of ``left`` comes before the first of ``right``; exclusive: not both."""
+    return rule_violations(relations, [(kind, set(left), set(right))])
 
-    Only the first event of each side is kept of an object, by partial
-    aggregates, so no trace is gathered.
+
+def rule_violations(relations: DataFrame, rules: list[tuple[str, set[str], set[str]]]) -> DataFrame:
+    """(traces, violating): traces that break any of the rules (kind, left, right) as ``violations`` says.
+
+    Only the last event of the left and the first of the right side are kept of
+    an object for each rule, by partial aggregates, so no trace is gathered.
+    Without rules nothing is violated.
     """
     key = F.struct("ts", "eid")
-    first = [F.min(F.when(F.col("activity").isin(side), key)).alias(n) for n, side in (("a", left), ("b", right))]
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    bad = both if kind == "exclusive" else both & (F.col("a") > F.col("b"))
-    return relations.groupBy("oid", "otype").agg(*first).agg(F.count("*").alias("traces"), F.count_if(bad).alias("violating"))
+    sides, bad = [], F.lit(False)
+    for i, (kind, left, right) in enumerate(rules):
+        one, two = (F.when(F.col("activity").isin(sorted(side)), key) for side in (left, right))
+        sides += [F.max(one).alias(f"left{i}"), F.min(two).alias(f"right{i}")]
+        both = F.col(f"left{i}").isNotNull() & F.col(f"right{i}").isNotNull()
+        bad = bad | (both if kind == "exclusive" else both & (F.col(f"left{i}") > F.col(f"right{i}")))
+    traces = relations.groupBy("oid", "otype").agg(F.count("*").alias("_events"), *sides)
+    return traces.agg(F.count("*").alias("traces"), F.count_if(bad).alias("violating"))
 
 
 def raw_traces(events: DataFrame, e2o: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
@@ -13,7 +14,7 @@ from skeinflow.operators.relations import patterns
 from skeinflow.plans.cuts import discover
 from skeinflow.plans.graph import Edges
 from skeinflow.plans.repair import Suggestion, suggest
-from skeinflow.plans.tree import TAU, Node, collapse, descendants, language, open_flower, relations_of, replace_flowers
+from skeinflow.plans.tree import TAU, Node, collapse, descendants, language, open_flower, relations_of, replace_flowers, replay_greedily, rules
 from skeinflow.sources.scratch import keep
 
 #: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
@@ -145,20 +146,30 @@ class Session:
         every = spark.createDataFrame([(list(x),) for x in sorted(language(tree, most))], "run array<string>")
         return scores(T.kept_relations(self.relations, self.patterns), every)
 
+    def violation_rate(self, tree: Node | None = None) -> float:
+        """The share of traces, in percent, that break a rule of the tree's upper sequence and exclusive nodes."""
+        r = T.rule_violations(T.kept_relations(self.relations, self.patterns), rules(tree or self.tree)).first()
+        return r.violating * 100.0 / r.traces if r.traces else 0.0
+
     def conformance(self, tree: Node | None = None) -> tuple[float, float, float]:
         """(fitness, precision, F) by abstractions.
 
         For each object type the starts, ends and steps of its traces are held
-        against those of the tree projected to the type's activities; fitness is the common share of the log's, precision of the
-        tree's.
+        against those of the tree projected to the type's activities, and the
+        log's patterns (activity, type, kind) against those that the tree's leaves
+        carry, which are the log's own of the tree's activities.  Fitness is the
+        common share of the log's, precision of the tree's.
         """
         tree = tree or self.tree
         ends = {(r.otype, r.activity, s) for r in D.endpoints(self.relations, True).collect() for s in ("start", "end") if r[f"is_{s}"]}
         steps = {(r.otype, r.source, r.target) for r in D.dfg_by_type(self.relations).collect()}
         related: dict[str, set[str]] = {}
+        held = set()
         for r in self.patterns.collect():
             related.setdefault(r.otype, set()).add(r.activity)
-        log, model = ends | steps, set()
+            held |= {("pattern", r.activity, r.otype, kind) for kind in ("related", "divergent", "convergent", "deficient") if r[kind]}
+        leaves = tree.activities()
+        log, model = ends | steps | held, {p for p in held if p[1] in leaves}
         for otype, names in related.items():
             s, e, f, _ = relations_of(project(tree, names))
             model |= {(otype, a, "start") for a in s} | {(otype, a, "end") for a in e} | {(otype, a, b) for a, b in f}
@@ -202,6 +213,37 @@ def score_table(kept: DataFrame, runs: DataFrame, by: list[str] = ()) -> DataFra
     return fit.withColumn("traces", F.lit(kept.select("oid", "otype").distinct().count()))
 
 
+def greedy_table(runs: DataFrame, tree: Node) -> DataFrame:
+    """(traces, fitting) of a table of traces (activities) replayed greedily on a tree.
+
+    A trace fits if all went on and every event was used, or if nothing was
+    missed and some event was used.  Equal traces are replayed once.
+    """
+
+    @F.pandas_udf("boolean")
+    def fits(names: pd.Series) -> pd.Series:
+        def fit(trace) -> bool:
+            fine, used, missed = replay_greedily(tree, list(trace))
+            return fine and used == len(trace) or used > 0 and missed == 0
+
+        return names.map(fit)
+
+    once = runs.groupBy("activities").agg(F.count("*").alias("n"))
+    marked = once.select("n", F.when(fits("activities"), F.col("n")).otherwise(0).alias("fit"))
+    return marked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("traces"), F.coalesce(F.sum("fit"), F.lit(0)).alias("fitting"))
+
+
+def metrics(relations: DataFrame, tree: Node) -> DataFrame:
+    """One row: ``log_metrics`` of the tree's activities, and the fitness of greedy replay."""
+    r = greedy_table(T.traces(relations), tree).first()
+    return T.log_metrics(relations, sorted(tree.activities())).withColumn("fitness", F.lit(r.fitting / r.traces if r.traces else 0.0))
+
+
+def metrics_text(row: Row) -> str:
+    """The metrics as lines of text."""
+    return "\n".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in row.asDict().items())
+
+
 def scores(kept: DataFrame, runs: DataFrame) -> tuple[float, float, float]:
     r = score_table(kept, runs).first()
     return f_score(r.fitting_traces / r.traces if r.traces else 0.0, r.fitting_executions / r.executions if r.executions else 0.0)

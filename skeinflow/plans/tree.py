@@ -167,3 +167,43 @@ def relations_of(tree: Node) -> tuple[set[str], set[str], set[tuple[str, str]],
             if empty:
                 s, e, f = s | s2, e | e2, f | {(a, b) for a in e2 for b in s2}
     return s, e, f, empty
+
+
+def rules(tree: Node) -> list[tuple[str, set[str], set[str]]]:
+    """(kind, left, right) of the sequence and exclusive nodes that only such nodes lie above; the first two children count."""
+    if tree.label not in ("sequence", "exclusive") or len(tree.children) < 2:
+        return []
+    one, two = tree.children[:2]
+    return [(tree.label, one.activities(), two.activities()), *rules(one), *rules(two)]
+
+
+def replay_greedily(tree: Node, trace: list[str], at: int = 0) -> tuple[bool, int, int]:
+    """(went on, events used, activities missed) of a trace from ``at`` on, without backtracking.
+
+    Past the end all goes on.  An exclusive node takes its first branch that uses
+    an event; parallel children run one after the other and never stop; a loop
+    repeats its first child while that uses events.  Any other label, operators
+    included, is an activity.
+    """
+    if at >= len(trace):
+        return True, 0, 0
+    if tree.label == "exclusive":
+        tried = (replay_greedily(c, trace, at) for c in tree.children)
+        return next((t for t in tried if t[0] and t[1]), (False, 0, 1))
+    used = missed = 0
+    if tree.label in ("sequence", "parallel"):
+        for child in tree.children:
+            fine, n, gaps = replay_greedily(child, trace, at + used)
+            used, missed = used + n, missed + gaps
+            if not fine and tree.label == "sequence":
+                return False, used, missed
+        return True, used, missed
+    if tree.label == "loop":
+        n = 1
+        while tree.children and n and at + used < len(trace):
+            fine, n, gaps = replay_greedily(tree.children[0], trace, at + used)
+            used, missed = used + n, missed + gaps
+            if not fine:
+                break
+        return True, used, missed
+    return (True, 1, 0) if trace[at] == tree.label else (False, 0, 1)

@@ -11,8 +11,8 @@ from skeinflow.operators import dfg as D
 from skeinflow.operators import traces as T
 from skeinflow.operators.relations import event_object_sets, patterns
 from skeinflow.plans.repair import suggest
-from skeinflow.plans.session import Session, enumerate_trees, score_table
-from skeinflow.plans.tree import language, open_flower, table
+from skeinflow.plans.session import Session, enumerate_trees, greedy_table, metrics, score_table
+from skeinflow.plans.tree import Node, rules, table
 from skeinflow.sources.scratch import keep
 from skeinflow.sources.tables import clicks, clicks_by_key, orders
 
@@ -137,6 +137,11 @@ def _score(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 GIVEN_RUNS = [["place order", x] for x in ("close item", "return item", "ship item")]
 
 
+#: A given tree for greedy replay and the rules: an order is placed, then items go their ways; nothing is returned and then shipped.
+GIVEN_LOOP = Node("sequence", [Node("place order"), Node("loop", [Node("exclusive", [Node("ship item"), Node("close item"), Node("return item")])])])
+GIVEN_TREE = Node("sequence", [Node("place order"), Node("exclusive", [Node("ship item"), Node("sequence", [Node("close item"), Node("return item")])])])
+
+
 def _replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(_kept(spark, sf_dir, "orders"), spark.createDataFrame([(r,) for r in GIVEN_RUNS], "run array<string>"))
 
@@ -180,6 +185,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replay_counts_orders": _replay_counts,
         "violations_sequence_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["place order"], ["return item"], "sequence"),
         "violations_exclusive_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["close item"], ["return item"], "exclusive"),
+        "violations_tree_orders": lambda s, d: T.rule_violations(_kept(s, d, "orders"), rules(GIVEN_TREE)),
+        "replay_greedy_orders": lambda s, d: greedy_table(T.traces(orders(s, d)), GIVEN_LOOP),
+        "metrics_orders": lambda s, d: metrics(orders(s, d), GIVEN_LOOP),
         "tree_orders": lambda s, d: _tree(s, d, "orders"),
         "tree_clicks": lambda s, d: _tree(s, d, "clicks"),
         "tree_keys": lambda s, d: _tree(s, d, "keys"),
@@ -215,12 +223,19 @@ def _curve_sql(log: str, graph: str, kernel: str, floor: bool, series: bool = Fa
     ) + last
 
 
+def _before(left: str, *right: str) -> str:
+    """SQL: some event of ``left`` comes after the first of ``right``."""
+    first = "least(" + ", ".join(f"nullif(coalesce(list_position(acts, '{x}'), 0), 0)" for x in right) + ")"
+    return f"(list_contains(acts, '{left}') AND coalesce(len(acts) + 1 - list_position(list_reverse(acts), '{left}') > {first}, FALSE))"
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     ends = """f AS (SELECT otype, oid, arg_min(activity, (ts, eid)) a, arg_max(activity, (ts, eid)) z FROM rel GROUP BY otype, oid),
         side AS (SELECT otype, a activity, TRUE s FROM f UNION ALL SELECT otype, z, FALSE FROM f)"""
     trace = "tr AS (SELECT oid, otype, list(activity ORDER BY ts, eid) acts FROM kept GROUP BY oid, otype)"
     collapsed = "list_filter(acts, lambda x, i: i = 1 OR x <> acts[i - 1])"
+    once_placed = "acts[1] = 'place order' AND NOT list_contains(acts[2:], 'place order')"
     loops = ", ".join(repr(x) for x in CLICK_LOOPS)
     variants = f"""first AS (SELECT 'u' || user_id || '-' || CAST(ts AS DATE) oid, event_type, ts, CAST(event_id AS VARCHAR) eid FROM events
             QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) <= 4),
@@ -275,7 +290,13 @@ def oracle_sql() -> dict[str, str]:
             "types AS (SELECT otype, list(DISTINCT activity) names FROM kept GROUP BY otype)",
             "own AS (SELECT DISTINCT list_filter(m, lambda x: list_contains(names, x)) run FROM types, model)",
         ) + "SELECT count(*) executions, count(n) fitting_executions, CAST(coalesce(sum(n), 0) AS BIGINT) fitting_traces, (SELECT count(*) FROM tr) traces FROM own LEFT JOIN single USING (run) WHERE len(own.run) > 0",
-        "violations_sequence_orders": _with("orders", PATTERNS, KEPT, trace) + "SELECT count(*) traces, count(*) FILTER (list_position(acts, 'place order') > list_position(acts, 'return item') AND list_contains(acts, 'return item') AND list_contains(acts, 'place order')) violating FROM tr",
+        "violations_sequence_orders": _with("orders", PATTERNS, KEPT, trace) + f"SELECT count(*) traces, count(*) FILTER ({_before('place order', 'return item')}) violating FROM tr",
+        "violations_tree_orders": _with("orders", PATTERNS, KEPT, trace) + f"""SELECT count(*) traces, count(*) FILTER ({_before('place order', 'ship item', 'close item', 'return item')}
+            OR (list_contains(acts, 'ship item') AND list_has_any(acts, ['close item', 'return item'])) OR {_before('close item', 'return item')}) violating FROM tr""",
+        "replay_greedy_orders": _with("orders", trace.replace("FROM kept", "FROM rel")) + f"SELECT count(*) traces, count(*) FILTER ({once_placed}) fitting FROM tr",
+        "metrics_orders": _with("orders", trace.replace("FROM kept", "FROM rel")) + f"""SELECT count(DISTINCT oid) traces, count(DISTINCT eid) events, count(DISTINCT activity) activities,
+            count(DISTINCT activity) FILTER (activity IN ('place order', 'ship item', 'close item', 'return item')) / 4::DOUBLE activity_precision,
+            (SELECT count(*) FILTER ({once_placed})::DOUBLE / count(*) FROM tr) fitness FROM rel""",
         "violations_exclusive_orders": _with("orders", PATTERNS, KEPT, trace) + "SELECT count(*) traces, count(*) FILTER (list_contains(acts, 'close item') AND list_contains(acts, 'return item')) violating FROM tr",
     }
     return out

@@ -4,11 +4,13 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinflow.plans import repair as R
 from skeinflow.plans.cuts import discover, exclusive_ok, find_cut, parallel_ok, redo_ok, sequence_ok
 from skeinflow.plans.graph import bipartitions, components, min_cut, strong_components
-from skeinflow.plans.tree import Node, collapse, forest_json, language, open_flower, read_forest, relations_of, replace_flowers
+from skeinflow.plans.session import Session, greedy_table, metrics, metrics_text
+from skeinflow.plans.tree import Node, collapse, forest_json, language, open_flower, read_forest, relations_of, replace_flowers, replay_greedily, rules
 from skeinflow.sources.ocel import cost_json, graph_edges, graph_json, log_name, read_costs
 
 
@@ -88,3 +90,31 @@ def test_interchange():
     for bad in ("../x.json", "a/b.json", "x.txt"):
         with pytest.raises(ValueError, match="log name"):
             log_name(bad)
+
+
+def test_rules_and_greedy_replay(spark):
+    a, b, c = map(Node, "abc")
+    assert rules(Node("sequence", [a, Node("exclusive", [b, c])])) == [("sequence", {"a"}, {"b", "c"}), ("exclusive", {"b"}, {"c"})]
+    assert rules(Node("parallel", [Node("sequence", [a, b]), c])) == []
+    line, either, both, loop = Node("sequence", [a, b]), Node("exclusive", [a, b]), Node("parallel", [a, b]), Node("loop", [Node("exclusive", [a, b])])
+    cases = [
+        (line, "ab", (True, 2, 0)), (line, "ba", (False, 0, 1)), (line, "a", (True, 1, 0)), (line, "abc", (True, 2, 0)), (line, "ac", (False, 1, 1)), (either, "b", (True, 1, 0)),
+        (either, "c", (False, 0, 1)), (both, "ba", (True, 1, 1)), (both, "ab", (True, 2, 0)), (loop, "abba", (True, 4, 0)), (loop, "abc", (True, 2, 1)), (Node("redo", [a]), "a", (False, 0, 1)), (line, "", (True, 0, 0)),
+        (Node("loop"), "a", (True, 0, 0)),
+    ]
+    for tree, trace, want in cases:
+        assert replay_greedily(tree, list(trace)) == want, (str(tree), trace)
+    runs = spark.createDataFrame([(list(t),) for t in ("ab", "ab", "abc", "ac", "b", "")], "activities array<string>")
+    assert tuple(greedy_table(runs, line).first()) == (6, 4)  # nothing is missed of abc, and the empty trace goes on
+    assert tuple(greedy_table(runs.where("false"), line).first()) == (0, 0)
+    rel = spark.createDataFrame([("1", "a", 1, "x", "t"), ("2", "b", 2, "x", "t"), ("3", "b", 1, "y", "t")], "eid string, activity string, ts int, oid string, otype string")
+    row = metrics(rel, line).first()
+    assert tuple(row) == (2, 3, 2, 1.0, 0.5) and metrics_text(row).splitlines()[-1] == "fitness: 0.5000"
+
+
+def test_patterns_count_in_conformance(spark):
+    rel = spark.createDataFrame([("1", "a", 1, "x", "t"), ("2", "b", 2, "x", "t")], "eid string, activity string, ts int, oid string, otype string")
+    s = Session.open(rel.withColumn("ts", F.timestamp_seconds("ts")))
+    assert s.conformance() == (1.0, 1.0, 1.0) and s.violation_rate() == 0.0
+    fitness, precision, _ = s.conformance(Node("a"))  # of start, end, step and two patterns the tree has start and pattern of a
+    assert (fitness, precision) == (2 / 5, 2 / 3)

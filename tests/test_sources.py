@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions.timestamps import parse_time
 from skeinflow.operators.relations import event_object_sets, pattern_maps, patterns, relations_from
-from skeinflow.operators.traces import coverage, raw_traces, traces, violations
+from skeinflow.operators.traces import coverage, rule_violations, raw_traces, traces, violations
 from skeinflow.plans import repair as R
 from skeinflow.plans.cuts import discover, find_cut, redo_ok, sequence_ok
 from skeinflow.plans.graph import bipartitions
@@ -123,5 +123,8 @@ def test_violations_and_coverage(spark):
     rows = [(str(i), a, at, o, "t") for i, (o, a) in enumerate([("1", "b"), ("1", "a"), ("2", "a"), ("2", "b"), ("3", "b")])]
     rel = spark.createDataFrame(rows, "eid string, activity string, ts timestamp, oid string, otype string")
     assert tuple(violations(rel, ["a"], ["b"], "sequence").first()) == (3, 1) and tuple(violations(rel, ["a"], ["b"], "exclusive").first()) == (3, 2)
+    late = spark.createDataFrame([(str(i), a, at, "1", "t") for i, a in enumerate("aba")], rel.schema)
+    assert tuple(violations(late, ["a"], ["b"], "sequence").first()) == (1, 1) and tuple(rule_violations(rel, []).first()) == (3, 0)
+    assert tuple(rule_violations(rel.where("false"), [("sequence", {"a"}, {"b"})]).first()) == (0, 0)
     runs = spark.createDataFrame([(["a", "b"],), (["c"],)], "run array<string>")
     assert tuple(coverage(traces(rel), runs).first()) == (2, 1, 50.0) and tuple(coverage(traces(rel), runs.where("false")).first()) == (0, 0, 0.0)
