@@ -138,7 +138,7 @@ class Discriminant:
 
     @classmethod
     def fit(cls, n: np.ndarray, s: np.ndarray, ss: np.ndarray, pooled: float = POOLED, diagonal: float = DIAGONAL) -> Discriminant:
-        """From counts (2), sums (2, d) and sums of products (2, d, d) of the classes."""
+        """From counts (2), sums (2, d) and sums of products (2, d, d) of the classes; a class of at most d rows takes the pooled covariance."""
         d = s.shape[1]
         if not n.any():
             return cls([np.zeros(d)] * 2, [np.eye(d)] * 2, [0.0, 0.0])
