@@ -50,7 +50,7 @@ STAGES = [
     ("secrets", secret_stage),
     ("packing", packing_stage),
 ]
-#: A trained classifier and a tokenizer are not SQL; tests hold its operators against brute force, not the whole pipeline.
+#: A trained classifier and a tokenizer are not SQL; tests/llm/test_brute.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
