@@ -56,14 +56,19 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *[p for p in paths if p]])
 
 
+def give_back() -> None:
+    """Hand freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidied(run):
     """A function for ``mapInArrow`` that gives freed memory back when its task ends: workers live on beside later stages."""
 
     def wrapped(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return wrapped
 

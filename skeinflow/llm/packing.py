@@ -24,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._io import Scratch, tidied
+from skeinflow.llm._bytes import pieces
+from skeinflow.llm._io import Scratch, give_back, tidied
 
 OPEN, CUT, MERGE = 32, 64, 64
 #: Chunks of text whose ids a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 150_000
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space that may join a chunk to the next; texts with it are tokenised whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -113,6 +114,7 @@ def _piece_encoder(spec: dict):
 def tokenizer(path: str) -> ChunkTokenizer:
     if path not in _known:
         _known[path] = ChunkTokenizer(path)
+        give_back()  # reading the file takes more than it leaves
     return _known[path]
 
 
@@ -185,8 +187,8 @@ def _pack(path: str, end_id: int, size: int, keep_ids: bool):
         number = TaskContext.get().partitionId() << 36
         row, done = number, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
+            for a, b in pieces(batch.column(1), 250):
+                part = batch.slice(a, b - a)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     ids = ids.tobytes() + end_id.to_bytes(4, "little")
@@ -275,7 +277,7 @@ def pack(
         tasks = -(-(parts + 1) // MERGE)
         dealt = rest.withColumn("task", (source / MERGE).cast("int")).repartition(tasks, "task") if tasks > 1 else rest.coalesce(1)
         ordered = dealt.sortWithinPartitions("sequence_id", "offset").select(*_FIELDS)
-        made = scratch.put(ordered.mapInArrow(_merge(size, keep_ids, round_, tasks == 1), _SCHEMA), f"merged{round_}")
+        made = scratch.put(ordered.mapInArrow(tidied(_merge(size, keep_ids, round_, tasks == 1)), _SCHEMA), f"merged{round_}")
         out, rest = out.union(made.where("closed")), made.where("not closed")
         if tasks == 1:
             break

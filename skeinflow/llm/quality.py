@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import buffers, pieces
+from skeinflow.llm._bytes import BLOCK, buffers, pieces
 from skeinflow.llm._io import FEW, Scratch, ship, tidied
 
 #: Shares of the pooled covariance and of the diagonal in each class's covariance, and the score from which a text is good.
@@ -61,7 +61,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     data, off = buffers(column)
     rows, n = len(off) - 1, len(data)
     if len(_powers.get("p", ())) < n + 2:
-        base = np.full(max(n + 2, 1 << 21), 0x9E3779B97F4A7C15, np.uint64)
+        base = np.full(max(n + 2, 2 * BLOCK), 0x9E3779B97F4A7C15, np.uint64)
         base[0] = 1
         _powers["p"] = np.cumprod(base, dtype=np.uint64)
     powers = _powers["p"]
