@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinflow.llm.arc_convert import pages_round_trip
+from skeinflow.llm.ball_tree import hard_negatives
 from skeinflow.llm.language_id import fit, identify
 from skeinflow.llm.lattice_dedup import near_duplicates
 from skeinflow.llm.kd_search import nearest
 from skeinflow.llm.packing import pack
+from skeinflow.llm.periodic_runs import find_runs
 from skeinflow.llm.piece_transducer import round_trip
 from skeinflow.llm.quality import quality
 from skeinflow.llm.secrets import find_secrets
 from skeinflow.llm.tool_links import link, quoted
 from skeinflow.llm.vertical_join import jaccard_components
+from skeinflow.llm.voronoi_join import top_products
 
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +107,39 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, k=3, percent=90)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_products(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
+def echo(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For a tenth of the documents: from some word on, the words that follow it again and again."""
+    if doc_id is None or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), echo=echo)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # the greatest length, then the smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    one = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return one.select(
+        "doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_lattice_dedup": op1_lattice_dedup,
@@ -113,9 +152,17 @@ def queries() -> dict:
         "op8_piece_transducer": op8_piece_transducer,
         "op9_tool_links": op9_tool_links,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_voronoi_join": op12_voronoi_join,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
+#: SQL: ids and whole-number vectors.
+_WHOLE = """w AS (SELECT vec_id AS id, list_transform(embedding, lambda x: floor({} * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     value = " + ".join(f"{1 << (4 - j)} * substr(b, 5 * i + {j + 1}, 1)::INT" for j in range(5))
     return {
@@ -126,4 +173,14 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) latest FROM d)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END record_type,
                    CASE WHEN page_id < latest THEN latest END refers_to, TRUE intact FROM m""",
+        "op11_hard_negatives": f"""
+            WITH {_WHOLE.format(256)}, r AS (SELECT w.id, w.v, CASE WHEN w.id % 7 = 0 THEN (e.label + 1) % 10 ELSE e.label END AS lab FROM w JOIN embeddings e ON e.vec_id = w.id WHERE e.label IS NOT NULL),
+            d AS (SELECT a.id AS aid, a.lab = b.lab AS same, b.id AS bid, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0),
+            p AS (SELECT aid, bid AS pid, s AS ps FROM d WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY s DESC, bid) <= 5),
+            n AS (SELECT p.aid, pid, row_number() OVER (PARTITION BY p.aid, pid ORDER BY s DESC, bid) AS k, bid, ps, s FROM p JOIN d ON d.aid = p.aid AND NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps)
+            SELECT aid AS anchor_id, pid AS positive_id, CAST(k AS INTEGER) AS rank, bid AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE k <= 10""",
+        "op12_voronoi_join": f"""
+            WITH {_WHOLE.format(64)}, d AS (SELECT q.id AS qid, s.id AS sid, CAST(list_dot_product(q.v, s.v) AS BIGINT) AS s FROM w q JOIN w s ON q.id <> s.id WHERE q.id % 20 = 0),
+            k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, sid) AS k FROM d)
+            SELECT qid AS query_id, CAST(k AS INTEGER) AS rank, sid AS vec_id, s AS score FROM k WHERE k <= 20""",
     }
