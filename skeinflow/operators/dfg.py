@@ -5,28 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.operators.order import in_order
 from skeinflow.sources.scratch import keep
 
 
-def successors(relations: DataFrame) -> DataFrame:
-    """(oid, otype, source, target) for consecutive events of an object, in order of (ts, eid).
-
-    Successors are found within a day of an object first, and days are linked by
-    their first and last events, so an object with a large share of all events
-    is spread over as many tasks as it has days.
-    """
-    day = relations.withColumn("day", F.to_date("ts"))
-    within = Window.partitionBy("oid", "day").orderBy("ts", "eid")
-    inner = day.select("oid", "otype", F.col("activity").alias("source"), F.lead("activity").over(within).alias("target")).where("target is not null")
-    key = F.struct("ts", "eid")
-    ends = day.groupBy("oid", "day").agg(F.first("otype").alias("otype"), F.min_by("activity", key).alias("first"), F.max_by("activity", key).alias("last"))
-    across = ends.select("oid", "otype", F.col("last").alias("source"), F.lead("first").over(Window.partitionBy("oid").orderBy("day")).alias("target"))
-    return inner.union(across.where("target is not null"))
-
-
-def _once(relations: DataFrame) -> DataFrame:
-    """One row for each event of an object: of several, the one with the smallest (ts, activity)."""
-    return relations.groupBy("oid", "eid").agg(F.min(F.struct("ts", "activity", "otype")).alias("r")).select("oid", "eid", "r.ts", "r.activity", "r.otype")
+def successors(relations: DataFrame, once: bool = False) -> DataFrame:
+    """(oid, otype, source, target) for consecutive events of an object, in order of (ts, eid); see ``in_order``."""
+    steps = in_order(relations, once=once).where("pos > 1 and activity is not null")
+    return steps.select("oid", "otype", F.col("before.activity").alias("source"), F.col("activity").alias("target"))
 
 
 def endpoints(relations: DataFrame, by_type: bool = False) -> DataFrame:
@@ -38,26 +24,27 @@ def endpoints(relations: DataFrame, by_type: bool = False) -> DataFrame:
     return sides.select("otype", "x.activity", "x.s").groupBy(*keys).agg(F.max("s").alias("is_start"), F.max(~F.col("s")).alias("is_end"))
 
 
-def dfg(relations: DataFrame, patterns: DataFrame) -> DataFrame:
+def dfg_by_type(relations: DataFrame) -> DataFrame:
+    """(otype, source, target, cnt): raw counts of steps, an event of an object counting once."""
+    return successors(relations, once=True).groupBy("otype", "source", "target").agg(F.count("*").alias("cnt"))
+
+
+def dfg(relations: DataFrame, patterns: DataFrame, by_type: DataFrame | None = None) -> DataFrame:
     """(source, target, cnt, weight): steps of objects whose type is not divergent for both activities.
 
     ``weight`` is the share of all such steps in percent, rounded up, computed in
-    double precision in a fixed order.
+    double precision in a fixed order.  ``by_type`` may give the result of
+    ``dfg_by_type``, which both graphs come from.
     """
     loose = patterns.where("divergent").select("activity", "otype")
-    steps = successors(_once(relations)).groupBy("otype", "source", "target").agg(F.count("*").alias("n"))
+    steps = dfg_by_type(relations) if by_type is None else by_type
     a = steps.join(loose.select(F.col("activity").alias("source"), "otype", F.lit(True).alias("da")), ["source", "otype"], "left")
     b = a.join(loose.select(F.col("activity").alias("target"), "otype", F.lit(True).alias("db")), ["target", "otype"], "left")
-    edges = b.where("da is null or db is null").groupBy("source", "target").agg(F.sum("n").alias("cnt"))
+    edges = b.where("da is null or db is null").groupBy("source", "target").agg(F.sum("cnt").alias("cnt"))
     total = F.sum("cnt").over(Window.partitionBy())  # a row per edge, at most activities squared
     return edges.withColumn("weight", F.ceil(F.col("cnt").cast("double") / total.cast("double") * F.lit(100.0)))
 
 
-def dfg_by_type(relations: DataFrame) -> DataFrame:
-    """(otype, source, target, cnt): raw counts."""
-    return successors(_once(relations)).groupBy("otype", "source", "target").agg(F.count("*").alias("cnt"))
-
-
 def reduce_noise(edges: DataFrame, share: float) -> DataFrame:
     """Edges heavier than trunc(sum of weights * share); a share of zero or less keeps all."""
     if share <= 0:

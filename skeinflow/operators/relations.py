@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,17 +27,17 @@ def patterns(relations: DataFrame) -> DataFrame:
     once = relations.select("eid", "activity", "oid", "otype").distinct()
     prints = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("oid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "oid")).alias("y"))
     typed = once.groupBy("eid", "activity", "otype").agg(prints.alias("part"))
-    full = typed.groupBy("eid").agg(F.struct(F.sum("part.n").alias("n"), F.bit_xor("part.x").alias("x"), F.bit_xor("part.y").alias("y")).alias("whole"))
-    seen = typed.join(full, "eid").groupBy("activity", "otype", "part").agg(
-        F.count("*").alias("events"), (F.min("whole") != F.max("whole")).alias("divergent")
+    event = Window.partitionBy("eid")  # a row for each type of an event's objects
+    whole = F.struct(F.sum("part.n").over(event).alias("n"), F.bit_xor("part.x").over(event).alias("x"), F.bit_xor("part.y").over(event).alias("y"))
+    first = F.row_number().over(Window.partitionBy("eid", "activity").orderBy("otype")) == 1
+    seen = typed.select("activity", "otype", "part", whole.alias("whole"), first.alias("first")).groupBy("activity", "otype", "part").agg(
+        F.count("*").alias("events"), F.count_if("first").alias("firsts"), (F.min("whole") != F.max("whole")).alias("divergent")
     )
     pairs = seen.groupBy("activity", "otype").agg(
-        F.sum("events").alias("events"), F.max(F.col("part.n") > 1).alias("convergent"), F.max("divergent").alias("divergent")
-    )
-    total = once.select("eid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("total"))
-    return pairs.join(total, "activity").select(
-        "activity", "otype", F.lit(True).alias("related"), "divergent", "convergent", (F.col("events") != F.col("total")).alias("deficient")
+        F.sum("events").alias("events"), F.sum("firsts").alias("firsts"), F.max(F.col("part.n") > 1).alias("convergent"), F.max("divergent").alias("divergent")
     )
+    total = F.sum("firsts").over(Window.partitionBy("activity"))  # a row for each type
+    return pairs.select("activity", "otype", F.lit(True).alias("related"), "divergent", "convergent", (F.col("events") != total).alias("deficient"))
 
 
 def pattern_maps(table: DataFrame) -> dict[str, dict[str, list[str]]]:

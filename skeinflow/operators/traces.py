@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.operators.order import changed, in_order, running_sums
 from skeinflow.sources.scratch import keep
 
 
@@ -53,16 +54,18 @@ NEVER = 99999.0
 def order_cost(missing: DataFrame, relations: DataFrame) -> DataFrame:
     """(source, target, cost): 100 * (1 - p) where p is the chance that target comes after source, both present; ``NEVER`` if p is 0.
 
-    Pairs of occurrences are counted from running sums over the histogram, never made.
+    Pairs of occurrences are counted from running sums over the histogram, never made.  ``missing`` has at most activities squared rows.
     """
     relations = keep(relations, "kept")
     hist, share = keep(histogram(relations), "histogram"), keep(presence(relations).select("activity", "share"), "presence")
     missing = keep(missing.select("source", "target"), "missing")
-    pairs = missing
-    asks = hist.withColumnRenamed("activity", "source").join(pairs, "source").select("source", "target", "secs", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
-    data = hist.withColumnRenamed("activity", "target").join(pairs, "target").select("source", "target", "secs", F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    until = F.sum("b").over(Window.partitionBy("source", "target").orderBy("secs").rangeBetween(Window.unboundedPreceding, 0))
-    counts = asks.union(data).withColumn("until", until).groupBy("source", "target").agg(F.sum("b").alias("nb"), F.sum("a").alias("na"), F.sum(F.col("a") * F.col("until")).alias("not_after"))
+    # what a source's times ask of the target's histogram, once for each target
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    asks = hist.withColumnRenamed("activity", "source").join(F.broadcast(missing), "source").select(F.col("target").alias("activity"), "source", "secs", F.lit(1).alias("k"), F.col("n").alias("a"), zero.alias("b"))
+    data = hist.select("activity", none.alias("source"), "secs", F.lit(0).alias("k"), zero.alias("a"), F.col("n").alias("b"))
+    sums = running_sums(asks.union(data), ["activity"], ["secs", "k"], {"until": F.col("b")}).where("source is not null")
+    own = hist.groupBy("activity").agg(F.sum("n").alias("nb"))
+    counts = sums.groupBy("source", "activity").agg(F.sum("a").alias("na"), F.sum(F.col("a") * F.col("until")).alias("not_after")).join(own, "activity").withColumnRenamed("activity", "target")
     whole = counts.select("source", "target", (F.col("na") * F.col("nb") - F.col("not_after")).alias("after"), "na", "nb")
     a, b = (share.select(F.col("activity").alias(c), F.col("share").alias(f"p_{c}")) for c in ("source", "target"))
     p = F.col("after").cast("double") / (F.col("na") * F.col("nb")).cast("double") * F.col("p_source") * F.col("p_target")
@@ -110,8 +113,8 @@ def curve_series(missing: DataFrame, relations: DataFrame, kernel: str = "unifor
         asks = grid.select("source", "target", "i", look.alias("l")).select("source", "target", "i", "l.*", F.lit(0).cast("long").alias("n"))
         none = F.lit(None)
         data = hist.select(none.cast("string").alias("source"), none.cast("string").alias("target"), none.cast("int").alias("i"), none.cast("string").alias("w"), "activity", F.col("secs").cast("double").alias("x"), F.lit(1).alias("k"), "n")
-        running = Window.partitionBy("activity").orderBy("x", "k").rowsBetween(Window.unboundedPreceding, 0)
-        found = asks.union(data).withColumns({"c": F.sum("n").over(running), "s": F.sum(F.col("n") * F.col("x")).over(running)}).where("w is not null")
+        sums = {"c": F.col("n"), "s": F.col("n") * F.col("x")}
+        found = running_sums(asks.union(data), ["activity"], ["x", "k"], sums).where("w is not null")
         pick = {f"{c}_{w}": F.max(F.when(F.col("w") == w, F.col(c))) for w in ("ra", "ta", "lb", "ub") for c in ("c", "s")}
         at = found.groupBy("source", "target", "i").agg(*[v.alias(k) for k, v in pick.items()])
         k, s = F.col("c_ub") - F.col("c_lb"), F.col("s_ub") - F.col("s_lb")
@@ -173,6 +176,58 @@ def raw_traces(events: DataFrame, e2o: DataFrame) -> DataFrame:
     return held.groupBy("oid").agg(F.transform(seen, lambda x: x["activity"]).alias("activities"))
 
 
+#: Traces are told apart by length and by two sums of hash(activity) * base^position modulo a prime: (modulus, base, seed).
+FIELDS = ((2147483647, 1103515245, 1), (2147483629, 1566083941, 2))
+
+
+def power(at: F.Column, field: tuple[int, int, int]) -> F.Column:
+    """base^at modulo the field's prime, for 0 <= at < 2^32: a product over the bits of ``at``."""
+    modulus, base, _ = field
+    out = F.lit(1).cast("long")
+    for bit in range(32):
+        factor = F.when(F.shiftright(at, bit).bitwiseAND(1) == 1, pow(base, 1 << bit, modulus)).otherwise(1)
+        out = F.pmod(out * factor, F.lit(modulus).cast("long"))
+    return out
+
+
+def letter(activity: F.Column, field: tuple[int, int, int]) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(field[2]), activity), F.lit(field[0]).cast("long"))
+
+
+def term(activity: F.Column, at: F.Column, field: tuple[int, int, int]) -> F.Column:
+    return F.pmod(letter(activity, field) * power(at, field), F.lit(field[0]).cast("long"))
+
+
+def trace_prints(relations: DataFrame) -> DataFrame:
+    """(oid, otype, n, x, y, single) of each object's trace with repeats collapsed: its length, two fingerprints, and whether no activity comes twice.
+
+    Sums over events, added up before the shuffle; no trace is gathered in a row.
+    """
+    steps = in_order(relations, ("oid", "otype")).where((F.col("pos") == 1) | ~F.col("before.activity").eqNullSafe(F.col("activity")))
+    once = steps.groupBy("oid", "otype", "activity").agg(F.count("*").alias("n"), *[F.pmod(F.sum(term(F.col("activity"), F.col("run"), f)), F.lit(f[0]).cast("long")).alias(x) for f, x in zip(FIELDS, "xy", strict=True)])
+    sums = [F.pmod(F.sum(x), F.lit(f[0]).cast("long")).alias(x) for f, x in zip(FIELDS, "xy", strict=True)]
+    return once.groupBy("oid", "otype").agg(F.sum("n").alias("n"), *sums, (F.max("n") == 1).alias("single"))
+
+
+def run_prints(runs: DataFrame, column: str = "run") -> DataFrame:
+    """``runs`` with n, x and y of an array of activities, as ``trace_prints`` has them for traces."""
+
+    def total(field):
+        at = F.transform(F.col(column), lambda a, i: term(a, (i + 1).cast("long"), field))
+        return F.aggregate(at, F.lit(0).cast("long"), lambda s, v: F.pmod(s + v, F.lit(field[0]).cast("long")))
+
+    return runs.withColumns({"n": F.size(column).cast("long"), "x": total(FIELDS[0]), "y": total(FIELDS[1])})
+
+
+def sessions(relations: DataFrame, gap: int) -> DataFrame:
+    """The relations with each object cut where more than ``gap`` seconds pass between two events: ``oid`` becomes oid and number of the stretch."""
+
+    def later(was: F.Column, now: F.Column) -> F.Column:
+        return now["ts"].cast("timestamp") > was["ts"].cast("timestamp") + F.expr(f"INTERVAL {int(gap)} SECONDS")
+
+    return in_order(relations, new=later).select("eid", "activity", "ts", F.concat_ws("-", "oid", "run").alias("oid"), "otype")
+
+
 def loop_variants(runs: DataFrame, loops: list[str]) -> DataFrame:
     """(activities): distinct traces with runs of ``loops`` cut to one, each as it is and with one or two more at each of their places.
 
@@ -191,13 +246,60 @@ def loop_variants(runs: DataFrame, loops: list[str]) -> DataFrame:
     return once.select(F.explode(F.concat(F.array("activities"), grown(1), grown(2))).alias("activities")).distinct()
 
 
+def variant_prints(relations: DataFrame, loops: list[str], longest: int) -> DataFrame:
+    """Distinct (n, x, y) of the ``loop_variants`` of the log's traces that have at most ``longest`` events.
+
+    A variant's sum follows from the trace's: what stands before the place stays,
+    what stands after it moves on.  Only objects that can give so short a variant
+    get beyond the count of their events.
+    """
+
+    def kept(was: F.Column, now: F.Column) -> F.Column:
+        return changed(was, now) | ~now["activity"].isin(list(loops))
+
+    steps = in_order(relations, ("oid", "otype"), new=kept)
+    steps = steps.where((F.col("pos") == 1) | kept(F.col("before"), F.struct("activity", "ts"))).select("oid", "otype", "activity", F.col("run").alias("at"))
+    short = steps.groupBy("oid", "otype").agg(F.count("*").alias("n")).where(F.col("n") <= longest)
+    way = Window.partitionBy("oid", "otype").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # at most ``longest`` rows
+    terms = {x: term(F.col("activity"), F.col("at"), f) for f, x in zip(FIELDS, "xy", strict=True)}
+    upto = steps.join(short, ["oid", "otype"]).withColumns({f"upto_{k}": F.pmod(F.sum(v).over(way), F.lit(f[0]).cast("long")) for (k, v), f in zip(terms.items(), FIELDS, strict=True)})
+    whole = Window.partitionBy("oid", "otype").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = upto.withColumns({x: F.last(f"upto_{x}").over(whole) for x in "xy"})
+
+    def grown(times: int):
+        def moved(field, x):
+            p = F.lit(field[0]).cast("long")
+            more = F.lit(0).cast("long")
+            for i in range(1, times + 1):
+                more = more + F.pmod(letter(F.col("activity"), field) * power(F.col("at") + i, field), p)
+            after = F.pmod(F.pmod(F.col(x) - F.col(f"upto_{x}"), p) * pow(field[1], times, field[0]), p)
+            return F.pmod(F.col(f"upto_{x}") + more + after, p).alias(x)
+
+        return F.struct((F.col("n") + times).alias("n"), *[moved(f, x) for f, x in zip(FIELDS, "xy", strict=True)])
+
+    same = F.struct("n", "x", "y")
+    made = F.when(F.col("activity").isin(list(loops)), F.array(same, grown(1), grown(2))).otherwise(F.array(same))
+    return upto.select(F.explode(made).alias("v")).select("v.*").distinct()
+
+
 def coverage(variants: DataFrame, runs: DataFrame) -> DataFrame:
-    """(executions, covered, share): how many executions (run) are among the traces (activities), in percent."""
-    held = runs.select("run").distinct().join(variants.select(F.col("activities").alias("run"), F.lit(True).alias("found")).distinct(), "run", "left")
+    """(executions, covered, share): how many executions (run) are among the traces, in percent.
+
+    ``variants`` has (n, x, y), as ``variant_prints`` makes them, or ``activities``.
+    """
+    if "activities" in variants.columns:
+        variants = run_prints(variants, "activities")
+    held = run_prints(runs.select("run").distinct()).join(variants.select("n", "x", "y", F.lit(True).alias("found")).distinct(), ["n", "x", "y"], "left")
     counts = held.agg(F.count("*").alias("executions"), F.count("found").alias("covered"))
     return counts.select("executions", "covered", F.coalesce(F.try_divide(F.col("covered") * 100.0, "executions"), F.lit(0.0)).alias("share"))
 
 
+def log_coverage(relations: DataFrame, runs: DataFrame, loops: list[str]) -> DataFrame:
+    """``coverage`` of executions (run) by the loop variants of a log's traces; traces longer than the longest execution can't cover one and are left early."""
+    longest = runs.agg(F.max(F.size("run"))).first()[0] or 0
+    return coverage(variant_prints(relations, loops, longest), runs)
+
+
 def log_metrics(relations: DataFrame, model: list[str]) -> DataFrame:
     """One row: traces, events, activities of the log, and the share of the model's activities that the log has.
 

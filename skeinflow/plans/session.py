@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
 from skeinflow.operators import traces as T
+from skeinflow.operators.order import in_order
 from skeinflow.operators.relations import patterns
+from skeinflow.plans.automaton import Automata, walk
 from skeinflow.plans.cuts import discover
 from skeinflow.plans.graph import Edges
 from skeinflow.plans.repair import Suggestion, suggest
-from skeinflow.plans.tree import TAU, Node, collapse, descendants, language, open_flower, relations_of, replace_flowers, replay_greedily, rules
+from skeinflow.plans.tree import TAU, Node, collapse, descendants, open_flower, relations_of, replace_flowers, replay_greedily, rules
 from skeinflow.sources.scratch import keep
 
 #: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
@@ -25,11 +27,13 @@ MOST_ACTIVITIES = 1000
 class Session:
     relations: DataFrame
     patterns: DataFrame
+    steps: DataFrame
     edges: Edges
     activities: set[str]
     starts: set[str]
     ends: set[str]
     tree: Node | None
+    endpoints: set[tuple[str, str, str]]
     costs: Edges = field(default_factory=dict)
     journal: dict[str, Suggestion] = field(default_factory=dict)
 
@@ -38,15 +42,17 @@ class Session:
         """Graph, endpoints and tree of a log; noise and removals act on the graph, not on endpoints."""
         relations = keep(relations, "relations")
         held = keep(patterns(relations), "patterns")
-        kinds = D.endpoints(relations).limit(MOST_ACTIVITIES + 1).collect()
-        names = {r.activity for r in relations.select("activity").distinct().limit(MOST_ACTIVITIES + 1).collect()}
+        names = {r.activity for r in held.select("activity").distinct().limit(MOST_ACTIVITIES + 1).collect()}
         if len(names) > MOST_ACTIVITIES:
             raise ValueError(f"more than {MOST_ACTIVITIES} activities")
-        graph = D.drop_activities(D.reduce_noise(D.dfg(relations, held), noise), list(remove))
+        kinds = D.endpoints(relations, True).collect()  # at most activities times types
+        steps = keep(D.dfg_by_type(relations), "steps")
+        graph = D.drop_activities(D.reduce_noise(D.dfg(relations, held, steps), noise), list(remove))
         edges = {(r.source, r.target): int(r.weight) for r in graph.collect()}
         names -= set(remove)
         starts, ends = {r.activity for r in kinds if r.is_start}, {r.activity for r in kinds if r.is_end}
-        return cls(relations, held, edges, names, starts, ends, discover(edges, names, starts, ends))
+        kinds = {(r.otype, r.activity, s) for r in kinds for s in ("start", "end") if r[f"is_{s}"]}
+        return cls(relations, held, steps, edges, names, starts, ends, discover(edges, names, starts, ends), kinds)
 
     @property
     def perfectly_cut(self) -> bool:
@@ -139,12 +145,9 @@ class Session:
                 tree = tree.replace(path, Node("redo", pair))
         return tree
 
-    def replay(self, tree: Node | None = None, most: int = 100_000) -> tuple[float, float, float]:
+    def replay(self, tree: Node | None = None) -> tuple[float, float, float]:
         """(fitness, precision, F) by the tree's executions, each projected to the activities of a type's traces."""
-        tree = tree or self.tree
-        spark = self.relations.sparkSession
-        every = spark.createDataFrame([(list(x),) for x in sorted(language(tree, most))], "run array<string>")
-        return scores(T.kept_relations(self.relations, self.patterns), every)
+        return scores(keep(T.kept_relations(self.relations, self.patterns), "kept"), [tree or self.tree])[0]
 
     def violation_rate(self, tree: Node | None = None) -> float:
         """The share of traces, in percent, that break a rule of the tree's upper sequence and exclusive nodes."""
@@ -161,15 +164,14 @@ class Session:
         common share of the log's, precision of the tree's.
         """
         tree = tree or self.tree
-        ends = {(r.otype, r.activity, s) for r in D.endpoints(self.relations, True).collect() for s in ("start", "end") if r[f"is_{s}"]}
-        steps = {(r.otype, r.source, r.target) for r in D.dfg_by_type(self.relations).collect()}
+        steps = {(r.otype, r.source, r.target) for r in self.steps.collect()}
         related: dict[str, set[str]] = {}
         held = set()
         for r in self.patterns.collect():
             related.setdefault(r.otype, set()).add(r.activity)
             held |= {("pattern", r.activity, r.otype, kind) for kind in ("related", "divergent", "convergent", "deficient") if r[kind]}
         leaves = tree.activities()
-        log, model = ends | steps | held, {p for p in held if p[1] in leaves}
+        log, model = self.endpoints | steps | held, {p for p in held if p[1] in leaves}
         for otype, names in related.items():
             s, e, f, _ = relations_of(project(tree, names))
             model |= {(otype, a, "start") for a in s} | {(otype, a, "end") for a in e} | {(otype, a, b) for a, b in f}
@@ -191,26 +193,64 @@ def f_score(fitness: float, precision: float) -> tuple[float, float, float]:
     return fitness, precision, 2 * fitness * precision / both if both else 0.0
 
 
+def known_types(kept: DataFrame) -> dict[str, list[str]]:
+    """The activities of each object type; more than ``MOST_ACTIVITIES`` squared pairs are an error."""
+    known = kept.select("otype", "activity").distinct().limit(MOST_ACTIVITIES**2 + 1).collect()
+    if len(known) > MOST_ACTIVITIES**2:
+        raise ValueError(f"more than {MOST_ACTIVITIES**2} pairs of type and activity")
+    types: dict[str, list[str]] = {}
+    for r in known:
+        types.setdefault(r.otype, []).append(r.activity)
+    return {k: sorted(v) for k, v in sorted(types.items())}
+
+
 def score_table(kept: DataFrame, runs: DataFrame, by: list[str] = ()) -> DataFrame:
     """(executions, fitting_executions, traces, fitting_traces) of candidate executions against a log, for each key of ``by``.
 
     Traces have repeats collapsed; those that still hold an activity twice fit
-    nothing, but count.
+    nothing, but count.  Traces and executions meet by length and fingerprints.
     """
-    held = T.traces(kept).select("otype", T.collapse(F.col("activities")).alias("run"))
-    known = kept.select("otype", "activity").distinct().limit(MOST_ACTIVITIES**2).collect()
-    types: dict[str, list[str]] = {}
-    for r in known:  # at most activities times types
-        types.setdefault(r.otype, []).append(r.activity)
+    prints = keep(T.trace_prints(kept), "prints")
 
     def projected(names: list[str]):
         return F.filter("run", lambda x: x.isin(names))
 
-    each = F.array(*[projected(sorted(names)) for _, names in sorted(types.items())]) if types else F.array().cast("array<array<string>>")
-    own = runs.select(*by, F.explode(each).alias("run")).where("size(run) > 0").distinct()
-    single = held.where(F.size("run") == F.size(F.array_distinct("run"))).groupBy("run").agg(F.count("*").alias("n"))
-    fit = own.join(single, "run", "left").groupBy(*by).agg(F.count("*").alias("executions"), F.count("n").alias("fitting_executions"), F.coalesce(F.sum("n"), F.lit(0)).alias("fitting_traces"))
-    return fit.withColumn("traces", F.lit(kept.select("oid", "otype").distinct().count()))
+    each = F.array(*[projected(names) for names in known_types(kept).values()] or [F.array().cast("array<string>")])
+    own = T.run_prints(runs.select(*by, F.explode(each).alias("run")).where("size(run) > 0").distinct())
+    single = prints.where("single").groupBy("n", "x", "y").agg(F.count("*").alias("m"))
+    fit = own.join(single, ["n", "x", "y"], "left").groupBy(*by).agg(F.count("*").alias("executions"), F.count("m").alias("fitting_executions"), F.coalesce(F.sum("m"), F.lit(0)).alias("fitting_traces"))
+    return fit.withColumn("traces", F.lit(prints.count()))
+
+
+def accepted_table(kept: DataFrame, trees: list[Node]) -> DataFrame:
+    """(candidate, executions, fitting_executions, traces, fitting_traces) of all executions of each tree, however many.
+
+    Executions are counted in an automaton, on which the traces run; their number
+    is a double.  Traces without a repeated activity are as long as there are
+    activities at most; one object of each distinct one is looked up, and only its
+    events are put in a row.  Candidates are numbered from 0 and judged in one pass.
+    """
+    spark = kept.sparkSession
+    prints, types = keep(T.trace_prints(kept), "prints"), known_types(kept)
+    tables, sizes = [], []
+    for i, tree in enumerate(trees):
+        machine = Automata()
+        whole = machine.of(tree)
+        own = machine.without_empty(machine.union(machine.project(whole, names) for names in types.values()))
+        tables.append(machine.table(own))
+        sizes.append((i, float(machine.count(own))))
+    single = keep(prints.where("single").groupBy("n", "x", "y").agg(F.count("*").alias("m"), F.min(F.struct("oid", "otype")).alias("o")).select("m", "o.*"), "distinct")
+    steps = in_order(kept.join(single.select("oid", "otype"), ["oid", "otype"], "left_semi"), ("oid", "otype")).where((F.col("pos") == 1) | ~F.col("before.activity").eqNullSafe(F.col("activity")))
+    rows = steps.groupBy("oid", "otype").agg(F.array_sort(F.collect_list(F.struct("run", "activity"))).alias("steps"))  # at most as many as activities
+
+    @F.pandas_udf("array<int>")
+    def fitting(traces: pd.Series) -> pd.Series:
+        return traces.map(lambda names: [i for i, t in enumerate(tables) if walk(t, names)])
+
+    fit = rows.select("oid", "otype", F.explode(fitting(F.transform("steps", lambda s: s["activity"]))).alias("candidate")).join(single, ["oid", "otype"])
+    found = fit.groupBy("candidate").agg(F.count("*").alias("fitting_executions"), F.sum("m").alias("fitting_traces"))
+    every = spark.createDataFrame(sizes, "candidate int, executions double").join(found, "candidate", "left")
+    return every.select("candidate", "executions", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("fitting_executions", "fitting_traces")], F.lit(prints.count()).alias("traces"))
 
 
 def greedy_table(runs: DataFrame, tree: Node) -> DataFrame:
@@ -244,9 +284,10 @@ def metrics_text(row: Row) -> str:
     return "\n".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in row.asDict().items())
 
 
-def scores(kept: DataFrame, runs: DataFrame) -> tuple[float, float, float]:
-    r = score_table(kept, runs).first()
-    return f_score(r.fitting_traces / r.traces if r.traces else 0.0, r.fitting_executions / r.executions if r.executions else 0.0)
+def scores(kept: DataFrame, trees: list[Node]) -> list[tuple[float, float, float]]:
+    """(fitness, precision, F) of each tree."""
+    rows = accepted_table(kept, trees).orderBy("candidate").collect()  # one for each tree
+    return [f_score(r.fitting_traces / r.traces if r.traces else 0.0, r.fitting_executions / r.executions if r.executions else 0.0) for r in rows]
 
 
 def enumerate_trees(session: Session, most: int = 200) -> list[tuple[Node, tuple[str, ...], tuple[float, float, float]]]:
@@ -269,8 +310,5 @@ def enumerate_trees(session: Session, most: int = 200) -> list[tuple[Node, tuple
             todo.append((now, replace_flowers(tree, found[1], node), (*chosen, s.cut_type)))
         if len(todo) + len(done) > most:
             raise ValueError(f"more than {most} trees")
-    spark = session.relations.sparkSession
-    runs = spark.createDataFrame([(i, list(x)) for i, (t, _) in enumerate(done) for x in sorted(language(t))], "candidate int, run array<string>")
-    table = score_table(T.kept_relations(session.relations, session.patterns), runs, ["candidate"]).collect()
-    marks = {r.candidate: f_score(r.fitting_traces / r.traces if r.traces else 0.0, r.fitting_executions / r.executions if r.executions else 0.0) for r in table}
-    return sorted(((t, c, marks.get(i, (0.0, 0.0, 0.0))) for i, (t, c) in enumerate(done)), key=lambda x: tuple(-v for v in x[2]))
+    marks = scores(keep(T.kept_relations(session.relations, session.patterns), "kept"), [t for t, _ in done])
+    return sorted(((t, c, m) for (t, c), m in zip(done, marks, strict=True)), key=lambda x: tuple(-v for v in x[2]))

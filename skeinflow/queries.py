@@ -89,11 +89,13 @@ CLICK_RUNS, CLICK_LOOPS = [["view"], ["view", "click"], ["click", "view", "purch
 MODEL_NAMES = ["place order", "ship item", "pay order"]
 
 
+#: Seconds between two events of a user from which on another session begins.
+GAP = 43200
+
+
 def _loop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants of the traces of the first four events of each user's day."""
-    first = F.row_number().over(Window.partitionBy("oid", F.to_date("ts")).orderBy("ts", "eid"))
-    some = clicks(spark, sf_dir).withColumn("k", first).where("k <= 4").withColumn("oid", F.concat_ws("-", "oid", F.to_date("ts")))
-    return T.loop_variants(T.traces(some), CLICK_LOOPS)
+    """Variants of the traces of all sessions of users."""
+    return T.loop_variants(T.traces(T.sessions(clicks(spark, sf_dir), GAP)), CLICK_LOOPS)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -176,7 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "curve_series_orders": lambda s, d: _rounded(T.curve_series(*_missing(s, d, "orders")), "mass", "later").select("source", "target", "i", "mass", "later"),
         "raw_traces_keys": _raw_traces,
         "loop_variants_clicks": lambda s, d: _loop_variants(s, d).select(F.array_join("activities", ">").alias("trace")),
-        "coverage_clicks": lambda s, d: T.coverage(_loop_variants(s, d), s.createDataFrame([(r,) for r in CLICK_RUNS], "run array<string>")),
+        "coverage_clicks": lambda s, d: T.log_coverage(T.sessions(clicks(s, d), GAP), s.createDataFrame([(r,) for r in CLICK_RUNS], "run array<string>"), CLICK_LOOPS),
         "log_metrics_orders": lambda s, d: T.log_metrics(orders(s, d), MODEL_NAMES),
         "bidirectional_pairs_clicks": lambda s, d: D.bidirectional(_graph(s, d, "clicks")),
         "reachability_orders": lambda s, d: D.reachability(_graph(s, d, "orders")),
@@ -237,9 +239,9 @@ def oracle_sql() -> dict[str, str]:
     collapsed = "list_filter(acts, lambda x, i: i = 1 OR x <> acts[i - 1])"
     once_placed = "acts[1] = 'place order' AND NOT list_contains(acts[2:], 'place order')"
     loops = ", ".join(repr(x) for x in CLICK_LOOPS)
-    variants = f"""first AS (SELECT 'u' || user_id || '-' || CAST(ts AS DATE) oid, event_type, ts, CAST(event_id AS VARCHAR) eid FROM events
-            QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) <= 4),
-        seq AS (SELECT list(event_type ORDER BY ts, eid) a FROM first GROUP BY oid),
+    variants = f"""step AS (SELECT user_id, event_type, ts, CAST(event_id AS VARCHAR) eid, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) > INTERVAL {GAP} SECOND AS far FROM events),
+        cut AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY user_id ORDER BY ts, eid ROWS UNBOUNDED PRECEDING) k FROM step),
+        seq AS (SELECT list(event_type ORDER BY ts, eid) a FROM cut GROUP BY user_id, k),
         once AS (SELECT DISTINCT list_filter(a, lambda x, i: i = 1 OR x <> a[i - 1] OR x NOT IN ({loops})) a FROM seq),
         place AS (SELECT a, unnest(range(1, len(a) + 1)) i FROM once),
         grown AS (SELECT a FROM once UNION SELECT a[1:i] || list_resize([a[i]], t, a[i]) || a[i + 1:] FROM place, (SELECT unnest([1, 2]) t) WHERE a[i] IN ({loops}))"""
