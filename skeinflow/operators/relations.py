@@ -25,16 +25,19 @@ def patterns(relations: DataFrame) -> DataFrame:
     depend on order, so no set is ever gathered in one place.
     """
     once = relations.select("eid", "activity", "oid", "otype").distinct()
-    prints = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("oid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "oid")).alias("y"))
-    typed = once.groupBy("eid", "activity", "otype").agg(prints.alias("part"))
-    event = Window.partitionBy("eid")  # a row for each type of an event's objects
-    whole = F.struct(F.sum("part.n").over(event).alias("n"), F.bit_xor("part.x").over(event).alias("x"), F.bit_xor("part.y").over(event).alias("y"))
-    first = F.row_number().over(Window.partitionBy("eid", "activity").orderBy("otype")) == 1
-    seen = typed.select("activity", "otype", "part", whole.alias("whole"), first.alias("first")).groupBy("activity", "otype", "part").agg(
-        F.count("*").alias("events"), F.count_if("first").alias("firsts"), (F.min("whole") != F.max("whole")).alias("divergent")
+    parts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("oid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "oid")).alias("y")]
+    typed = once.groupBy("eid", "activity", "otype").agg(*parts)
+    event = Window.partitionBy("eid").orderBy("activity")  # a row for each type of an event's objects
+    all_of = event.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = {"wn": F.sum("n").over(all_of), "wx": F.bit_xor("x").over(all_of), "wy": F.bit_xor("y").over(all_of), "before": F.lag("activity").over(event)}
+    # numbers only, so that sums are kept in hash tables
+    seen = typed.withColumns(whole).groupBy("activity", "otype", "n", "x", "y").agg(
+        F.count("*").alias("events"), F.count_if(~F.col("before").eqNullSafe(F.col("activity"))).alias("firsts"),
+        *[f(w).alias(f"{k}_{w}") for w in ("wn", "wx", "wy") for f, k in ((F.min, "low"), (F.max, "high"))],
     )
+    differs = (F.col("low_wn") != F.col("high_wn")) | (F.col("low_wx") != F.col("high_wx")) | (F.col("low_wy") != F.col("high_wy"))
     pairs = seen.groupBy("activity", "otype").agg(
-        F.sum("events").alias("events"), F.sum("firsts").alias("firsts"), F.max(F.col("part.n") > 1).alias("convergent"), F.max("divergent").alias("divergent")
+        F.sum("events").alias("events"), F.sum("firsts").alias("firsts"), F.max(F.col("n") > 1).alias("convergent"), F.max(differs).alias("divergent")
     )
     total = F.sum("firsts").over(Window.partitionBy("activity"))  # a row for each type
     return pairs.select("activity", "otype", F.lit(True).alias("related"), "divergent", "convergent", (F.col("events") != total).alias("deficient"))

@@ -48,6 +48,12 @@ def histogram(relations: DataFrame) -> DataFrame:
     return offsets(relations).groupBy("activity", "secs").agg(F.sum("n").alias("n"))
 
 
+def _profile(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``histogram`` and ``presence`` from offsets written once."""
+    each = keep(offsets(keep(relations, "kept")), "offsets")
+    return keep(each.groupBy("activity", "secs").agg(F.sum("n").alias("n")), "histogram"), keep(presence(each).select("activity", "share"), "presence")
+
+
 NEVER = 99999.0
 
 
@@ -56,8 +62,7 @@ def order_cost(missing: DataFrame, relations: DataFrame) -> DataFrame:
 
     Pairs of occurrences are counted from running sums over the histogram, never made.  ``missing`` has at most activities squared rows.
     """
-    relations = keep(relations, "kept")
-    hist, share = keep(histogram(relations), "histogram"), keep(presence(relations).select("activity", "share"), "presence")
+    hist, share = _profile(relations)
     missing = keep(missing.select("source", "target"), "missing")
     # what a source's times ask of the target's histogram, once for each target
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
@@ -84,8 +89,8 @@ def curve_series(missing: DataFrame, relations: DataFrame, kernel: str = "unifor
     in one running sum per activity.  ``kernel="logistic"`` has no closed form
     and holds every bucket against the target's histogram.
     """
-    relations = keep(relations, "kept")
-    hist, missing = keep(histogram(relations), "histogram"), keep(missing.select("source", "target"), "missing")
+    hist, share = _profile(relations)
+    missing = keep(missing.select("source", "target"), "missing")
     stats = hist.groupBy("activity").agg(
         F.sum("n").alias("size"), F.min("secs").alias("lo"), F.max("secs").alias("hi"), F.sum(F.col("n") * F.col("secs").cast("double")).alias("s"),
         F.sum(F.col("n") * F.col("secs").cast("double") * F.col("secs").cast("double")).alias("ss"),
@@ -95,7 +100,7 @@ def curve_series(missing: DataFrame, relations: DataFrame, kernel: str = "unifor
     sd = F.sqrt(F.col("dev") / (F.col("size") - 1))
     wide = 4.0 if kernel == "uniform" else 1.0
     bw = F.when((F.col("size") < 2) | (F.col("dev") == 0), 1.0).otherwise(F.lit(1.06) * sd * F.pow(F.col("size").cast("double"), F.lit(-0.2)) * wide)
-    known = stats.join(spread, "activity").join(presence(relations).select("activity", "share"), "activity").select("activity", "size", "lo", "hi", "share", bw.alias("bw"))
+    known = stats.join(spread, "activity").join(share, "activity").select("activity", "size", "lo", "hi", "share", bw.alias("bw"))
     known = keep(known, "activities")
     a, b = ((known.select(*[F.col(c).alias(f"{c}_{x}" if c != "activity" else n) for c in known.columns])) for x, n in (("a", "source"), ("b", "target")))
     low, high = F.least("lo_a", "lo_b").cast("double"), F.greatest("hi_a", "hi_b").cast("double")
@@ -132,7 +137,7 @@ def curve_series(missing: DataFrame, relations: DataFrame, kernel: str = "unifor
 
 def curve_cost(missing: DataFrame, relations: DataFrame, kernel: str = "uniform", floor: float | None = 1.0) -> DataFrame:
     """(source, target, score, cost): the area between the curves of ``curve_series``, scaled so that the largest costs nothing; at least ``floor``."""
-    missing = keep(missing.select("source", "target"), "missing")
+    missing = keep(missing.select("source", "target"), "missing")  # at most activities squared
     points = curve_series(missing, relations, kernel)
     area = points.groupBy("source", "target").agg(((F.sum(F.col("step") * F.col("later")) - F.sum(F.col("step") * F.col("mass"))) * F.first("share_a") * F.first("share_b")).alias("score"))
     every = missing.select("source", "target").join(area, ["source", "target"], "left").select("source", "target", F.coalesce("score", F.lit(0.0)).alias("score"))

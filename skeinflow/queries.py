@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
 from skeinflow.operators import traces as T
+from skeinflow.operators.components import components, strong_components
 from skeinflow.operators.relations import event_object_sets, patterns
 from skeinflow.plans.repair import suggest
 from skeinflow.plans.session import Session, enumerate_trees, greedy_table, metrics, score_table
 from skeinflow.plans.tree import Node, rules, table
-from skeinflow.sources.scratch import keep
+from skeinflow.sources.scratch import Scratch, keep
 from skeinflow.sources.tables import clicks, clicks_by_key, orders
 
 LOGS = {"clicks": clicks, "keys": clicks_by_key, "orders": orders}
@@ -103,14 +104,14 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    both = edges.select("source", "target").union(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    return D.reachability(both).groupBy(F.col("source").alias("activity")).agg(F.min("target").alias("component"))
+    found = components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), Scratch(spark, "components"))
+    names = edges.select(F.explode(F.array("source", "target")).alias("activity")).distinct()
+    return names.join(found.withColumnRenamed("node", "activity"), "activity", "left").select("activity", F.coalesce("component", "activity").alias("component"))
 
 
-def _strong(edges: DataFrame) -> DataFrame:
-    far = D.reachability(edges)
-    back = far.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return far.join(back, ["source", "target"], "left_semi").groupBy(F.col("source").alias("activity")).agg(F.min("target").alias("component"))
+def _strong(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    found = strong_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), Scratch(spark, "components"))
+    return found.withColumnRenamed("node", "activity")
 
 
 def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for log in LOGS:
         out |= {
             f"relations_{log}": lambda s, d, k=log: LOGS[k](s, d),
-            f"patterns_{log}": lambda s, d, k=log: _parts(s, d, k)[1],
+            f"patterns_{log}": lambda s, d, k=log: patterns(LOGS[k](s, d)),
             f"dfg_{log}": lambda s, d, k=log: _graph(s, d, k),
             f"dfg_by_type_{log}": lambda s, d, k=log: D.dfg_by_type(LOGS[k](s, d)),
             f"endpoints_{log}": lambda s, d, k=log: D.endpoints(LOGS[k](s, d)),
@@ -183,7 +184,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bidirectional_pairs_clicks": lambda s, d: D.bidirectional(_graph(s, d, "clicks")),
         "reachability_orders": lambda s, d: D.reachability(_graph(s, d, "orders")),
         "components_orders": lambda s, d: _components(s, _graph(s, d, "orders")),
-        "sccs_clicks": lambda s, d: _strong(_graph(s, d, "clicks")),
+        "sccs_clicks": lambda s, d: _strong(s, _graph(s, d, "clicks")),
+        "sccs_orders": lambda s, d: _strong(s, _graph(s, d, "orders")),
         "replay_counts_orders": _replay_counts,
         "violations_sequence_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["place order"], ["return item"], "sequence"),
         "violations_exclusive_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["close item"], ["return item"], "exclusive"),
@@ -285,7 +287,10 @@ def oracle_sql() -> dict[str, str]:
         "bidirectional_pairs_clicks": _with("clicks", *base) + "SELECT a.source, a.target FROM dfg a JOIN dfg b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target",
         "reachability_orders": _with("orders", *base, MISSING, CLOSURE, recursive=True) + "SELECT DISTINCT source, target FROM r",
         "components_orders": _with("orders", *base, MISSING, "u AS (SELECT source, target FROM dfg UNION SELECT target, source FROM dfg)", CLOSURE.replace("dfg", "u"), recursive=True) + "SELECT source activity, min(target) component FROM r GROUP BY source",
-        "sccs_clicks": _with("clicks", *base, MISSING, CLOSURE, recursive=True) + "SELECT a.source activity, min(a.target) component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source",
+        **{
+            f"sccs_{log}": _with(log, *base, MISSING, CLOSURE, recursive=True) + "SELECT a.source activity, min(a.target) component FROM r a JOIN r b ON a.source = b.target AND a.target = b.source GROUP BY a.source"
+            for log in ("clicks", "orders")
+        },
         "replay_counts_orders": _with(
             "orders", PATTERNS, KEPT, trace, f"run AS (SELECT otype, {collapsed} run FROM tr)", "single AS (SELECT run, count(*) n FROM run WHERE len(run) = len(list_distinct(run)) GROUP BY run)",
             "model AS (SELECT unnest([" + ", ".join("[" + ", ".join(f"'{x}'" for x in r) + "]" for r in GIVEN_RUNS) + "]) m)",

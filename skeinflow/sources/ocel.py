@@ -101,8 +101,9 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return graph.select(F.explode("edges").alias("e")).select("e.source", "e.target", F.col("e.cost").alias("weight"))
 
 
-def graph_edges(text: str) -> dict[tuple[str, str], int]:
-    return {(e["source"], e["target"]): int(e["cost"]) for e in json.loads(text)["edges"]}
+def graph_edges(text: str) -> dict[tuple[str, str], int | None]:
+    """Edges of a graph as JSON; those without a cost weigh None."""
+    return {(e["source"], e["target"]): None if e.get("cost") is None else int(e["cost"]) for e in json.loads(text)["edges"]}
 
 
 def cost_json(costs: dict[tuple[str, str], float]) -> str:
