@@ -1,43 +1,5 @@
 """Connected components of a link table."""
 
-from __future__ import annotations
+from skeinflow.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from skeinflow.llm._io import Scratch
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
-
-    Every round takes the least label among neighbours and then follows labels
-    twice, so paths shorten by halves; each round's table is written to the
-    shared folder.  A hub with very many links is only ever the key of a join
-    that adaptive execution can split, or of an aggregate with partial sums.
-    Nulls and self-links add nothing; no links give an empty table.
-    """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    edges = scratch.put(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = scratch.put(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = scratch.put(
-            label.join(near, label.node == near.a, "left").select(
-                "node", F.least("component", "near").alias("component"), F.col("component").alias("before")
-            ),
-            "hooked",
-        )
-        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = scratch.put(
-            hooked.join(up, "component", "left").select(
-                "node", F.coalesce("up", "component").alias("component"), "before"
-            ),
-            "labels",
-        )
-        changed = jumped.where("component <> before").limit(1).count()
-        scratch.drop(label, hooked)
-        label = jumped
-        if not changed:
-            scratch.drop(edges)
-            return label.select("node", "component")
+__all__ = ["components"]
