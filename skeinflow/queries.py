@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from skeinflow.operators import dfg as D
 from skeinflow.operators import traces as T
 from skeinflow.operators.components import components, strong_components
-from skeinflow.operators.relations import event_object_sets, patterns
+from skeinflow.operators.relations import event_object_sets, patterns, relations_from
 from skeinflow.plans.repair import suggest
 from skeinflow.plans.session import Session, enumerate_trees, greedy_table, metrics, score_table
 from skeinflow.plans.tree import Node, rules, table
+from skeinflow.sources.ocel_split import read_large_log, write_documents
 from skeinflow.sources.scratch import Scratch, keep
 from skeinflow.sources.tables import clicks, clicks_by_key, orders
 
@@ -99,6 +100,17 @@ def _loop_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.loop_variants(T.traces(T.sessions(clicks(spark, sf_dir), GAP)), CLICK_LOOPS)
 
 
+def _ocel(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
+    """A log written as OCEL documents, read back in blocks, and its relations."""
+    rel = keep(LOGS[log](spark, sf_dir), "relations")
+    events = rel.groupBy(F.col("eid").alias("id")).agg(F.min("activity").alias("type"), F.min("ts").alias("time"))
+    objects = rel.groupBy(F.col("oid").alias("id")).agg(F.min("otype").alias("type"))
+    path = Scratch(spark, "ocel").path("log")
+    write_documents(events, objects, rel.select(F.col("eid").alias("event_id"), F.col("oid").alias("object_id"), F.lit("").alias("qualifier")), path)
+    found = read_large_log(spark, path)
+    return relations_from(found["events"], found["objects"], found["e2o"]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -177,6 +189,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "add_cost_curve_clicks": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "clicks", 0.04)), "cost").select("source", "target", "cost"),
         "add_cost_no_floor_orders": lambda s, d: _rounded(T.curve_cost(*_missing(s, d, "orders"), floor=None), "cost").select("source", "target", "cost"),
         "curve_series_orders": lambda s, d: _rounded(T.curve_series(*_missing(s, d, "orders")), "mass", "later").select("source", "target", "i", "mass", "later"),
+        "relations_ocel_keys": lambda s, d: _ocel(s, d, "keys"),
+        "relations_ocel_orders": lambda s, d: _ocel(s, d, "orders"),
         "raw_traces_keys": _raw_traces,
         "loop_variants_clicks": lambda s, d: _loop_variants(s, d).select(F.array_join("activities", ">").alias("trace")),
         "coverage_clicks": lambda s, d: T.log_coverage(T.sessions(clicks(s, d), GAP), s.createDataFrame([(r,) for r in CLICK_RUNS], "run array<string>"), CLICK_LOOPS),
@@ -278,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "add_cost_curve_clicks": _curve_sql("clicks", "dfg AS (SELECT * FROM dfg0 WHERE weight > (SELECT floor(CAST(sum(weight) AS DOUBLE) * CAST(0.04 AS DOUBLE)) FROM dfg0))", "uniform", True),
         "add_cost_no_floor_orders": _curve_sql("orders", "dfg", "uniform", False),
         "curve_series_orders": _curve_sql("orders", "dfg", "uniform", False, True),
+        "relations_ocel_keys": RELATIONS["keys"],
+        "relations_ocel_orders": RELATIONS["orders"],
         "raw_traces_keys": "SELECT 'k' || json_extract_string(props, '$.k') oid, string_agg(event_type, '>' ORDER BY ts, CAST(event_id AS VARCHAR)) trace FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY oid",
         "loop_variants_clicks": f"WITH {variants} SELECT array_to_string(a, '>') trace FROM grown",
         "coverage_clicks": f"WITH {variants}, runs AS (SELECT DISTINCT unnest([{', '.join('[' + ', '.join(repr(x) for x in r) + ']' for r in CLICK_RUNS)}]) a) "

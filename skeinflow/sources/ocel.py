@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from skeinflow.functions.timestamps import parse_time
 
-_TYPES = "array<struct<name:string,attributes:array<struct<name:string,type:string>>>>"
-_LINKS = "array<struct<objectId:string,qualifier:string>>"
+LINKS = "array<struct<objectId:string,qualifier:string>>"
+TYPE = "struct<name:string,attributes:array<struct<name:string,type:string>>>"
 #: Attribute values are kept as JSON texts.
-SCHEMA = (
-    f"eventTypes {_TYPES}, objectTypes {_TYPES}, "
-    f"events array<struct<id:string,type:string,time:string,attributes:array<struct<name:string,value:string>>,relationships:{_LINKS}>>, "
-    f"objects array<struct<id:string,type:string,attributes:array<struct<name:string,value:string,time:string>>,relationships:{_LINKS}>>"
-)
+EVENT = f"struct<id:string,type:string,time:string,attributes:array<struct<name:string,value:string>>,relationships:{LINKS}>"
+THING = f"struct<id:string,type:string,attributes:array<struct<name:string,value:string,time:string>>,relationships:{LINKS}>"
+SCHEMA = f"eventTypes array<{TYPE}>, objectTypes array<{TYPE}>, events array<{EVENT}>, objects array<{THING}>"
 
 
 def log_name(name: str) -> str:
@@ -30,16 +28,19 @@ def log_name(name: str) -> str:
 def read_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of an OCEL 2.0 JSON log: events, objects, e2o, o2o, event_attributes, object_attributes, types.
 
-    One JSON document is one row, so a single file is read by one task; a large
-    log belongs in many files, or in tables (see ``relations_from``).
+    One JSON document is one row, so a single file is read by one task; see
+    ``read_large_log`` for large ones.
     """
     log = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
-    event = log.select(F.explode("events").alias("e")).select("e.*")
-    thing = log.select(F.explode("objects").alias("o")).select("o.*")
     kinds = [
         log.select(F.lit(k).alias("of"), F.explode(c).alias("t")).select("of", "t.name", "t.attributes")
         for k, c in (("event", "eventTypes"), ("object", "objectTypes"))
     ]
+    return log_tables(log.select(F.explode("events").alias("e")).select("e.*"), log.select(F.explode("objects").alias("o")).select("o.*"), kinds[0].union(kinds[1]))
+
+
+def log_tables(event: DataFrame, thing: DataFrame, kinds: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``read_log`` from events, objects and types as a document has them."""
     return {
         "events": event.select("id", "type", parse_time(F.col("time")).alias("time"), F.col("time").alias("time_text")),
         "objects": thing.select("id", "type"),
@@ -49,7 +50,7 @@ def read_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "object_attributes": thing.select(F.col("id").alias("object_id"), F.explode("attributes").alias("a")).select(
             "object_id", "a.name", "a.value", parse_time(F.col("a.time")).alias("time"), value_kind("a.value")
         ),
-        "types": kinds[0].union(kinds[1]),
+        "types": kinds,
     }
 
 
@@ -67,7 +68,7 @@ def write_log(events: DataFrame, objects: DataFrame, e2o: DataFrame, path: str)
     """One JSON line per event and object; links to objects that do not exist are left out, types follow from the data."""
     held = e2o.join(objects.select(F.col("id").alias("object_id")).distinct(), "object_id", "left_semi")
     links = held.groupBy(F.col("event_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("object_id").alias("objectId"), "qualifier"))).alias("relationships"))
-    full = events.join(links, "id", "left").select("id", "type", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.coalesce("relationships", F.array().cast(_LINKS)).alias("relationships"))
+    full = events.join(links, "id", "left").select("id", "type", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("time"), F.coalesce("relationships", F.array().cast(LINKS)).alias("relationships"))
     rows = full.select(F.to_json(F.struct("id", "type", "time", "relationships")).alias("value"), F.lit("events").alias("part"))
     rows = rows.union(objects.select(F.to_json(F.struct("id", "type")), F.lit("objects")))
     rows.write.partitionBy("part").text(path)
@@ -75,7 +76,7 @@ def write_log(events: DataFrame, objects: DataFrame, e2o: DataFrame, path: str)
 
 def read_written_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The inverse of ``write_log``."""
-    event = spark.read.schema(f"id string, type string, time string, relationships {_LINKS}").json(f"{path}/part=events")
+    event = spark.read.schema(f"id string, type string, time string, relationships {LINKS}").json(f"{path}/part=events")
     return {
         "events": event.select("id", "type", parse_time(F.col("time")).alias("time")),
         "objects": spark.read.schema("id string, type string").json(f"{path}/part=objects"),
