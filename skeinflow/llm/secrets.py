@@ -59,11 +59,9 @@ _PLAIN = str.maketrans({"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (x + 0.5 * y, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)", re.A)
+_LOG2 = {unit: math.log2(unit) for unit in (2, 3, 4)}
 #: Bits for telling where a segment ends and of which kind it is.
 CUT = 2.0
-#: Units of a repeat segment at most; a longer filler is several segments.
-REPEATS = 64
-_LOG2 = [0.0, *(math.log2(k) for k in range(1, REPEATS + 1))]
 
 
 def _alphabet(value: str) -> float:
@@ -140,6 +138,7 @@ def guess_bits(value: str) -> float:
                 if _DATE.fullmatch(value, i, end):
                     dates.setdefault(end, []).append(i)
     since = dict.fromkeys((1, 2, 3, 4), 0)  # where the run of that period starts that ends here
+    units = {unit: [_Starts() for _ in range(unit)] for unit in (2, 3, 4)}  # starts of repeats, by their place in a unit
     runs = _Starts()
     walks, walk = _Starts(), 0
     for i in range(1, n + 1):
@@ -165,15 +164,17 @@ def guess_bits(value: str) -> float:
         for unit in since:
             if i > unit and low[i - 1] != low[i - 1 - unit]:
                 since[unit] = i - unit
+                if unit > 1:
+                    units[unit] = [_Starts() for _ in range(unit)]
         if i - 1 == since[1]:
             runs = _Starts()
         if i - 3 >= since[1]:
             runs.add(i - 3, best[i - 3], i)
             cost = min(cost, runs.least(i) + CUT + each)
-        for unit in (2, 3, 4):  # a repeated unit costs one of it and the count
-            if (most := min((i - since[unit]) // unit, REPEATS)) >= 2:
-                least = min(best[i - unit * k] + _LOG2[k] for k in range(2, most + 1))
-                cost = min(cost, least + CUT + unit * each)
+        for unit, places in units.items():  # a repeated unit costs one of it and the count
+            if i - 2 * unit >= since[unit]:
+                places[i % unit].add(i - 2 * unit, best[i - 2 * unit], i)
+                cost = min(cost, places[i % unit].least(i) - _LOG2[unit] + CUT + unit * each)
         best[i] = cost
     return best[n]
 

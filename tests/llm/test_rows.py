@@ -52,7 +52,7 @@ def test_secret_edges(spark):
     want = sorted(((i, [(k, a, b) for k, a, b, _ in find(t or "")]) for i, t in rows), key=str)
     assert got == want and len(got) == len(rows)
     by = dict(want)
-    assert by[1] == by[2] == by[5] == [] and by[4] == [] and [k for k, *_ in by[3]] == ["assign", "guess", "hex"]
+    assert by[1] == by[2] == by[5] == [] and by[4] == [] and [k for k, *_ in by[3]] == ["assign", "hex"]  # one long repeat is easily guessed
     assert by[None] == [("guess", 13, 24)]
     clean = {r.doc_id: r.text for r in redact(df, count_col="spans").where("doc_id < 6").collect()}
     assert clean[1] is None and clean[5] == rows[4][1] and "Zz9" not in clean[3] and clean[3].count("[SECRET]") == 2
@@ -81,7 +81,7 @@ def brute_bits(value):
                 own.append(secrets._RANK[plain[a:i] if t not in secrets._RANK else t] + (1 + changed if t not in secrets._RANK else 0) + upper)
             if secrets._DATE.fullmatch(value[a:i]):
                 own.append(7 if k <= 4 else 16)
-            own += [u * each + np.log2(k // u) for u, least in ((1, 3), (2, 2), (3, 2), (4, 2)) if k % u == 0 and k // u >= least and (u == 1 or k // u <= secrets.REPEATS) and t == t[:u] * (k // u)]
+            own += [u * each + np.log2(k // u) for u, least in ((1, 3), (2, 2), (3, 2), (4, 2)) if k % u == 0 and k // u >= least and t == t[:u] * (k // u)]
             steps = [(secrets._AT[y][0] - secrets._AT[x][0], secrets._AT[y][1] - secrets._AT[x][1]) for x, y in zip(t, t[1:]) if secrets._near(x, y)]
             if k >= 3 and len(steps) == k - 1:
                 own.append(5 + np.log2(k) + 2.2 * (1 + sum(x != y for x, y in zip(steps, steps[1:]))))
@@ -95,8 +95,10 @@ def test_guess_cost_is_the_least():
     parts = ["pass", "ab", "aaaa", "abcabcabcabc", "s", "ssss", "qwerty", "tyuiop", "2024-01-05", "20102012", "1999", "P@ss", "xK9", "0", "dada", "d"]
     values = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(150)] + ["".join(rng.choice(list("asd1"), 60)) for _ in range(60)]
     values += ["password" + "ds" * 150, "passssssssss", "ab" * 200, "abc" * 70 + "x" * 90, "aqwertyuiop" + "abcd" * 70]
+    values += ["kQ9z" + "abc" * 100, "abcd" * 100, "xy" * 250, "ab" * 40 + "abc" * 40 + "a" * 50]
     for value in values:
         assert abs(guess_bits(value) - brute_bits(value)) < 1e-6, value
+    assert guess_bits("abcd" * 200) < 40 and guess_bits("xy" * 500) < 40  # one repeat, whatever its length
 
 
 def test_screen_keeps_every_suspect():
