@@ -25,21 +25,35 @@ from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from skeinflow.llm._io import Scratch, ship
 
+
+def _once(pairs: list[tuple]) -> dict:
+    """An object; a name that comes twice is an error."""
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a name comes twice")
+    return found
+
+
 def canonical_json(text: str) -> tuple[str, str]:
-    """(canonical JSON, JSON schema type) of a JSON text; one that is no JSON becomes a string of type ``malformed``."""
+    """(canonical JSON, JSON schema type) of a JSON text; one that is no JSON becomes a string of type ``malformed``.
+
+    Whole numbers are written in digits, however they were given, other numbers
+    in the shortest form of their double.  Names that come twice in an object and
+    halves of surrogate pairs are malformed.
+    """
 
     def even(x):
         if isinstance(x, float):
             if not math.isfinite(x):
                 raise ValueError("not a JSON number")
-            return int(x) if x.is_integer() and abs(x) < 2**53 else x
+            return int(x) if x.is_integer() else x
         if isinstance(x, list):
             return [even(y) for y in x]
         return {k: even(y) for k, y in x.items()} if isinstance(x, dict) else x
 
     try:
-        value = even(json.loads(text))
+        value = even(json.loads(text, object_pairs_hook=_once))
         written = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        written.encode()
     except (ValueError, RecursionError):
         return json.dumps(text, ensure_ascii=False), "malformed"
     kinds = {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}

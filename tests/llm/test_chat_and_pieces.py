@@ -72,12 +72,14 @@ def test_arguments_are_parsed(spark):
     assert canonical_json('{"b": 1,  "a": [1.0, {"z": 2.5, "y": null}]}') == ('{"a":[1,{"y":null,"z":2.5}],"b":1}', "object")
     assert canonical_json("{oops") == ('"{oops"', "malformed") and canonical_json("NaN")[1] == "malformed" and canonical_json("[" * 100_000)[1] == "malformed"
     assert [canonical_json(x)[1] for x in ('"é"', "1", "1.0", "1e3", "1.5", "true", "null", "[]")] == ["string", "integer", "integer", "integer", "number", "boolean", "null", "array"]
-    rows = [(1, 0, "a", "t", {"o": '{ "k": 1.0 }', "n": "3"}, None), (1, 1, "b", "t", {"o": "{oops", "n": "3"}, None), (1, 2, "c", "t", {"o": "[]", "n": "3"}, None), (1, 3, "d", "t", {"n": "x"}, None)]
+    assert canonical_json("1e17") == canonical_json("100000000000000000") == ("100000000000000000", "integer") and canonical_json("1e-7") == canonical_json("0.0000001")
+    assert canonical_json('"\\ud800"') == ('"\\"\\\\ud800\\""', "malformed") and canonical_json('{"a":{"b":1,"b":2}}')[1] == "malformed" and canonical_json('"\\ud83d\\ude00"') == ('"😀"', "string")
+    rows = [(1, 9, "z", "t", {"o": '"\\ud800"', "n": "3"}, None), (1, 0, "a", "t", {"o": '{ "k": 1.0 }', "n": "3"}, None), (1, 1, "b", "t", {"o": "{oops", "n": "3"}, None), (1, 2, "c", "t", {"o": "[]", "n": "3"}, None), (1, 3, "d", "t", {"n": "x"}, None)]
     calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, tool string, arguments map<string,string>, after array<string>")
     schemas = spark.createDataFrame([("t", ["o"], {"o": "object", "n": "number"}), ("t", ["z"], {})], "tool string, required array<string>, types map<string,string>")
     results = spark.createDataFrame([(1, "a", "x")], "conv_id long, call_id string, content string")
     got = {r.call_id: r for r in link(calls, results, schemas).where("part = 0").collect()}
-    assert {k: r.status for k, r in got.items()} == {"a": "ok", "b": "malformed o", "c": "type of o", "d": "malformed n"}
+    assert {k: r.status for k, r in got.items()} == {"a": "ok", "b": "malformed o", "c": "type of o", "d": "malformed n", "z": "malformed o"}
     assert json.loads(got["a"].json)["arguments"] == {"n": 3, "o": {"k": 1}} and all(json.loads(r.json) for r in got.values())
 
 
