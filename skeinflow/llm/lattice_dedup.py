@@ -214,8 +214,8 @@ def near_duplicates(
     (itself included), ``kept`` tells whether that is the row's own id.  Equal
     vectors are compared once and counted as often as they occur.  Null, empty or
     zero vectors, and those with null or non-finite parts, link with nothing;
-    nor do vectors of different lengths.  Ids are taken as unique; a row without
-    an id gets a null component.  An empty table gives an empty table.  Columns
+    nor do vectors of different lengths.  Rows that repeat an id are each compared,
+    and each is a row of the result; a row without an id gets a null component.  An empty table gives an empty table.  Columns
     other than ``id_col`` and ``vec_col`` are not read.
     """
     scratch = Scratch(vectors.sparkSession, "lattice")
@@ -228,14 +228,10 @@ def near_duplicates(
         F.lit(False),
     ) & F.col("id").isNotNull()
     prints = rows.where(fine).withColumns({"p1": F.xxhash64("vec"), "p2": F.xxhash64(F.lit(1), "vec")})
-    classes = prints.groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    named = scratch.put(classes, "classes")
-    first = named.select(F.col("rep").alias("id"), "copies")
-    coded = scratch.put(
-        rows.where(fine).join(first, "id").select("id", "copies", "vec").dropDuplicates(["id"])
-        .mapInArrow(_code, f"id long, copies long, vec {kind}, keys array<long>"),
-        "coded",
-    )
+    # a class of equal vectors has a number of its own: an id may be on several rows
+    classes = prints.groupBy("p1", "p2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    named = scratch.put(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    coded = scratch.put(named.select("id", "copies", "vec").mapInArrow(_code, f"id long, copies long, vec {kind}, keys array<long>"), "coded")
     entries = coded.select("id", F.posexplode("keys").alias("pos", "key"))
     cells = entries.groupBy("key").agg(
         F.count("*").alias("n"), F.min(F.floor(F.col("pos") / _KEYS)).alias("table"),
@@ -253,15 +249,16 @@ def near_duplicates(
     full = met.join(coded, "id").select("key", "bi", "bj", "id", "copies", "side", "vec", known)
     dealt = full.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
     found = scratch.put(dealt.mapInArrow(_compare(least), "kind int, a long, b long"), "found")
-    label = components(found.where("kind = 1").select("a", "b"), scratch).withColumnRenamed("node", "rep")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("linked"))
-    facts = scratch.put(
-        named.join(label, "rep", "left").join(counts, "rep", "left").select(
-            "p1", "p2", "copies", F.coalesce("component", "rep").alias("component"),
-            (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    label = components(found.where("kind = 1").select("a", "b"), scratch).withColumnsRenamed({"node": "id", "component": "group"})
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("linked"))
+    grouped = scratch.put(
+        named.select("id", "p1", "p2", "rep", "copies").join(label, "id", "left").join(counts, "id", "left").select(
+            "p1", "p2", "rep", "copies", F.coalesce("group", "id").alias("group"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         ),
-        "facts",
+        "grouped",
     )
+    least = grouped.groupBy("group").agg(F.min("rep").alias("component"))
+    facts = scratch.put(grouped.join(least, "group").select("p1", "p2", "copies", "component", "n_links"), "facts")
     # a class may hold a third of all rows: at most 1,000 classes have a thousandth of them or more, and those are broadcast
     total = rows.count()
     large = facts.where(F.col("copies") * 1000 >= total)

@@ -135,6 +135,9 @@ def test_lattice_near_duplicates(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 905))
     assert (got[905].n_links, got[906].component_id, got[906].kept) == (1, 905, False)
     assert near_duplicates(df.where("false")).count() == 0
+    twice = [(1, [1.0, 2.0]), (1, [5.0, -1.0]), (4, [5.01, -1.0]), (5, [1.0, 2.01]), (None, [1.0, 2.0])]  # an id on rows with different vectors
+    rows = near_duplicates(spark.createDataFrame(twice, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in rows) == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (4, 1, 1), (5, 1, 1)]
 
 
 def test_lattice_hot_copies(spark):
