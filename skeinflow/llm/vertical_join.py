@@ -390,48 +390,62 @@ def jaccard_components(
         """Ties whose ends are not in one component."""
         return scratch.put(placed(placed(pairs.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), tag)
 
-    links = verify(scratch.put(nearest, "nearest"), "links").union(scratch.put(copies, "copies"))
+    # every table goes from the shared folder when the last one that is made of it is written
+    nearest = scratch.put(nearest, "nearest")
+    linked = [verify(nearest, "links"), scratch.put(copies, "copies")]
+    scratch.drop(nearest)
+    links = linked[0].union(linked[1])
     label = components(links, scratch)
     cross = crossing("other-ties")
     if cross.limit(1).count():
         others = verify(cross, "other-links")
+        linked.append(others)
         if others.limit(1).count():
             links = links.union(others)
             label = components(links, scratch)
+            scratch.drop(cross)
             cross = crossing("cross")
-    cross = cross.select(F.col("a").alias("hub"), F.col("b").alias("row"))
+    scratch.drop(pairs)
     if cross.limit(1).count():
-        open_sigs = scratch.put(pick(ties, cross, ["row", "hub"]).select("sig").distinct(), "open")
+        ends = cross.select(F.col("a").alias("hub"), F.col("b").alias("row"))
+        open_sigs = scratch.put(pick(ties, ends, ["row", "hub"]).select("sig").distinct(), "open")
         tied = scratch.put(pick(ties, open_sigs, ["sig"]), "tied")
+        scratch.drop(ties, open_sigs)
         members = tied.select("sig", "row").union(tied.select("sig", F.col("hub").alias("row"))).distinct()
         phase = F.col("sig").bitwiseAND(PHASES - 1)
         own = members.groupBy("row", phase.alias("phase")).agg(F.count("*").alias("of"))
         fit = feats.select("row", "n", "sk", "needs").join(own, "row").withColumn("need", F.element_at("needs", F.col("phase").cast("int") + 1)).where("of >= need")
         fit = scratch.put(fit.select("row", "phase", "n", "sk", "of", "need"), "fit")
         kept = scratch.put(members.withColumn("phase", phase).join(fit.select("row", "phase", "of", "need"), ["row", "phase"]), "kept")
+        scratch.drop(tied)
         often = kept.groupBy("sig").agg(F.count("*").alias("often"))
         rarest = F.row_number().over(Window.partitionBy("row", "phase").orderBy("often", "sig"))
         prefix = kept.join(often, "sig").withColumn("place", rarest).where("place <= of - need + 1").select("sig", "row", "phase")
         prefix = scratch.put(prefix.join(fit.select("row", "phase", F.struct("n", "sk").alias("f")), ["row", "phase"]), "prefix")
+        scratch.drop(kept, fit)
 
-        def still_open() -> DataFrame:
-            """The prefix of signatures whose documents are in several components by now."""
-            now = placed(prefix, "row", "component")
+        def still_open(table: DataFrame) -> DataFrame:
+            """The prefix of signatures whose documents are in several components by now; it stands for ``table``, which goes."""
+            now = placed(table.select("sig", "row", "phase", "f"), "row", "component")
             sizes = now.groupBy("sig").agg(F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several")).where("several")
-            return scratch.put(now.join(sizes.select("sig", "b"), "sig"), "open-prefix")
+            made = scratch.put(now.join(sizes.select("sig", "b"), "sig"), "open-prefix")
+            scratch.drop(table)
+            return made
 
-        prefix = still_open()
+        prefix = still_open(prefix)
         for seed in range(HUBS):  # each time another document is held against the others of its signatures
             hubs = prefix.groupBy("sig").agg(F.max_by(F.struct("row", "component", "f"), F.xxhash64("row", F.lit(seed))).alias("h"))
             met = prefix.join(hubs, "sig").withColumn("hf", F.col("h.f")).where(f"component <> h.component and {_apart('f', 'hf', percent)}")
             asked = met.select(F.least("row", "h.row").alias("a"), F.greatest("row", "h.row").alias("b")).distinct()
-            found = verify(scratch.put(asked, "hubs"), "hub-links")
+            asked = scratch.put(asked, "hubs")
+            found = verify(asked, "hub-links")
+            scratch.drop(asked)
+            linked.append(found)
             if found.limit(1).count() == 0:
                 break
             links = links.union(found)
             label = components(links, scratch)
-            prefix = prefix.drop("component", "b")
-            prefix = still_open()
+            prefix = still_open(prefix)
         blocks = F.ceil(F.col("b") / BUCKET).cast("int")
         side = F.pmod(F.xxhash64("row"), blocks).cast("int")
         dealt = prefix.select("sig", "row", "component", "f", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -439,13 +453,21 @@ def jaccard_components(
         x, y = (dealt.select("sig", "bi", "bj", *[F.col(c).alias(f"{c}_{i}") for c in ("row", "component", "f", "side")]) for i in "xy")
         apart = f"row_x < row_y and component_x <> component_y and (bi = bj or side_x <> side_y) and {_apart('f_x', 'f_y', percent)}"
         more = x.join(y, ["sig", "bi", "bj"]).where(apart).select(F.col("row_x").alias("a"), F.col("row_y").alias("b")).distinct()
-        more = verify(scratch.put(more, "more"), "more-links")
+        asked = scratch.put(more, "more")
+        scratch.drop(prefix)
+        more = verify(asked, "more-links")
+        scratch.drop(asked)
+        linked.append(more)
         if more.limit(1).count():
             label = components(links.union(more), scratch)
+    else:
+        scratch.drop(ties)
+    scratch.drop(cross, *linked)
     named = placed(sets.withColumnRenamed("rep", "row"), "row", "component")
     least = named.groupBy("component").agg(F.min("least").alias("least_of"))
-    grouped = named.join(least, "component").select(*keys, F.col("least_of").alias("component"))
-    return spread(feats, scratch.put(grouped, "grouped")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    grouped = scratch.put(named.join(least, "component").select(*keys, F.col("least_of").alias("component")), "grouped")
+    scratch.drop(sets)
+    return spread(feats, grouped).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def spread(feats: DataFrame, grouped: DataFrame) -> DataFrame:
