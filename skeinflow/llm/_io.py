@@ -8,6 +8,7 @@ running: whatever was written stays readable by all others.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -107,7 +108,7 @@ class Scratch:
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         where = self.path(tag)
-        df.write.option("parquet.block.size", GROUP).parquet(where)
+        df.write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         self._paths[id(out)] = where
         out._scratch_path = where
@@ -119,3 +120,8 @@ class Scratch:
             if where:
                 fs, path = self._fs(where)
                 fs.delete(path, True)
+
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of plans that are no longer held: it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
