@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import buffers, pieces
+from skeinflow.llm._bytes import BLOCK, buffers, pieces
 from skeinflow.llm._io import ship, tidied
 
 BUCKETS = 1 << 14
@@ -42,17 +42,42 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n of one to three: the buckets of all n-grams of the texts, and the row of each, ascending."""
+    """For n of one to three: the buckets of all n-grams of the texts, and the row of each, ascending.
+
+    A text of more than ``BLOCK`` bytes is taken block by block, with the two
+    bytes before a block, so its n-grams come in several turns.
+    """
     data, off = buffers(pc.utf8_lower(column))
-    text = _FOLD[data]
-    rows = len(off) - 1
-    owner = np.repeat(np.arange(rows, dtype=np.int32), np.diff(off))
+    sizes = np.diff(off)
+    at = 0
+    for i in [*np.flatnonzero(sizes > BLOCK).tolist(), len(sizes)]:
+        if i > at:
+            text = _FOLD[data[off[at] : off[i]]]
+            yield from _grams(text, np.repeat(np.arange(at, i, dtype=np.int32), sizes[at:i]))
+        if i < len(sizes):
+            seen = np.zeros(0, np.uint8)
+            for x in range(int(off[i]), int(off[i + 1]), BLOCK):
+                part = _FOLD[data[x : min(x + BLOCK, int(off[i + 1]))]]
+                inside = part != 32
+                before = np.append(x > off[i] and _FOLD[data[x - 1]] != 32, inside[:-1])
+                text = np.append(seen, part[inside | before])  # one space ends a word
+                yield from _coded(text, np.full(len(text), i, np.int32), np.zeros(len(text), bool), len(seen))
+                seen = text[-2:]
+        at = i + 1
+
+
+def _grams(text: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     inside = text != 32
     keep = inside.copy()
     keep[1:] |= inside[:-1] & (owner[1:] == owner[:-1])  # one space ends a word
     text, owner = text[keep], owner[keep]
     first = np.ones(len(text), bool)
     first[1:] = owner[1:] != owner[:-1]
+    yield from _coded(text, owner, first, 0)
+
+
+def _coded(text: np.ndarray, owner: np.ndarray, first: np.ndarray, seen: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams that do not lie within the first ``seen`` bytes."""
     x = text.astype(np.uint32)
     one = x * _MIX[0]
     for size in (1, 2, 3):
@@ -65,6 +90,7 @@ def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             ok &= ~first[k : len(code) + k]
         if size == 3:
             ok &= text[1:-1] != 32  # not across words
+        ok[: max(0, seen - size + 1)] = False
         code ^= code >> np.uint32(15)
         code = (code + np.uint32(size)) * np.uint32(0x2C1B3C6D)
         yield (code >> np.uint32(18))[ok].astype(np.int32), owner[: len(code)][ok]

@@ -54,14 +54,15 @@ def _repeats(owner: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
 
 
 _powers: dict[str, np.ndarray] = {}
+_BASE, _PAIR = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
-def statistics(column: pa.Array) -> np.ndarray:
-    """The feature matrix of a text column; nulls count as empty."""
+def _tallies(column: pa.Array) -> np.ndarray:
+    """Per row: ten counts by kind of byte, words, lines, pairs of words, repeated pairs, repeated lines, doubled words."""
     data, off = buffers(column)
     rows, n = len(off) - 1, len(data)
     if len(_powers.get("p", ())) < n + 2:
-        base = np.full(max(n + 2, 2 * BLOCK), 0x9E3779B97F4A7C15, np.uint64)
+        base = np.full(max(n + 2, 2 * BLOCK), _BASE, np.uint64)
         base[0] = 1
         _powers["p"] = np.cumprod(base, dtype=np.uint64)
     powers = _powers["p"]
@@ -95,11 +96,93 @@ def statistics(column: pa.Array) -> np.ndarray:
     double = np.zeros(rows)
     if len(a) > 1:
         h = hashed(a, b)
-        pair_hash = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]
+        pair_hash = h[:-1] * _PAIR + h[1:]
         inside = owner[a][1:] == pair_owner
         double = np.bincount(pair_owner[inside & (h[1:] == h[:-1])], minlength=rows).astype(float)
         pair_owner, pair_hash = pair_owner[inside], pair_hash[inside]
     pairs = np.bincount(pair_owner, minlength=rows).astype(float)
+    again, lines_again = _repeats(pair_owner, pair_hash, rows), _repeats(owner[line_begin], hashed(line_begin, line_end), rows)
+    return np.column_stack([count, words, lines, pairs, again, lines_again, double])
+
+
+class _Runs:
+    """Hashes of the runs of marked bytes of one text that comes block by block; a run may lie across many blocks."""
+
+    def __init__(self):
+        self.hash, self.length = 0, 0  # of a run that reached the end of the last block
+
+    def feed(self, part: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        begin, close = marked.copy(), marked.copy()
+        begin[1:] &= ~marked[:-1]
+        close[:-1] &= ~marked[1:]
+        a, b = np.flatnonzero(begin), np.flatnonzero(close) + 1
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers["f"][: len(part)], out=total[1:])
+        out = (total[b] - total[a]) * _powers["u"][a]
+        if self.length and marked[0]:
+            out[0] = (self.hash + pow(_BASE, self.length, 1 << 64) * int(out[0])) % (1 << 64)
+            self.length += int(b[0])
+        elif self.length:
+            out = np.append(np.uint64(self.hash), out)
+            self.length = 0
+        if marked[-1]:
+            self.hash, whole = int(out[-1]), len(a) == 1 and a[0] == 0
+            self.length = self.length if whole and self.length else int(b[-1] - a[-1])
+            return out[:-1]
+        self.length = 0
+        return out
+
+    def end(self) -> np.ndarray:
+        return np.full(int(self.length > 0), self.hash, np.uint64)
+
+
+def _again(hashes: list[np.ndarray]) -> float:
+    """How many of the hashes are no first occurrence."""
+    flat = np.concatenate(hashes)
+    flat.sort()
+    return float((flat[1:] == flat[:-1]).sum())
+
+
+def _long_tallies(data: np.ndarray) -> np.ndarray:
+    """``_tallies`` of one long text, block by block: what stays are eight bytes for each pair of words and each line."""
+    if "f" not in _powers:
+        for key, base in (("f", _BASE), ("u", pow(_BASE, -1, 1 << 64))):
+            table = np.full(BLOCK, base, np.uint64)
+            table[0] = 1
+            _powers[key] = np.cumprod(table, dtype=np.uint64)
+    count, double = np.zeros(10), 0
+    word_runs, line_runs, last = _Runs(), _Runs(), np.zeros(0, np.uint64)
+    pairs, lines, words = [], [], 0
+    for at in range(0, len(data) + 1, BLOCK):
+        part = data[at : at + BLOCK]
+        if len(part):
+            kind = _KIND[part]
+            count += np.bincount(kind, minlength=10)
+            found = word_runs.feed(part, kind != 1)
+            lines.append(line_runs.feed(part, part != 10))
+        if at + BLOCK > len(data):
+            found = np.append(found, word_runs.end()) if len(part) else word_runs.end()
+            lines.append(line_runs.end())
+        words += len(found)
+        h = np.append(last, found)
+        pairs.append(h[:-1] * _PAIR + h[1:])
+        double += int((h[1:] == h[:-1]).sum())
+        last = h[-1:]
+    return np.array([*count, words, sum(map(len, lines)), sum(map(len, pairs)), _again(pairs), _again(lines), double], float)
+
+
+def statistics(column: pa.Array) -> np.ndarray:
+    """The feature matrix of a text column; nulls count as empty.  A text of more than ``BLOCK`` bytes is taken block by block."""
+    data, off = buffers(column)
+    long = np.diff(off) > BLOCK
+    if long.any():
+        tally = np.zeros((len(long), 16))
+        tally[~long] = _tallies(column.filter(pa.array(~long)))
+        for i in np.flatnonzero(long):
+            tally[i] = _long_tallies(data[off[i] : off[i + 1]])
+    else:
+        tally = _tallies(column)
+    count, (words, lines, pairs, again, lines_again, double) = tally[:, :10], tally[:, 10:].T
     letters = count[:, 2] + count[:, 3]
     visible = count.sum(1) - count[:, 1] - count[:, 9]
     return np.column_stack(
@@ -113,8 +196,8 @@ def statistics(column: pa.Array) -> np.ndarray:
             _odds(count[:, 7], visible, 0.002),
             _odds(count[:, 8], visible, 0.002),
             np.log((lines + 1) / (words + 10)),
-            _odds(_repeats(pair_owner, pair_hash, rows), pairs, 0.03),
-            _odds(_repeats(owner[line_begin], hashed(line_begin, line_end), rows), lines, 0.03, 5.0),
+            _odds(again, pairs, 0.03),
+            _odds(lines_again, lines, 0.03, 5.0),
             _odds(double, pairs, 0.01),
         ]
     )

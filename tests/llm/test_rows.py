@@ -3,15 +3,19 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from skeinflow.llm import arc_convert as arc
-from skeinflow.llm import secrets
+from skeinflow.llm import language_id, secrets
+from skeinflow.llm import quality as quality_module
 from skeinflow.llm.language_id import codewords, fit, identify
 from skeinflow.llm.packing import pack
 from skeinflow.llm.quality import FEATURES, Discriminant, forward, quality, statistics
@@ -263,3 +267,34 @@ def test_arc_versions():
     rows = [arc.as_warc(*r) for r in arc.parse_arc(two)]
     assert [(r[1], r[7], r[-1]) for r in rows] == [("warcinfo", len(about2), False), ("response", 4, False), ("resource", 5, True)]
     assert list(arc.parse_arc(b"")) == []
+
+
+def _odd_texts(count: int) -> list[str | None]:
+    rng = random.Random(1)
+    parts = ["ab ", "word ", "Été ", "x", "|", "!", "\n", "\n\n", "a line again\n", "  ", "12", " "]
+    return ["".join(rng.choices(parts, k=rng.randrange(300))) for _ in range(count)] + [None, "", "a", " ", "\n", "a" * 50, " a", " " * 50, "a\n" * 40]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7, 64])
+def test_long_texts_in_blocks_equal_whole_texts(monkeypatch, block):
+    column = pa.array(_odd_texts(40))
+
+    def bag():
+        return Counter(x for bucket, owner in language_id.grams(column) for x in zip(bucket.tolist(), owner.tolist(), strict=True))
+
+    whole, counts = statistics(column), bag()
+    for module in (quality_module, language_id):
+        monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(quality_module, "_powers", {})
+    assert np.array_equal(statistics(column), whole) and bag() == counts
+
+
+def test_memory_of_one_very_long_text():
+    column = pa.array(["Some words of a text, which is long. And a line\n" * 300_000, "b"])  # 14 MB
+    model = language_id.Model.fit(["a", "b"], np.ones((2, language_id.BUCKETS)))
+    statistics(column), model.predict(column)
+    tracemalloc.start()
+    statistics(column), model.predict(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
