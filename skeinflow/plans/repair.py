@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import SparkSession
+
 from skeinflow.plans.cuts import exclusive_ok, local_endpoints, parallel_ok, redo_ok, sequence_ok
-from skeinflow.plans.graph import Edges, closure, induced, min_cut, reach
+from skeinflow.plans.graph import INFINITE, Edges, Network, Ways, closure, induced, reach
 
 ABSENT = 999_999
 
@@ -33,11 +38,32 @@ def _made(kind: str, one, two, added, removed, edges: Edges, costs: Edges) -> Su
     return Suggestion(kind, sorted(one), sorted(two), price, [(a, b, int(edges[a, b])) for a, b in sorted(removed)])
 
 
-def _best(found: list[Suggestion]) -> Suggestion | None:
+def _best(found: Iterable[Suggestion]) -> Suggestion | None:
     """Least cost, then the most even split, then the smallest first set."""
     return min(found, key=lambda s: (s.total_cost, abs(len(s.set1) - len(s.set2)), s.set1), default=None)
 
 
+#: Activities from which on pairs are dealt to Spark tasks, and pairs of a task.
+MANY, SHARE = 60, 500
+
+
+def _of_pairs(spark: SparkSession | None, names: set[str], cheapest) -> Suggestion | None:
+    """The best of ``cheapest(pairs)`` over all ordered pairs of activities: in tasks if there are many, each returning its own best."""
+    ordered = sorted(names)
+    n = len(ordered)
+    if spark is None or n < MANY:
+        return cheapest(itertools.permutations(ordered, 2))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = (int(i) for batch in batches for i in batch["id"])
+        best = cheapest((ordered[i // n], ordered[i % n]) for i in numbers if i // n != i % n)
+        yield pd.DataFrame({"found": [json.dumps(vars(best))] if best else []}, dtype=object)
+
+    rows = spark.range(0, n * n, 1, -(-n * n // SHARE)).mapInPandas(run, "found string").collect()  # one a task
+    read = (json.loads(r.found) for r in rows)
+    return _best([Suggestion(**{**x, "added": [tuple(e) for e in x["added"]], "removed": [tuple(e) for e in x["removed"]]}) for x in read])
+
+
 def best_exclusive(edges: Edges, names: set[str]) -> Suggestion | None:
     """An exact minimum cut of the symmetric weights, over all sinks for one source."""
     if len(names) < 2:
@@ -47,72 +73,103 @@ def best_exclusive(edges: Edges, names: set[str]) -> Suggestion | None:
         if a != b:
             both[a, b] = both.get((a, b), 0) + w
             both[b, a] = both.get((b, a), 0) + w
-    first, *rest = sorted(names)
-    found = []
+    net, (first, *rest) = Network(both, names), sorted(names)
+    found, least = [], INFINITE
     for t in rest:
         for s, e in ((first, t), (t, first)):
-            side = min_cut(both, [s], [e])[1] & names
-            removed = [x for x in edges if (x[0] in side) != (x[1] in side)]
-            found.append(_made("exclusive", side, names - side, [], removed, edges, {}))
+            value, side = net.cut([s], [e], least)
+            if side is not None:
+                least = value
+                removed = [x for x in edges if (x[0] in side) != (x[1] in side)]
+                found.append(_made("exclusive", side, names - side, [], removed, edges, {}))
     return _best(found)
 
 
-def best_sequence(edges: Edges, names: set[str], costs: Edges) -> Suggestion | None:
-    """For each ordered pair: cut the way from a to b; the first set is what still leads to b; missing ways are added in alphabetical order."""
-    found = []
-    for a, b in itertools.permutations(sorted(names), 2):
-        if b in reach(edges, a):
-            side = min_cut(edges, [a], [b])[1]
-            removed = [e for e in edges if e[0] in side and e[1] not in side]
-        else:
-            removed = []
-        left = {e: w for e, w in edges.items() if e not in set(removed)}
-        far = closure(left, names)
-        one = {x for x in names if b in far[x]}
-        two = names - one
-        if not two:
-            continue
-        added, now = [], dict(left)
-        for s1, s2 in itertools.product(sorted(one), sorted(two)):
-            if s2 not in reach(now, s1):
-                added.append((s1, s2))
-                now[s1, s2] = 1
-        if sequence_ok(now, one, two):
-            found.append(_made("sequence", one, two, added, removed, edges, costs))
-    return _best(found)
-
+def best_sequence(edges: Edges, names: set[str], costs: Edges, spark: SparkSession | None = None) -> Suggestion | None:
+    """For each ordered pair: cut the way from a to b; the first set is what still leads to b; missing ways are added in alphabetical order.
 
-def best_sequence_cut(edges: Edges, names: set[str]) -> Suggestion | None:
+    A pair whose cut alone costs more than the best so far is left at once.
+    """
+    inside = {e: w for e, w in edges.items() if e[0] in names and e[1] in names}
+
+    def cheapest(pairs: Iterable[tuple[str, str]]) -> Suggestion | None:
+        net, whole, best, seen = Network(inside, names), Ways(inside, names), None, set()
+        for a, b in pairs:
+            removed = frozenset()
+            if whole.far[a] & whole.bit[b]:
+                side = net.cut([a], [b], best.total_cost if best else INFINITE)[1]
+                if side is None:
+                    continue
+                removed = frozenset(e for e in inside if e[0] in side and e[1] not in side)
+            if (removed, b) in seen:
+                continue
+            seen.add((removed, b))
+            now = Ways(inside.keys() - removed, names)
+            one = {x for x in names if now.far[x] & now.bit[b]}
+            two = names - one
+            if not two:
+                continue
+            added = []
+            for s1, s2 in itertools.product(sorted(one), sorted(two)):
+                if not now.far[s1] & now.bit[s2]:
+                    added.append((s1, s2))
+                    now.add(s1, s2)
+            if now.ordered(one, two):
+                best = _best([x for x in (best, _made("sequence", one, two, added, removed, edges, costs)) if x])
+        return best
+
+    return _of_pairs(spark, names, cheapest)
+
+
+def best_sequence_cut(edges: Edges, names: set[str], spark: SparkSession | None = None) -> Suggestion | None:
     """The cheapest sequence cut by removals alone: of all minimum cuts between an activity and one it reaches, those after which every activity of the first set still reaches all of the second."""
-    found = []
-    for a, b in itertools.permutations(sorted(names), 2):
-        if a not in reach(edges, b):
-            continue
-        side = min_cut(edges, [b], [a])[1] & names  # what stays behind: the second set
-        removed = {e for e in edges if e[0] in side and e[1] in names - side}
-        now = {e: w for e, w in edges.items() if e not in removed}
-        if sequence_ok(now, names - side, side):
-            found.append(_made("sequence", names - side, side, [], removed, edges, {}))
-    return _best(found)
+    inside = {e: w for e, w in edges.items() if e[0] in names and e[1] in names}
+
+    def cheapest(pairs: Iterable[tuple[str, str]]) -> Suggestion | None:
+        net, whole, best = Network(inside, names), Ways(inside, names), None
+        for a, b in pairs:
+            if not whole.far[b] & whole.bit[a]:
+                continue
+            side = net.cut([b], [a], best.total_cost if best else INFINITE)[1]  # what stays behind: the second set
+            if side is None:
+                continue
+            removed = {e for e in inside if e[0] in side and e[1] not in side}
+            if Ways(inside.keys() - removed, names).ordered(names - side, side):
+                best = _best([x for x in (best, _made("sequence", names - side, side, [], removed, edges, {})) if x])
+        return best
+
+    return _of_pairs(spark, names, cheapest)
 
 
 def best_parallel(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges, force_endpoints: bool = True, unit_cost: bool = False) -> Suggestion | None:
-    """A minimum cut of the graph of what is missing, with a start and an end tied to each side."""
+    """A minimum cut of the graph of what is missing, with a start and an end tied to each side.
+
+    One start lies on some side, and so does one end: either both on one, or on
+    different ones.  It is enough to try the others as their partners and rivals,
+    2 (starts - 1) (ends - 1) flows, or one flow for each other activity if no
+    start and end are asked for.
+    """
     missing: Edges = {}
     for a, b in itertools.combinations(sorted(names), 2):
         absent = [e for e in ((a, b), (b, a)) if e not in edges]
         if absent:
             missing[a, b] = missing[b, a] = len(absent) if unit_cost else sum(int(costs.get(e, 1.0)) for e in absent)
     if force_endpoints:
+        (s1, *other_starts), (e1, *other_ends) = sorted(starts) or [None], sorted(ends) or [None]
         seeds = [
-            ({s1, e1}, {s2, e2}) for s1, s2 in itertools.combinations(sorted(starts), 2) for x, y in itertools.combinations(sorted(ends), 2) for e1, e2 in ((x, y), (y, x))
-            if not {s1, e1} & {s2, e2}
+            (one, two) for s2 in other_starts for e2 in other_ends for one, two in (({s1, e1}, {s2, e2}), ({s1, e2}, {s2, e1}))
+            if not one & two
         ]
     else:
-        seeds = [({a}, {b}) for a, b in itertools.combinations(sorted(names), 2)]
-    found = []
+        first, *rest = sorted(names)
+        seeds = [({first}, {b}) for b in rest]
+    priced = unit_cost or all(e in costs for pair in missing for e in (pair, pair[::-1]) if e not in edges)  # else capacities are not what is reported
+    net, found, least = Network(missing, names), [], INFINITE
     for one, two in seeds:
-        side = min_cut(missing, one, two)[1] & names
+        value, side = net.cut(one, two, least)
+        if side is None:
+            continue
+        least = value if priced else INFINITE
         other = names - side
         added = [e for a in side for b in other for e in ((a, b), (b, a)) if e not in edges]
         price = dict.fromkeys(added, 1) if unit_cost else costs
@@ -197,13 +254,13 @@ def best_redo(edges: Edges, names: set[str], starts: set[str], ends: set[str], c
     return _made("redo", one, two, set(added) - removed, removed & set(edges), edges, costs)
 
 
-def suggest(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges) -> list[Suggestion]:
+def suggest(edges: Edges, names: set[str], starts: set[str], ends: set[str], costs: Edges, spark: SparkSession | None = None) -> list[Suggestion]:
     """For a flower: the cheapest exclusive, sequence, parallel and redo cut that hold after their repair."""
     starts, ends = local_endpoints(edges, names, starts, ends)
     own = induced(edges, names)
     out = []
     for s in (
-        best_exclusive(own, names), best_sequence(own, names, costs), best_parallel(own, names, starts, ends, costs), best_redo(own, names, starts, ends, costs)
+        best_exclusive(own, names), best_sequence(own, names, costs, spark), best_parallel(own, names, starts, ends, costs), best_redo(own, names, starts, ends, costs)
     ):
         if s is None or not s.set1 or not s.set2:
             continue

@@ -72,7 +72,7 @@ class Session:
     def suggestions(self) -> list[Suggestion]:
         """Repairs for the first flower; none if there is no flower."""
         found = open_flower(self.tree) if self.tree else None
-        return suggest(self.edges, found[1], self.starts, self.ends, self.add_costs()) if found else []
+        return suggest(self.edges, found[1], self.starts, self.ends, self.add_costs(), self.relations.sparkSession) if found else []
 
     def select(self, choice: Suggestion) -> Session:
         """Apply a repair: change the graph, and replace the flower by the cut's node."""
@@ -301,7 +301,7 @@ def enumerate_trees(session: Session, most: int = 200) -> list[tuple[Node, tuple
     while todo:
         edges, tree, chosen = todo.pop()
         found = open_flower(tree)
-        options = suggest(edges, found[1], session.starts, session.ends, costs) if found else []
+        options = suggest(edges, found[1], session.starts, session.ends, costs, session.relations.sparkSession) if found else []
         if not options:
             done.append((tree, chosen))
         for s in options:
