@@ -98,13 +98,16 @@ class Session:
         """Edges removed and added so far."""
         return sum(len(s.removed) for s in self.journal.values()), sum(len(s.added) for s in self.journal.values())
 
-    def with_self_loops(self) -> Node | None:
+    def with_self_loops(self, corrected: bool = False) -> Node | None:
         """The tree with each activity that follows itself wrapped: ``redo(a, tau)`` if every trace of its context has it, else ``redo(tau, a)``.
 
         The context in a sequence or parallel node is the traces with a sibling's
         activity; in an exclusive node those of the other branch of the nearest
         ancestor of another kind (all if there is none), without traces of the
-        ancestor's first branch or of siblings.  One aggregation answers for all.
+        ancestor's first branch or of siblings.  The first branch is taken for the
+        activity's own and the second for the other, wherever the activity is; with
+        ``corrected``, its own is the one it lies in, and all others count as the
+        other.  One aggregation answers for all.
         """
         if self.tree is None:
             return None
@@ -123,7 +126,10 @@ class Session:
             while up and nodes[up].label == "exclusive":
                 up = up.rpartition(".")[0]
             if up and len(nodes[up].children) > 1:
-                asked[path] = (n.label, nodes[up].children[1].activities(), nodes[up].children[0].activities() | near)
+                branches = [c.activities() for c in nodes[up].children]
+                own = int(path[len(up) + 1 :].partition(".")[0]) if corrected else 0
+                other = set().union(*(b for i, b in enumerate(branches) if i != own)) if corrected else branches[1]
+                asked[path] = (n.label, other, branches[own] | near)
             else:
                 asked[path] = (n.label, None, near)
         tree = self.tree
