@@ -198,6 +198,8 @@ class Transducer:
     def encode(self, text: str) -> np.ndarray:
         if len(self.known) > REMEMBER:
             self.known.clear()
+        if len(self.fits) > REMEMBER:  # else up to pieces squared
+            self.fits.clear()
         parts = []
         for chunk in self.chunk.findall(self.normalise(text)):
             ids = self.known.get(chunk)
