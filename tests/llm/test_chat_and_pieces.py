@@ -113,7 +113,7 @@ def test_repeated_turns_stay(spark, sf, tmp_path):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(oracle_sql()[name]).df()
     got = queries()[name](spark, sf).toPandas()[want.columns.tolist()]
