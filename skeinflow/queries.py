@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
+from skeinflow.operators import forest as N
 from skeinflow.operators import traces as T
 from skeinflow.operators.components import components, strong_components
 from skeinflow.operators.relations import event_object_sets, patterns, relations_from
@@ -16,7 +17,7 @@ from skeinflow.plans.session import Session, enumerate_trees, greedy_table, metr
 from skeinflow.plans.tree import Node, rules, table
 from skeinflow.sources.ocel_split import read_large_log, write_documents
 from skeinflow.sources.scratch import Scratch, keep
-from skeinflow.sources.tables import clicks, clicks_by_key, orders
+from skeinflow.sources.tables import clicks, clicks_by_key, order_trees, orders
 
 LOGS = {"clicks": clicks, "keys": clicks_by_key, "orders": orders}
 
@@ -161,6 +162,14 @@ def _replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(_kept(spark, sf_dir, "orders"), spark.createDataFrame([(r,) for r in GIVEN_RUNS], "run array<string>"))
 
 
+#: What the flowers of some order trees become.
+GIVEN_NEW = Node("sequence", [Node("ship item"), Node("redo", [Node("close item"), Node("tau")])])
+
+
+def _tops(nodes: DataFrame) -> DataFrame:
+    return nodes.where("node_id = '0.1'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for log in LOGS:
@@ -206,6 +215,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "violations_tree_orders": lambda s, d: T.rule_violations(_kept(s, d, "orders"), rules(GIVEN_TREE)),
         "replay_greedy_orders": lambda s, d: greedy_table(T.traces(orders(s, d)), GIVEN_LOOP),
         "metrics_orders": lambda s, d: metrics(orders(s, d), GIVEN_LOOP),
+        "descendants_orders": lambda s, d: N.descendants(order_trees(s, d), _tops(order_trees(s, d))).select("tree_id", "node_id", "depth"),
+        "open_flower_orders": lambda s, d: N.open_flowers(order_trees(s, d)).select("tree_id", "node_id", F.array_join("activities", ",").alias("activities")),
+        "collapse_orders": lambda s, d: N.collapse(order_trees(s, d), _tops(order_trees(s, d))),
+        "replace_flowers_orders": lambda s, d: N.replace_flowers(order_trees(s, d), ["close item", "ship item"], table(s, GIVEN_NEW)),
         "tree_orders": lambda s, d: _tree(s, d, "orders"),
         "tree_clicks": lambda s, d: _tree(s, d, "clicks"),
         "tree_keys": lambda s, d: _tree(s, d, "keys"),
@@ -218,6 +231,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return out
 
 
+#: SQL: the nodes of the order trees, and with all nodes above each.
+ORDER_TREES = """WITH RECURSIVE line AS (SELECT l_orderkey k, l_linenumber n, min(l_suppkey) sk,
+        CASE WHEN min(l_returnflag) = 'R' THEN 'return item' WHEN min(l_linestatus) = 'F' THEN 'close item' ELSE 'ship item' END a FROM lineitem GROUP BY ALL),
+    sup AS (SELECT 'o' || k tree_id, '0.1.' || min(n) id, CAST(min(n) AS INTEGER) pos, list_sort(list(DISTINCT a)) names FROM line GROUP BY k, sk),
+    nodes AS (SELECT DISTINCT 'o' || o_orderkey tree_id, '0' node_id, CAST(NULL AS VARCHAR) parent_id, 0 child_pos, 'sequence' label FROM orders
+        UNION ALL SELECT DISTINCT 'o' || o_orderkey, '0.0', '0', 0, 'place order' FROM orders
+        UNION ALL SELECT DISTINCT tree_id, '0.1', '0', 1, 'parallel' FROM sup
+        UNION ALL SELECT tree_id, id, '0.1', pos, CASE WHEN len(names) > 1 THEN 'flower' ELSE names[1] END FROM sup
+        UNION ALL SELECT tree_id, id || '.' || (i - 1), id, CAST(i - 1 AS INTEGER), names[i] FROM (SELECT *, unnest(range(1, len(names) + 1)) i FROM sup WHERE len(names) > 1)),
+    down AS (SELECT *, [node_id] above, [child_pos] place FROM nodes WHERE parent_id IS NULL
+        UNION ALL SELECT n.*, list_append(d.above, n.node_id), list_append(d.place, n.child_pos) FROM down d JOIN nodes n ON n.tree_id = d.tree_id AND n.parent_id = d.node_id),
+    held AS (SELECT tree_id, parent_id node_id, list_sort(list(DISTINCT label)) names FROM down WHERE parent_id IS NOT NULL GROUP BY ALL) """
+
+
 def _curve_sql(log: str, graph: str, kernel: str, floor: bool, series: bool = False) -> str:
     """The curve costs by the plain formula: every bucket of every pair against the whole histogram; or the curves."""
     phi = "least(1, greatest(0, 0.5::DOUBLE * ((g.t - h.secs) / g.bw + 1)))" if kernel == "uniform" else "1 / (1 + exp(-1.702::DOUBLE * (g.t - h.secs) / g.bw))"
@@ -320,6 +347,16 @@ def oracle_sql() -> dict[str, str]:
         "metrics_orders": _with("orders", trace.replace("FROM kept", "FROM rel")) + f"""SELECT count(DISTINCT oid) traces, count(DISTINCT eid) events, count(DISTINCT activity) activities,
             count(DISTINCT activity) FILTER (activity IN ('place order', 'ship item', 'close item', 'return item')) / 4::DOUBLE activity_precision,
             (SELECT count(*) FILTER ({once_placed})::DOUBLE / count(*) FROM tr) fitness FROM rel""",
+        "descendants_orders": ORDER_TREES + "SELECT tree_id, node_id, CAST(len(above) - list_position(above, '0.1') AS INTEGER) depth FROM down WHERE list_contains(above, '0.1')",
+        "open_flower_orders": ORDER_TREES + """, one AS (SELECT * FROM down WHERE label = 'flower' QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY place) = 1)
+            SELECT tree_id, node_id, array_to_string(names, ',') activities FROM one JOIN held USING (tree_id, node_id)""",
+        "collapse_orders": ORDER_TREES + """, acts AS (SELECT tree_id, list_sort(list(DISTINCT label)) names FROM down WHERE list_contains(above, '0.1') AND label NOT IN ('parallel', 'flower') GROUP BY tree_id)
+            SELECT tree_id, node_id, parent_id, child_pos, CASE WHEN node_id = '0.1' THEN 'flower' ELSE label END label FROM down WHERE len(above) < 3
+            UNION ALL SELECT tree_id, '0.1.' || (i - 1), '0.1', CAST(i - 1 AS INTEGER), names[i] FROM (SELECT *, unnest(range(1, len(names) + 1)) i FROM acts)""",
+        "replace_flowers_orders": ORDER_TREES + """, hit AS (SELECT d.* FROM down d JOIN held h USING (tree_id, node_id) WHERE d.label = 'flower' AND h.names = ['close item', 'ship item']),
+            part AS (SELECT * FROM (VALUES ('', NULL, 0, 'sequence'), ('.0', '', 0, 'ship item'), ('.1', '', 1, 'redo'), ('.1.0', '.1', 0, 'close item'), ('.1.1', '.1', 1, 'tau')) t(id, up, pos, label))
+            SELECT tree_id, node_id, parent_id, child_pos, label FROM down d WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.tree_id = d.tree_id AND list_contains(d.above, h.node_id))
+            UNION ALL SELECT tree_id, h.node_id || p.id, CASE WHEN up IS NULL THEN h.parent_id ELSE h.node_id || up END, CASE WHEN up IS NULL THEN h.child_pos ELSE pos END, p.label FROM hit h, part p""",
         "violations_exclusive_orders": _with("orders", PATTERNS, KEPT, trace) + "SELECT count(*) traces, count(*) FILTER (list_contains(acts, 'close item') AND list_contains(acts, 'return item')) violating FROM tr",
     }
     return out
