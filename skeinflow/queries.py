@@ -18,6 +18,7 @@ from skeinflow.plans.tree import Node, rules, table
 from skeinflow.sources.ocel_split import read_large_log, write_documents
 from skeinflow.sources.scratch import Scratch, keep
 from skeinflow.sources.tables import clicks, clicks_by_key, order_trees, orders
+from skeinflow.streaming.steps import read_counts, write_counts
 
 LOGS = {"clicks": clicks, "keys": clicks_by_key, "orders": orders}
 
@@ -166,6 +167,36 @@ def _replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 GIVEN_NEW = Node("sequence", [Node("ship item"), Node("redo", [Node("close item"), Node("tau")])])
 
 
+#: A tree given for sessions of users, with activities in every context that self-loops are told apart by.
+GIVEN_SESSION = Node("parallel", [
+    Node("exclusive", [Node("error"), Node("signup")]), Node("sequence", [Node("view"), Node("exclusive", [Node("click"), Node("purchase")])]),
+])
+
+
+def _self_loops(spark: SparkSession, sf_dir: str, corrected: bool) -> DataFrame:
+    s = Session.open(T.sessions(clicks(spark, sf_dir), GAP))
+    s.tree = GIVEN_SESSION
+    return table(spark, s.with_self_loops(corrected)).select("node_id", "label")
+
+
+#: Stretches of time that a log arrives in.
+PARTS = 4
+
+
+def _streamed(spark: SparkSession, sf_dir: str, log: str) -> DataFrame:
+    """Counts of steps of a log that arrives as files, stretch by stretch, in micro-batches."""
+    rel = keep(LOGS[log](spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "relations")
+    lo, hi = rel.agg(F.min("ts"), F.max("ts")).first()
+    span = int((hi - lo).total_seconds() // PARTS) + 1 if lo is not None else 1
+    part = F.coalesce(F.floor(F.timestamp_diff("SECOND", F.lit(lo).cast("timestamp_ntz"), "ts") / span), F.lit(0))
+    path = Scratch(spark, "stream").path("log")
+    for i in range(PARTS):
+        rel.where(part == i).write.mode("append").parquet(f"{path}/in")
+    arriving = spark.readStream.schema(rel.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    write_counts(arriving, path, span + 1).awaitTermination()
+    return read_counts(spark, path)
+
+
 def _tops(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_id = '0.1'")
 
@@ -219,6 +250,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "open_flower_orders": lambda s, d: N.open_flowers(order_trees(s, d)).select("tree_id", "node_id", F.array_join("activities", ",").alias("activities")),
         "collapse_orders": lambda s, d: N.collapse(order_trees(s, d), _tops(order_trees(s, d))),
         "replace_flowers_orders": lambda s, d: N.replace_flowers(order_trees(s, d), ["close item", "ship item"], table(s, GIVEN_NEW)),
+        "dfg_by_type_stream_clicks": lambda s, d: _streamed(s, d, "clicks"),
+        "dfg_by_type_stream_keys": lambda s, d: _streamed(s, d, "keys"),
+        "self_loops_sessions": lambda s, d: _self_loops(s, d, False),
+        "self_loops_corrected_sessions": lambda s, d: _self_loops(s, d, True),
         "tree_orders": lambda s, d: _tree(s, d, "orders"),
         "tree_clicks": lambda s, d: _tree(s, d, "clicks"),
         "tree_keys": lambda s, d: _tree(s, d, "keys"),
@@ -245,6 +280,28 @@ ORDER_TREES = """WITH RECURSIVE line AS (SELECT l_orderkey k, l_linenumber n, mi
     held AS (SELECT tree_id, parent_id node_id, list_sort(list(DISTINCT label)) names FROM down WHERE parent_id IS NOT NULL GROUP BY ALL) """
 
 
+def _self_loops_sql(corrected: bool) -> str:
+    """The given session tree with its self-loops: a session of a leaf's context without the activity makes the loop optional."""
+
+    def has(*names: str) -> str:
+        return f"list_has_any(acts, [{', '.join(repr(x) for x in names)}])"
+
+    inner = (has("view"), "") if corrected else (has("click", "purchase"), "view")
+    context = {
+        "0.0.0": ("error", f"{has('view', 'click', 'purchase')} AND NOT {has('signup')}"), "0.0.1": ("signup", f"{has('view', 'click', 'purchase')} AND NOT {has('error')}"),
+        "0.1.0": ("view", has("click", "purchase")),
+        "0.1.1.0": ("click", f"{inner[0]} AND NOT {has('purchase', *inner[1].split())}"), "0.1.1.1": ("purchase", f"{inner[0]} AND NOT {has('click', *inner[1].split())}"),
+    }
+    leaves = " UNION ALL ".join(f"SELECT '{p}' p, '{a}' a, (SELECT count(*) FILTER ({c} AND NOT {has(a)}) FROM seq) n" for p, (a, c) in context.items())
+    return f"""WITH step AS (SELECT user_id, event_type a, ts, CAST(event_id AS VARCHAR) eid, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) > INTERVAL {GAP} SECOND AS far FROM events),
+        cut AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY user_id ORDER BY ts, eid ROWS UNBOUNDED PRECEDING) k FROM step),
+        nxt AS (SELECT a, lead(a) OVER (PARTITION BY user_id, k ORDER BY ts, eid) b FROM cut), seq AS (SELECT list(DISTINCT a) acts FROM cut GROUP BY user_id, k),
+        leaf AS ({leaves}), looped AS (SELECT *, a IN (SELECT a FROM nxt WHERE a = b) again FROM leaf)
+        SELECT p node_id, CASE WHEN again THEN 'redo' ELSE a END AS label FROM looped
+        UNION ALL SELECT p || '.0', CASE WHEN n > 0 THEN 'tau' ELSE a END FROM looped WHERE again UNION ALL SELECT p || '.1', CASE WHEN n > 0 THEN a ELSE 'tau' END FROM looped WHERE again
+        UNION ALL SELECT * FROM (VALUES ('0', 'parallel'), ('0.0', 'exclusive'), ('0.1', 'sequence'), ('0.1.1', 'exclusive')) t(node_id, label)"""
+
+
 def _curve_sql(log: str, graph: str, kernel: str, floor: bool, series: bool = False) -> str:
     """The curve costs by the plain formula: every bucket of every pair against the whole histogram; or the curves."""
     phi = "least(1, greatest(0, 0.5::DOUBLE * ((g.t - h.secs) / g.bw + 1)))" if kernel == "uniform" else "1 / (1 + exp(-1.702::DOUBLE * (g.t - h.secs) / g.bw))"
@@ -347,6 +404,9 @@ def oracle_sql() -> dict[str, str]:
         "metrics_orders": _with("orders", trace.replace("FROM kept", "FROM rel")) + f"""SELECT count(DISTINCT oid) traces, count(DISTINCT eid) events, count(DISTINCT activity) activities,
             count(DISTINCT activity) FILTER (activity IN ('place order', 'ship item', 'close item', 'return item')) / 4::DOUBLE activity_precision,
             (SELECT count(*) FILTER ({once_placed})::DOUBLE / count(*) FROM tr) fitness FROM rel""",
+        **{f"dfg_by_type_stream_{log}": out[f"dfg_by_type_{log}"] for log in ("clicks", "keys")},
+        "self_loops_sessions": _self_loops_sql(False),
+        "self_loops_corrected_sessions": _self_loops_sql(True),
         "descendants_orders": ORDER_TREES + "SELECT tree_id, node_id, CAST(len(above) - list_position(above, '0.1') AS INTEGER) depth FROM down WHERE list_contains(above, '0.1')",
         "open_flower_orders": ORDER_TREES + """, one AS (SELECT * FROM down WHERE label = 'flower' QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY place) = 1)
             SELECT tree_id, node_id, array_to_string(names, ',') activities FROM one JOIN held USING (tree_id, node_id)""",
