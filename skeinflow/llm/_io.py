@@ -10,17 +10,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinflow.sources.scratch import GROUP, shared_dir
+from skeinflow.sources.scratch import Scratch as Tables
+
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Bytes of a row group of scratch tables: what a writing task holds.
-GROUP = 16 << 20
 #: Bytes of an Arrow batch that goes to Python at most; Spark's own setting counts in tens of megabytes.
 BATCH = 4 << 20
 #: Rows of a key table that is broadcast at most; a larger one is joined by a shuffle.
@@ -74,53 +73,20 @@ def tidied(run):
     return wrapped
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only for a local master that has none."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = os.path.join(tempfile.gettempdir(), f"skeinflow-{sc.applicationId}")
-    sc.setCheckpointDir(base)
-    return base
-
-
-class Scratch:
-    """Tables written once in the shared folder; removed at the end of the session, or by ``drop``."""
+class Scratch(Tables):
+    """Tables of operators: compressed more, and Python workers can import this package."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
-        self.spark = spark
-        self.base = f"{shared_dir(spark)}/skeinflow/{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-        fs, path = self._fs(self.base)
-        fs.deleteOnExit(path)
-
-    def _fs(self, where: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def path(self, tag: str) -> str:
-        return f"{self.base}/{tag}-{uuid.uuid4().hex[:8]}"
+        super().__init__(spark, name)
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         where = self.path(tag)
         df.write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
-        self._paths[id(out)] = where
         out._scratch_path = where
         return out
 
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            where = getattr(df, "_scratch_path", None)
-            if where:
-                fs, path = self._fs(where)
-                fs.delete(path, True)
-
     def sweep(self) -> None:
         """Let Spark remove the shuffle files of plans that are no longer held: it does so when the driver collects garbage."""
         gc.collect()

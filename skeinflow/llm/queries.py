@@ -95,9 +95,10 @@ def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("role") == "user", F.array(F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")))).alias("after"),
     )
     results = turns.where(~asked).select("conv_id", F.concat(F.lit("call-"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    form = '{"additionalProperties":false,"properties":{"chars":{"minimum":0,"type":"integer"},"text":{"type":"string"}},"required":["chars","text"],"type":"object"}'
     schemas = spark.createDataFrame(
-        [("user", ["text"], {"text": "string", "chars": "integer"}), ("system", ["text"], {"text": "string", "chars": "integer"})],
-        "tool string, required array<string>, types map<string,string>",
+        [(tool, ["text"], {"text": "string", "chars": "integer"}, form) for tool in ("user", "system")],
+        "tool string, required array<string>, types map<string,string>, schema string",
     )
     return link(calls, results, schemas, repeats=True)
 

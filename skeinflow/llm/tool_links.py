@@ -3,11 +3,13 @@
 Input is one row per call and one per result;
 calls and results meet in a hash join on conversation and identifier.  A call
 stands ``after`` the calls it names there; its level is one more than the
-largest of theirs, found by joins round after round until none changes (as many
-rounds as the longest chain; a call on a cycle, or after one, gets no level).
-Arguments are parsed, checked against the tool's schema of required names and
-types, and written again: keys sorted at every depth, no spaces, whole numbers
-without a fraction.
+largest of theirs (a call on a cycle, or after one, gets no level).  A
+conversation of at most ``LOCAL`` such links is ordered within one task; longer
+ones by joins, round after round until none changes, as many as their longest
+chain.  Arguments are parsed, checked against the tool's schema of required
+names and types and, where it has one, its JSON schema at every depth, and
+written again: keys sorted at every depth, no spaces, whole numbers without a
+fraction.
 The output has one row per part, so a conversation of any length is many rows
 that no task has to hold together; (turn, level, call_id, part) orders them.
 """
@@ -16,14 +18,22 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
-from skeinflow.llm._io import Scratch, ship
+from skeinflow.llm._io import Scratch, pick, ship
+
+#: Links between the calls of a conversation up to which one task orders them all.
+LOCAL = 100_000
+#: Bytes of all JSON schemas together that are sent to tasks at most; more are an error.
+SCHEMAS = 16 << 20
+_KINDS = {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}
 
 
 def _once(pairs: list[tuple]) -> dict:
@@ -56,8 +66,68 @@ def canonical_json(text: str) -> tuple[str, str]:
         written.encode()
     except (ValueError, RecursionError):
         return json.dumps(text, ensure_ascii=False), "malformed"
-    kinds = {str: "string", bool: "boolean", int: "integer", float: "number", dict: "object", list: "array", type(None): "null"}
-    return written, kinds[type(value)]
+    return written, _KINDS[type(value)]
+
+
+def _same(a, b) -> bool:
+    """Equal as JSON values: a number is never a boolean."""
+    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+
+
+def faults(value, schema: dict | bool, at: str = "") -> Iterator[str]:
+    """What is wrong with a JSON value by a JSON schema, outer faults first, names in order.
+
+    Read are type, enum, const, minimum, maximum, minLength, maxLength, minItems,
+    maxItems, required, properties, additionalProperties, items, anyOf, allOf and
+    not, and the schemas true and false; other words say nothing.
+    """
+    where = at or "arguments"
+    if isinstance(schema, bool):
+        if not schema:
+            yield f"extra {where}"
+        return
+    kind = _KINDS[type(value)]
+    wanted = schema.get("type")
+    wanted = [wanted] if isinstance(wanted, str) else wanted
+    if wanted is not None and kind not in wanted and not (kind == "integer" and "number" in wanted):
+        yield f"type of {where}"
+        return
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
+        yield f"enum of {where}"
+    if "const" in schema and not _same(value, schema["const"]):
+        yield f"const of {where}"
+    size = value if kind in ("integer", "number") else len(value) if kind in ("string", "array") else None
+    low, high = {"string": ("minLength", "maxLength"), "array": ("minItems", "maxItems")}.get(kind, ("minimum", "maximum"))
+    if size is not None and not schema.get(low, size) <= size <= schema.get(high, size):
+        yield f"range of {where}"
+    for part in schema.get("allOf", ()):
+        yield from faults(value, part, at)
+    if "anyOf" in schema and all(any(faults(value, part, at)) for part in schema["anyOf"]):
+        yield f"choice of {where}"
+    if "not" in schema and not any(faults(value, schema["not"], at)):
+        yield f"choice of {where}"
+    if kind == "array" and "items" in schema:
+        for i, x in enumerate(value):
+            yield from faults(x, schema["items"], f"{at}[{i}]")
+    if kind == "object":
+        known, rest = schema.get("properties", {}), schema.get("additionalProperties", True)
+        for k in sorted(set(schema.get("required", ())) - set(value)):
+            yield f"missing {at}.{k}".replace(" .", " ")
+        for k in sorted(value):
+            yield from faults(value[k], known.get(k, rest), f"{at}.{k}".removeprefix("."))
+
+
+def _checked(schemas: dict[str, str]):
+    """For ``mapInArrow``: the rows with ``nested``, the first fault of their arguments by their tool's JSON schema."""
+    read = {tool: json.loads(text) for tool, text in schemas.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tools, args = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("tool", "args"))
+            found = [next(faults(json.loads(a), read[t]), None) if t in read else None for t, a in zip(tools, args, strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, "nested"])
+
+    return run
 
 
 def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,22 +149,76 @@ def quoted(text) -> F.Column:
     return F.when(text.isNull(), F.lit("null")).otherwise(written)
 
 
-def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, level): 0 for calls that name no known call; null on or after a cycle."""
-    known = scratch.put(calls.select("conv_id", "call_id").distinct(), "known")
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct()
-    edges = scratch.put(edges.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi"), "edges")
-    done = scratch.put(known.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level0")
-    while True:
-        rest = edges.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        met = done.select("conv_id", F.col("call_id").alias("needs"), "level")
-        ready = rest.join(met, ["conv_id", "needs"], "left").groupBy("conv_id", "call_id").agg(
-            F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")
-        ).where("open = 0").select("conv_id", "call_id", (F.col("level") + 1).alias("level"))
-        ready = scratch.put(ready, "ready")
-        if ready.limit(1).count() == 0:
-            return known.join(done, ["conv_id", "call_id"], "left")
-        done = done.union(ready)
+def ordered(links: list[tuple[str, str]]) -> dict[str, int]:
+    """The level of each call of one conversation's (call, call that it needs) that stands on no cycle and after none."""
+    open_, next_ = Counter(c for c, _ in links), defaultdict(list)
+    for call, needs in links:
+        next_[needs].append(call)
+    level = {c: 0 for c in next_ if c not in open_}
+    ready = list(level)
+    for needs in ready:  # grows while it is read
+        for call in next_.get(needs, ()):
+            open_[call] -= 1
+            if not open_[call]:
+                level[call] = level[needs] + 1  # calls come in order of level, so the last one needed has the largest
+                ready.append(call)
+    return {c: n for c, n in level.items() if c in open_}
+
+
+def _ordered(kind: pa.DataType):
+    """For ``mapInArrow`` over rows sorted by conversation: (conv_id, call_id, level)."""
+
+    def rows(conv, links: list) -> pa.RecordBatch:
+        found = ordered(links)
+        return pa.record_batch([pa.array([conv] * len(found), kind), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], names=["conv_id", "call_id", "level"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, links = None, []
+        for batch in batches:
+            for c, call, needs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != conv and links:
+                    yield rows(conv, links)
+                    links = []
+                conv = c
+                links.append((call, needs))
+        if links:
+            yield rows(conv, links)
+
+    return run
+
+
+def levels(calls: DataFrame, scratch: Scratch, local: int | None = None) -> DataFrame:
+    """(conv_id, call_id, level): 0 for calls that name no known call; null on or after a cycle.
+
+    Conversations of more than ``local`` links, ``LOCAL`` if it is null, are ordered by joins.
+    """
+    local = LOCAL if local is None else local
+    keys = ["conv_id", "call_id"]
+    known = scratch.put(calls.select(*keys).distinct(), "known")
+    edges = calls.select(*keys, F.explode("after").alias("needs")).distinct()
+    edges = scratch.put(edges.join(known.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*keys, "needs"), "edges")
+    first = scratch.put(known.join(edges, keys, "left_anti").withColumn("level", F.lit(0)), "level0")
+    large = scratch.put(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > local).select("conv_id"), "large")
+    small = pick(edges, large, ["conv_id"], "left_anti").select(*keys, "needs").repartition("conv_id").sortWithinPartitions("conv_id")
+    out = [first, scratch.put(small.mapInArrow(_ordered(to_arrow_type(calls.schema["conv_id"].dataType)), StructType([calls.schema["conv_id"], StructField("call_id", StringType()), StructField("level", IntegerType())])), "ordered")]
+    if large.limit(1).count():
+        edges = scratch.put(pick(edges, large, ["conv_id"]).select(*keys, "needs"), "large-edges")
+        done = scratch.put(pick(first, large, ["conv_id"]).select(*keys, "level"), "large0")
+        while True:
+            rest = edges.join(done.select(*keys), keys, "left_anti")
+            met = done.select("conv_id", F.col("call_id").alias("needs"), "level")
+            ready = rest.join(met, ["conv_id", "needs"], "left").groupBy(*keys).agg(
+                F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")
+            ).where("open = 0").select(*keys, (F.col("level") + 1).alias("level"))
+            ready = scratch.put(ready, "ready")
+            if ready.limit(1).count() == 0:
+                break
+            out.append(ready)
+            done = done.union(ready)
+    found = out[0]
+    for more in out[1:]:
+        found = found.union(more)
+    return known.join(found, keys, "left")
 
 
 def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -103,11 +227,25 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     ``schemas`` has tool, required array<string>, types map<string,string>; the
     number of tools is small by nature and at most ten thousand, else an error.
     Of several schemas for a tool, the smallest by required names and then by
-    types counts.  ``calls`` has ``kinds``, the JSON type of each argument.
+    types counts.  A column ``schema`` may hold a JSON schema of the arguments
+    (null: none; of several the smallest text; see ``faults``), which is asked
+    last; a text that is no JSON object is an error.  ``calls`` has ``args`` and
+    ``kinds``, the JSON and the JSON type of each argument.
     """
     if schemas.limit(10_001).count() > 10_000:
         raise ValueError("more than 10,000 tools")
     tools = schemas.groupBy("tool").agg(F.min_by(F.struct("required", "types"), F.struct("required", F.array_sort(F.map_entries("types")))).alias("s"), F.lit(True).alias("known")).select("tool", "s.*", "known")
+    texts = {}
+    if "schema" in schemas.columns:
+        texts = {r.tool: r.text for r in schemas.where("schema is not null").groupBy("tool").agg(F.min("schema").alias("text")).collect()}
+        if sum(map(len, texts.values())) > SCHEMAS:
+            raise ValueError(f"more than {SCHEMAS} bytes of JSON schemas")
+        if odd := sorted(t or "" for t, x in texts.items() if not isinstance(json.loads(x), dict)):
+            raise ValueError(f"the schema of {odd[0]} is no object")
+    if texts:
+        calls = calls.mapInArrow(_checked(texts), StructType([*calls.schema.fields, StructField("nested", StringType())]))
+    else:
+        calls = calls.withColumn("nested", F.lit(None).cast("string"))
     joined = calls.join(F.broadcast(tools), "tool", "left")
     names = F.coalesce(F.map_keys("arguments"), F.array().cast("array<string>"))
     missing = F.array_sort(F.array_except(F.coalesce("required", F.array().cast("array<string>")), names))
@@ -123,8 +261,9 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(F.size(broken) > 0, F.concat(F.lit("malformed "), broken[0]))
         .when(F.size(missing) > 0, F.concat(F.lit("missing "), missing[0]))
         .when(F.size(wrong) > 0, F.concat(F.lit("type of "), wrong[0]))
+        .otherwise(F.col("nested"))
     )
-    return joined.withColumn("problem", problem).drop("required", "types", "known")
+    return joined.withColumn("problem", problem).drop("required", "types", "known", "nested")
 
 
 def _first(rows: DataFrame, order: list, keys: list[str], scratch: Scratch, tag: str) -> tuple[DataFrame, DataFrame]:

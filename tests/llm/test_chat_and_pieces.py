@@ -1,15 +1,18 @@
 """SentencePiece transducer, tool-call linking, SQL of the llm queries."""
 
 import json
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
+from skeinflow.llm._io import Scratch
 from skeinflow.llm.piece_transducer import Transducer, decode, encode
 from skeinflow.llm.queries import op9_tool_links, oracle_sql, queries, tokenizer_file
-from skeinflow.llm.tool_links import canonical_json, link
+from skeinflow.llm.tool_links import canonical_json, faults, levels, link
 
 ODD = ["", "  a  b   c ", "日本語 テスト🎉", "x" * 3000, "a▁b", "def f(x):\n    return  x\t\t1", "<s> </s> <unk> <0x0A>", "ﬁ Ⅳ é", "\x00\x01"]
 
@@ -122,3 +125,60 @@ def test_sql(spark, sf, name):
         return sorted((tuple(None if pd.isna(x) else x for x in r) for r in df.itertuples(index=False)), key=str)
 
     assert key(got) == key(want)
+
+
+@pytest.mark.parametrize("local", [0, 8, 100_000])
+def test_levels_by_tasks_and_by_joins(spark, local):
+    rng = random.Random(11)
+    calls, want = [], {}
+    for conv in range(12):
+        names = [f"c{i}" for i in range(8)]
+        after = {c: rng.sample(names, rng.choice((0, 0, 1, 2))) + ["unknown"] * (rng.random() < 0.2) for c in names}
+        needs = {c: [x for x in after[c] if x in after] for c in names}
+        level: dict = {}
+        for _ in names:  # fixed point
+            level |= {c: max((level[n] + 1 for n in needs[c]), default=0) for c in names if all(n in level for n in needs[c])}
+        want |= {(conv, c): level.get(c) for c in names}
+        calls += [(conv, c, after[c]) for c in names]
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, after array<string>")
+    got = levels(df, Scratch(spark, "levels"), local)
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+
+
+def test_a_long_chain_takes_no_rounds(spark):
+    n = 5000
+    calls = spark.range(n).selectExpr("'x' conv_id", "cast(id as string) call_id", "array(cast(id - 1 as string)) after")
+    assert {int(r.call_id): r.level for r in levels(calls, Scratch(spark, "chain")).collect()} == {i: i for i in range(n)}
+
+
+SCHEMA = {
+    "type": "object", "required": ["to"], "additionalProperties": False,
+    "properties": {
+        "to": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "minLength": 1}, "age": {"type": "number", "minimum": 0}}, "additionalProperties": {"type": "integer"}},
+        "how": {"enum": ["fast", 1, None]}, "tags": {"type": "array", "items": {"type": ["string", "null"]}, "maxItems": 2}, "any": {"anyOf": [{"type": "string"}, {"const": 7}], "not": {"const": "no"}},
+    },
+}
+
+
+@pytest.mark.parametrize(("value", "want"), [
+    ({"to": {"name": "a"}}, []), ({"to": {"name": "a", "age": 1.5, "z": 3}, "how": None, "tags": ["a", None], "any": 7}, []),
+    ({}, ["missing to"]), ({"to": {}}, ["missing to.name"]), ({"to": {"name": ""}}, ["range of to.name"]), ({"to": {"name": "a", "age": -1}}, ["range of to.age"]),
+    ({"to": {"name": "a", "z": "w"}}, ["type of to.z"]), ({"to": {"name": "a"}, "more": 1}, ["extra more"]), ({"to": {"name": "a"}, "how": True}, ["enum of how"]),
+    ({"to": {"name": "a"}, "tags": ["a", 1, "c"]}, ["range of tags", "type of tags[1]"]), ({"to": {"name": "a"}, "any": 8}, ["choice of any"]),
+    ({"to": {"name": "a"}, "any": "no"}, ["choice of any"]), ([], ["type of arguments"]),
+])
+def test_faults(value, want):
+    assert list(faults(value, SCHEMA)) == want
+
+
+def test_nested_schemas_in_links(spark):
+    calls = spark.createDataFrame(
+        [(1, i, str(i), "send", a, None) for i, a in enumerate([{"to": '{"name":"x"}'}, {"to": '{"name":3}'}, {"to": '{"name":'}, None])] + [(1, 9, "9", None, {"to": "1"}, None)],
+        "conv_id long, turn long, call_id string, tool string, arguments map<string,string>, after array<string>",
+    )
+    results = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    schemas = spark.createDataFrame([("send", None, None, json.dumps(SCHEMA)), ("other", ["a"], None, None)], "tool string, required array<string>, types map<string,string>, schema string")
+    got = {r.call_id: r.status for r in link(calls, results, schemas).collect()}
+    assert got == {"0": "no result", "1": "type of to.name", "2": "malformed to", "3": "missing to", "9": "unknown tool"}
+    with pytest.raises(ValueError, match="no object"):
+        link(calls, results, schemas.withColumn("schema", F.lit("[1]"))).collect()
