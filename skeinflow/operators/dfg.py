@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from skeinflow.operators.order import in_order
 from skeinflow.sources.scratch import keep
 
+#: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
+MOST_ACTIVITIES = 1000
+
 
 def successors(relations: DataFrame, once: bool = False) -> DataFrame:
     """(oid, otype, source, target) for consecutive events of an object, in order of (ts, eid); see ``in_order``."""
@@ -62,8 +65,13 @@ def induced(edges: DataFrame, activities: list[str]) -> DataFrame:
 
 
 def missing_edges(edges: DataFrame) -> DataFrame:
-    """(source, target): ordered pairs of different activities on an edge that are no edge."""
+    """(source, target): ordered pairs of different activities on an edge that are no edge.
+
+    The pairs are as many as the square of the activities, which are ``MOST_ACTIVITIES`` at most, else an error.
+    """
     names = edges.select(F.explode(F.array("source", "target")).alias("x")).distinct()
+    if names.limit(MOST_ACTIVITIES + 1).count() > MOST_ACTIVITIES:
+        raise ValueError(f"more than {MOST_ACTIVITIES} activities")
     pairs = names.select(F.col("x").alias("source"), F.lit(1).alias("k")).join(names.select(F.col("x").alias("target"), F.lit(1).alias("k")), "k").where("source <> target").drop("k")
     return pairs.join(edges.select("source", "target"), ["source", "target"], "left_anti")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinflow.operators import dfg as D
 from skeinflow.operators import traces as T
+from skeinflow.operators.dfg import MOST_ACTIVITIES
 from skeinflow.operators.order import in_order
 from skeinflow.operators.relations import patterns
 from skeinflow.plans.automaton import Automata, walk
@@ -19,9 +20,6 @@ from skeinflow.plans.repair import Suggestion, suggest
 from skeinflow.plans.tree import TAU, Node, collapse, descendants, open_flower, relations_of, replace_flowers, replay_greedily, rules
 from skeinflow.sources.scratch import keep
 
-#: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
-MOST_ACTIVITIES = 1000
-
 
 @dataclass
 class Session:

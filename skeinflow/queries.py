@@ -13,7 +13,7 @@ from skeinflow.operators import traces as T
 from skeinflow.operators.components import components, strong_components
 from skeinflow.operators.relations import event_object_sets, patterns, relations_from
 from skeinflow.plans.repair import suggest
-from skeinflow.plans.session import Session, enumerate_trees, greedy_table, metrics, score_table
+from skeinflow.plans.session import Session, accepted_table, enumerate_trees, greedy_table, metrics, score_table
 from skeinflow.plans.tree import Node, rules, table
 from skeinflow.sources.ocel_split import read_large_log, write_documents
 from skeinflow.sources.scratch import Scratch, keep
@@ -159,6 +159,22 @@ GIVEN_LOOP = Node("sequence", [Node("place order"), Node("loop", [Node("exclusiv
 GIVEN_TREE = Node("sequence", [Node("place order"), Node("exclusive", [Node("ship item"), Node("sequence", [Node("close item"), Node("return item")])])])
 
 
+#: Given trees whose executions are few enough to be written down for SQL, one list of executions a tree.
+GIVEN_TREES = [
+    GIVEN_TREE, Node("sequence", [Node("place order"), Node("parallel", [Node("ship item"), Node("close item")])]),
+    Node("sequence", [Node("exclusive", [Node("place order"), Node("tau")]), Node("redo", [Node("return item"), Node("ship item")])]),
+]
+GIVEN_LANGUAGES = [
+    [["place order", "ship item"], ["place order", "close item", "return item"]], [["place order", "ship item", "close item"], ["place order", "close item", "ship item"]],
+    [first + ["return item"] + ["ship item", "return item"] * n for first in (["place order"], []) for n in range(3)],
+]
+
+
+def _given_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session.open(orders(spark, sf_dir))
+    return spark.createDataFrame([s.conformance(GIVEN_TREE)], "fitness double, precision double, f_score double")
+
+
 def _replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(_kept(spark, sf_dir, "orders"), spark.createDataFrame([(r,) for r in GIVEN_RUNS], "run array<string>"))
 
@@ -241,6 +257,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sccs_clicks": lambda s, d: _strong(s, _graph(s, d, "clicks")),
         "sccs_orders": lambda s, d: _strong(s, _graph(s, d, "orders")),
         "replay_counts_orders": _replay_counts,
+        "replay_trees_orders": lambda s, d: accepted_table(keep(_kept(s, d, "orders"), "kept"), GIVEN_TREES),
+        "conformance_given_orders": _given_conformance,
         "violations_sequence_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["place order"], ["return item"], "sequence"),
         "violations_exclusive_orders": lambda s, d: T.violations(_kept(s, d, "orders"), ["close item"], ["return item"], "exclusive"),
         "violations_tree_orders": lambda s, d: T.rule_violations(_kept(s, d, "orders"), rules(GIVEN_TREE)),
@@ -397,6 +415,23 @@ def oracle_sql() -> dict[str, str]:
             "types AS (SELECT otype, list(DISTINCT activity) names FROM kept GROUP BY otype)",
             "own AS (SELECT DISTINCT list_filter(m, lambda x: list_contains(names, x)) run FROM types, model)",
         ) + "SELECT count(*) executions, count(n) fitting_executions, CAST(coalesce(sum(n), 0) AS BIGINT) fitting_traces, (SELECT count(*) FROM tr) traces FROM own LEFT JOIN single USING (run) WHERE len(own.run) > 0",
+        "replay_trees_orders": _with(
+            "orders", PATTERNS, KEPT, trace, f"run AS (SELECT otype, {collapsed} run FROM tr)", "single AS (SELECT run, count(*) n FROM run WHERE len(run) = len(list_distinct(run)) GROUP BY run)",
+            "types AS (SELECT otype, list(DISTINCT activity) names FROM kept GROUP BY otype)",
+            "model AS (" + " UNION ALL ".join(f"SELECT {i} AS candidate, unnest([{', '.join('[' + ', '.join(map(repr, r)) + ']' for r in runs)}]) m" for i, runs in enumerate(GIVEN_LANGUAGES)) + ")",
+            "own AS (SELECT DISTINCT candidate, list_filter(m, lambda x: list_contains(names, x)) run FROM types, model)",
+        ) + """SELECT CAST(candidate AS INTEGER) candidate, count(*)::DOUBLE executions, count(n) fitting_executions, CAST(coalesce(sum(n), 0) AS BIGINT) fitting_traces, (SELECT count(*) FROM tr) traces
+            FROM own LEFT JOIN single USING (run) WHERE len(own.run) > 0 GROUP BY candidate""",
+        "conformance_given_orders": _with(
+            "orders", PATTERNS, STEPS, ends, "kinds AS (UNPIVOT pat ON related, divergent, convergent, deficient INTO NAME k VALUE v)",
+            "held AS (SELECT k, otype o, activity x, '' y FROM kinds WHERE v)",
+            "lg AS (SELECT CASE WHEN s THEN 'start' ELSE 'end' END k, otype o, activity x, '' y FROM side UNION SELECT 'step', otype, source, target FROM nxt WHERE target IS NOT NULL UNION SELECT * FROM held)",
+            "types AS (SELECT otype, list(activity) names FROM pat GROUP BY otype)",
+            f"own AS (SELECT otype, list_filter(m, lambda x: list_contains(names, x)) run FROM types, (SELECT unnest([{', '.join('[' + ', '.join(map(repr, r)) + ']' for r in GIVEN_LANGUAGES[0])}]) m))",
+            f"""model AS (SELECT * FROM held WHERE x IN ({', '.join(map(repr, sorted(GIVEN_TREE.activities())))}) UNION SELECT 'start', otype, run[1], '' FROM own WHERE len(run) > 0 UNION SELECT 'end', otype, run[len(run)], '' FROM own WHERE len(run) > 0
+                UNION SELECT 'step', otype, run[i], run[i + 1] FROM (SELECT *, unnest(range(1, len(run))) i FROM own))""",
+            "n AS (SELECT count(*)::DOUBLE c, (SELECT count(*) FROM lg) / 1::DOUBLE l, (SELECT count(*) FROM model) / 1::DOUBLE m FROM lg JOIN model USING (k, o, x, y))",
+        ) + "SELECT c / l AS fitness, c / m AS \"precision\", 2 * (c / l) * (c / m) / (c / l + c / m) f_score FROM n",
         "violations_sequence_orders": _with("orders", PATTERNS, KEPT, trace) + f"SELECT count(*) traces, count(*) FILTER ({_before('place order', 'return item')}) violating FROM tr",
         "violations_tree_orders": _with("orders", PATTERNS, KEPT, trace) + f"""SELECT count(*) traces, count(*) FILTER ({_before('place order', 'ship item', 'close item', 'return item')}
             OR (list_contains(acts, 'ship item') AND list_has_any(acts, ['close item', 'return item'])) OR {_before('close item', 'return item')}) violating FROM tr""",

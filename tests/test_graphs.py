@@ -3,7 +3,10 @@
 import json
 import random
 
+import pytest
+
 from skeinflow.operators.components import components, strong_components
+from skeinflow.operators.dfg import missing_edges
 from skeinflow.plans.graph import components as plain_components
 from skeinflow.plans.graph import strong_components as plain_strong
 from skeinflow.sources.ocel import graph_edges, read_graph
@@ -47,3 +50,9 @@ def test_graph_files_with_and_without_costs(spark, tmp_path):
     rows = read_graph(spark, str(tmp_path)).collect()
     assert sorted((r.source, r.target, r.weight or 0) for r in rows) == [("a b", "c", 0), ("a b", "c", 4)]
     assert graph_edges((tmp_path / "two.json").read_text()) == {("a b", "c"): None} and graph_edges((tmp_path / "one.json").read_text()) == {("a b", "c"): 4}
+
+
+def test_too_many_activities_for_all_pairs(spark):
+    ring = spark.range(1001).selectExpr("cast(id as string) source", "cast((id + 1) % 1001 as string) target")
+    with pytest.raises(ValueError, match="more than 1000 activities"):
+        missing_edges(ring)
