@@ -1,5 +1,5 @@
 """Connected components of a link table."""
 
-from skeinflow.operators.components import components
+from skeinflow.operators.components import components, merged
 
-__all__ = ["components"]
+__all__ = ["components", "merged"]

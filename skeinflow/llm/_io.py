@@ -14,16 +14,13 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skeinflow.sources.scratch import GROUP, shared_dir
+from skeinflow.sources.scratch import FEW, GROUP, light, shared_dir
 from skeinflow.sources.scratch import Scratch as Tables
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of an Arrow batch that goes to Python at most; Spark's own setting counts in tens of megabytes.
 BATCH = 4 << 20
-#: Rows of a key table that is broadcast at most; a larger one is joined by a shuffle.
-FEW = 1_000_000
 
 
 def pick(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
@@ -31,7 +28,7 @@ def pick(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi"
 
     ``keys`` is counted: give a written table.
     """
-    return rows.join(F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys, on, how)
+    return rows.join(light(keys), on, how)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -87,6 +84,15 @@ class Scratch(Tables):
         out._scratch_path = where
         return out
 
+    def size(self, df: DataFrame) -> int:
+        """Bytes of a written table."""
+        fs, path = self._fs(df._scratch_path)
+        return fs.getContentSummary(path).getLength()
+
+    def read(self, parts: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema as one."""
+        return self.spark.read.schema(parts[0].schema).parquet(*(x._scratch_path for x in parts))
+
     def sweep(self) -> None:
         """Let Spark remove the shuffle files of plans that are no longer held: it does so when the driver collects garbage."""
         gc.collect()

@@ -38,10 +38,12 @@ whose ends are not in one component yet.  Ties form a tree for every signature,
 so all documents of one whose ties lie within components are done.  The others mostly hold texts that share a
 passage and little else.  There a set with fewer open signatures than its need is
 out, and of the others all but the ``need - 1`` most frequent signatures are
-enough (the prefix filter).  Within what is left, ``HUBS`` times a document by
-random order is held against the others of its signature, which joins most near
-copies, and at last every pair that is still across components and
-that sizes and sketches allow is counted, in blocks of ``BUCKET`` documents.
+enough (the prefix filter).  Within what is left, two documents by random order
+are held against the others of their signature where more than ``LARGE`` have it,
+once, which joins most near copies of large groups; then every pair that is still
+across components and that sizes and sketches allow is counted, in blocks of
+``BUCKET`` documents.  Later links join components, not documents: those that
+they touch are nodes of a graph of their own, which is small.
 No pair within a component is made, so a group of n near copies costs about n
 comparisons, not n*n/2; and no link between different components is missed.
 """
@@ -58,16 +60,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.llm._bytes import mix, pieces, shingle_sets, shingles
-from skeinflow.llm._graph import components
-from skeinflow.llm._io import Scratch, fresh, pick, tidied
+from skeinflow.llm._graph import components, merged
+from skeinflow.llm._io import Scratch, fresh, light, pick, tidied
 
 FRAGMENTS = 8
 #: Words of 64 bits of a parity sketch.
 SKETCH = 8
 #: Bits of a signature; the lowest are its class's number modulo ``PHASES``.
-WIDTH, PHASES = 48, 4
-#: Signatures that a task sorts at once, documents of a block in the last comparison, hubs of a signature before it.
-RUN, BUCKET, HUBS = 1 << 20, 1024, 4
+WIDTH, PHASES = 40, 4
+#: Signatures that a task sorts at once, documents of a block in the last comparison, documents of a signature that gets hubs before it.
+RUN, BUCKET, LARGE = 1 << 20, 1024, 64
+#: Runs of signatures meet a slice of the buckets after the other where the features are larger than so many bytes: their shuffle is not on disk at once.
+SLICES, WHOLE = 4, 48 << 20
 _U = np.uint64
 
 
@@ -154,7 +158,12 @@ def _apart(x: str, y: str, percent: int) -> str:
     """SQL that is false only for pairs of rows whose sizes or short sketches rule the similarity out."""
     bits = " + ".join(f"bit_count({x}.sk[{i}] ^ {y}.sk[{i}])" for i in range(SKETCH))
     sizes = f"100 * {x}.n >= {percent} * {y}.n and 100 * {y}.n >= {percent} * {x}.n"
-    return f"{sizes} and ({bits}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
+    return f"{sizes} and coalesce(({bits}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}, true)"
+
+
+def _short(percent: int):
+    """The short sketch; null for sets so large that it would rule next to nothing out."""
+    return F.when(F.col("n") * (100 - percent) < 20 * SKETCH * (100 + percent), F.col("sk")).alias("sk")
 
 
 def _far(x: str, y: str, percent: int) -> str:
@@ -215,9 +224,9 @@ def _features(percent: int, k: int, bits: int):
             row, other = (((v & _U(0xFFFF)).astype(np.int64) | base) for v in (x, h))
             yield _made(2, len(x), sig=(x >> _U(16)).view(np.int64), row=row, hub=other)
         keys = keys[first]
-        bucket = (keys >> _U(64 - bits)).astype(np.int32)
+        bucket = (keys >> _U(WIDTH + 16 - bits)).astype(np.int32)
         cut = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(keys)).tolist()
-        runs = [_packed(keys[a:b], int(bucket[a]) << (64 - bits)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        runs = [_packed(keys[a:b], int(bucket[a]) << (WIDTH + 16 - bits)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         yield _made(1, len(runs), row=np.full(len(runs), base), bucket=bucket[cut[:-1]], width=[w for w, _ in runs], run=[d for _, d in runs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +295,7 @@ def _meet(bits: int):
                 if bucket != now:
                     yield from met(now, runs)
                     now, runs = bucket, []
-                runs.append((base, _unpacked(data, width, bucket << (64 - bits))))
+                runs.append((base, _unpacked(data, width, bucket << (WIDTH + 16 - bits))))
         yield from met(now, runs)
 
     return run
@@ -324,12 +333,11 @@ def count_overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b, overlap) of pairs (a, ia, pa, b, ib, pb): overlaps counted fragment by fragment, then summed per pair.
 
     Every fragment of a pair is a row of its own, so a set with many partners is
-    spread over ``FRAGMENTS`` keys.
+    spread over ``FRAGMENTS`` keys.  ``pairs`` is counted: give a written table.
     """
     left = segments.select(F.col("id").alias("ia"), F.col("p1").alias("pa"), "frag", F.col("seg").alias("sa"))
     right = segments.select(F.col("id").alias("ib"), F.col("p1").alias("pb"), "frag", F.col("seg").alias("sb"))
-    each = pairs.withColumn("frag", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])))
-    held = each.join(left, ["ia", "pa", "frag"]).join(right, ["ib", "pb", "frag"])
+    held = left.join(light(pairs), ["ia", "pa"]).join(right, ["ib", "pb", "frag"])
     once = held.select("a", "b", "frag", F.size(F.array_intersect("sa", "sb")).alias("c")).groupBy("a", "b", "frag").agg(F.max("c").alias("c"))
     return once.groupBy("a", "b").agg(F.sum("c").alias("overlap"))
 
@@ -354,37 +362,47 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = min(20, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     made = scratch.put(texts.mapInArrow(tidied(_features(percent, k, bits)), _MADE), "features")
-    runs = made.where("kind = 1").select("bucket", "row", "width", "run").repartition("bucket").sortWithinPartitions("bucket")
-    met = runs.mapInArrow(tidied(_meet(bits)), "sig long, row long, hub long")
-    ties = scratch.put(met.union(made.where("kind = 2").select("sig", "row", "hub")), "ties")
-    scratch.sweep()
+    slices = SLICES if scratch.size(made) > WHOLE else 1
+    ties = made.where("kind = 2").select("sig", "row", "hub")
+    parts = []
+    for i in range(slices):
+        runs = made.where(f"kind = 1 and pmod(bucket, {slices}) = {i}").select("bucket", "row", "width", "run").repartition("bucket").sortWithinPartitions("bucket")
+        met = runs.mapInArrow(tidied(_meet(bits)), "sig long, row long, hub long")
+        parts.append(scratch.put(met.union(ties) if i == 0 else met, "ties"))
+        del runs, met
+        scratch.sweep()
+    ties = scratch.read(parts)
     feats = scratch.put(made.where("kind = 0").select("row", "id", "n", "p1", "p2", "needs", "sk", "wide", "signed"), "documents")
     scratch.drop(made)
+    del made
     keys = ["n", "p1", "p2"]
     sets = scratch.put(feats.where("n > 0 and id is not null").groupBy(*keys).agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
     pairs = scratch.put(ties.groupBy(F.col("hub").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("shared")), "pairs")
     nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
     def verify(asked: DataFrame, tag: str) -> DataFrame:
-        """Those of (a, b) that are links, held against sizes, sketches and then the counted overlap."""
-        na, nb = (feats.select(F.col("row").alias(c), F.struct("n", "p1", "p2", "sk", "wide", "id").alias(f"f{c}")) for c in "ab")
+        """Those of the written (a, b) that are links, held against sizes, sketches and then the counted overlap."""
+        na, nb = (feats.select(F.col("row").alias(c), F.struct("n", _short(percent)).alias(f"f{c}")) for c in "ab")
+        near = scratch.put(na.join(light(asked), "a").join(nb, "b").where(_apart("fa", "fb", percent)).select("a", "b"), f"{tag}-near")
+        some = pick(feats, scratch.put(near.select(F.explode(F.array("a", "b")).alias("row")).distinct(), f"{tag}-rows"), ["row"])
+        na, nb = (some.select(F.col("row").alias(c), F.struct("n", "p1", "p2", "wide", "id").alias(f"f{c}")) for c in "ab")
         facts = ["a", F.col("fa.id").alias("ia"), F.col("fa.p1").alias("pa"), "b", F.col("fb.id").alias("ib"), F.col("fb.p1").alias("pb")]
         equal = F.col("fa.n").eqNullSafe(F.col("fb.n")) & (F.col("fa.p1") == F.col("fb.p1")) & (F.col("fa.p2") == F.col("fb.p2"))
-        close = asked.join(na, "a").join(nb, "b").where(_apart("fa", "fb", percent))
-        close = scratch.put(close.where(_far("fa", "fb", percent)).select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
+        close = na.join(light(near), "a").join(nb, "b").where(_far("fa", "fb", percent))
+        close = scratch.put(close.select(*facts, F.col("fa.n").alias("n"), F.col("fb.n").alias("m"), equal.alias("equal")), f"{tag}-close")
         open_ = close.where("not equal")
         wanted = scratch.put(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), f"{tag}-wanted")
         segments = scratch.put(pick(texts, wanted, ["id"]).mapInArrow(tidied(_segments(k)), "id long, p1 long, frag int, seg array<long>"), f"{tag}-segments")
         counted = count_overlaps(open_.select("a", "ia", "pa", "b", "ib", "pb"), segments)
-        held = open_.join(counted, ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
+        held = counted.join(light(open_.select("a", "b", "n", "m")), ["a", "b"]).where(f"100 * overlap >= {percent} * (n + m - overlap)")
         out = scratch.put(held.select("a", "b").union(close.where("equal").select("a", "b")), tag)
-        scratch.drop(close, wanted, segments)
+        scratch.drop(near, close, wanted, segments)
         return out
 
     copies = feats.where("signed").join(sets.where("rows > 1"), keys).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
 
     def placed(df: DataFrame, row: str, name: str) -> DataFrame:
-        return df.join(label.select(F.col("node").alias(row), F.col("component").alias("_c")), row, "left").withColumn(name, F.coalesce("_c", row)).drop("_c")
+        return df.join(light(label.select(F.col("node").alias(row), F.col("component").alias("_c"))), row, "left").withColumn(name, F.coalesce("_c", row)).drop("_c")
 
     def crossing(tag: str) -> DataFrame:
         """Ties whose ends are not in one component."""
@@ -394,74 +412,77 @@ def jaccard_components(
     nearest = scratch.put(nearest, "nearest")
     linked = [verify(nearest, "links"), scratch.put(copies, "copies")]
     scratch.drop(nearest)
-    links = linked[0].union(linked[1])
-    label = components(links, scratch)
+    label = components(linked[0].union(linked[1]), scratch)
     cross = crossing("other-ties")
     if cross.limit(1).count():
         others = verify(cross, "other-links")
         linked.append(others)
         if others.limit(1).count():
-            links = links.union(others)
-            label = components(links, scratch)
+            label = merged(label, others, scratch)
             scratch.drop(cross)
             cross = crossing("cross")
     scratch.drop(pairs)
     if cross.limit(1).count():
         ends = cross.select(F.col("a").alias("hub"), F.col("b").alias("row"))
         open_sigs = scratch.put(pick(ties, ends, ["row", "hub"]).select("sig").distinct(), "open")
-        tied = scratch.put(pick(ties, open_sigs, ["sig"]), "tied")
-        scratch.drop(ties, open_sigs)
-        members = tied.select("sig", "row").union(tied.select("sig", F.col("hub").alias("row"))).distinct()
+        tied = pick(ties, open_sigs, ["sig"])
+        members = scratch.put(tied.select("sig", "row").union(tied.select("sig", F.col("hub").alias("row"))).distinct(), "members")
+        scratch.drop(*parts, open_sigs)
         phase = F.col("sig").bitwiseAND(PHASES - 1)
         own = members.groupBy("row", phase.alias("phase")).agg(F.count("*").alias("of"))
-        fit = feats.select("row", "n", "sk", "needs").join(own, "row").withColumn("need", F.element_at("needs", F.col("phase").cast("int") + 1)).where("of >= need")
-        fit = scratch.put(fit.select("row", "phase", "n", "sk", "of", "need"), "fit")
-        kept = scratch.put(members.withColumn("phase", phase).join(fit.select("row", "phase", "of", "need"), ["row", "phase"]), "kept")
-        scratch.drop(tied)
+        fit = feats.select("row", "needs").join(own, "row").withColumn("need", F.element_at("needs", F.col("phase").cast("int") + 1)).where("of >= need")
+        fit = scratch.put(fit.select("row", "phase", "of", "need"), "fit")
+        kept = scratch.put(members.withColumn("phase", phase).join(light(fit), ["row", "phase"]), "kept")
+        scratch.drop(members)
         often = kept.groupBy("sig").agg(F.count("*").alias("often"))
         rarest = F.row_number().over(Window.partitionBy("row", "phase").orderBy("often", "sig"))
-        prefix = kept.join(often, "sig").withColumn("place", rarest).where("place <= of - need + 1").select("sig", "row", "phase")
-        prefix = scratch.put(prefix.join(fit.select("row", "phase", F.struct("n", "sk").alias("f")), ["row", "phase"]), "prefix")
-        scratch.drop(kept, fit)
-
-        def still_open(table: DataFrame) -> DataFrame:
-            """The prefix of signatures whose documents are in several components by now; it stands for ``table``, which goes."""
-            now = placed(table.select("sig", "row", "phase", "f"), "row", "component")
-            sizes = now.groupBy("sig").agg(F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several")).where("several")
-            made = scratch.put(now.join(sizes.select("sig", "b"), "sig"), "open-prefix")
-            scratch.drop(table)
-            return made
-
-        prefix = still_open(prefix)
-        for seed in range(HUBS):  # each time another document is held against the others of its signatures
-            hubs = prefix.groupBy("sig").agg(F.max_by(F.struct("row", "component", "f"), F.xxhash64("row", F.lit(seed))).alias("h"))
-            met = prefix.join(hubs, "sig").withColumn("hf", F.col("h.f")).where(f"component <> h.component and {_apart('f', 'hf', percent)}")
-            asked = met.select(F.least("row", "h.row").alias("a"), F.greatest("row", "h.row").alias("b")).distinct()
-            asked = scratch.put(asked, "hubs")
-            found = verify(asked, "hub-links")
-            scratch.drop(asked)
+        prefix = scratch.put(kept.join(often, "sig").withColumn("place", rarest).where("place <= of - need + 1").select("sig", "row"), "prefix")
+        scratch.drop(kept)
+        some = scratch.put(fit.select("row").distinct(), "some")
+        facts = scratch.put(pick(feats, some, ["row"]).select("row", F.struct("n", _short(percent)).alias("f")), "facts")
+        scratch.drop(fit, some)
+
+        def still_open() -> DataFrame:
+            """Signatures of the prefix whose documents are in several components by now, how many those are, and two of them by random order."""
+            place = F.struct(F.xxhash64("row").alias("h"), "row", "component")
+            held = placed(prefix, "row", "component").groupBy("sig").agg(
+                F.count("*").alias("b"), (F.min("component") < F.max("component")).alias("several"), F.min(place).alias("x"), F.max(place).alias("y")
+            )
+            return scratch.put(held.where("several").select("sig", "b", "x", "y"), "open-sigs")
+
+        sigs = still_open()
+        large = scratch.put(sigs.where(F.col("b") > LARGE).select("sig", "x", "y"), "large")
+        if large.limit(1).count():
+            met = placed(prefix.join(light(large), "sig"), "row", "component").where("component <> x.component or component <> y.component")
+            met = met.select("row", F.array("x.row", "y.row").alias("hubs")).distinct().select("row", F.explode("hubs").alias("hub")).where("row <> hub")
+            asked = scratch.put(met.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct(), "hubs")
+            apart = scratch.put(placed(placed(asked, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), "hubs")
+            found = verify(apart, "hub-links")
+            scratch.drop(asked, apart)
             linked.append(found)
-            if found.limit(1).count() == 0:
-                break
-            links = links.union(found)
-            label = components(links, scratch)
-            prefix = still_open(prefix)
+            if found.limit(1).count():
+                label = merged(label, found, scratch)
+                scratch.drop(sigs)
+                sigs = still_open()
+        # what a comparison needs goes to each signature that is still open, once
+        left = scratch.put(placed(prefix.join(light(sigs.select("sig", "b")), "sig"), "row", "component"), "open-prefix")
+        scratch.drop(prefix, sigs, large)
+        left = left.join(light(facts), "row")
         blocks = F.ceil(F.col("b") / BUCKET).cast("int")
         side = F.pmod(F.xxhash64("row"), blocks).cast("int")
-        dealt = prefix.select("sig", "row", "component", "f", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = left.select("sig", "row", "component", "f", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         dealt = dealt.withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
         x, y = (dealt.select("sig", "bi", "bj", *[F.col(c).alias(f"{c}_{i}") for c in ("row", "component", "f", "side")]) for i in "xy")
         apart = f"row_x < row_y and component_x <> component_y and (bi = bj or side_x <> side_y) and {_apart('f_x', 'f_y', percent)}"
         more = x.join(y, ["sig", "bi", "bj"]).where(apart).select(F.col("row_x").alias("a"), F.col("row_y").alias("b")).distinct()
         asked = scratch.put(more, "more")
-        scratch.drop(prefix)
         more = verify(asked, "more-links")
-        scratch.drop(asked)
+        scratch.drop(asked, facts)
         linked.append(more)
         if more.limit(1).count():
-            label = components(links.union(more), scratch)
+            label = merged(label, more, scratch)
     else:
-        scratch.drop(ties)
+        scratch.drop(*parts)
     scratch.drop(cross, *linked)
     named = placed(sets.withColumnRenamed("rep", "row"), "row", "component")
     least = named.groupBy("component").agg(F.min("least").alias("least_of"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.sources.scratch import Scratch
+from skeinflow.sources.scratch import Scratch, light
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -21,14 +21,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.put(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = scratch.put(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
-        near = edges.join(label, edges.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
+        few = light(label)
+        near = edges.join(few, edges.b == few.node).groupBy("a").agg(F.min("component").alias("near"))  # every node is the start of an edge
         hooked = scratch.put(
-            label.join(near, label.node == near.a, "left").select(
+            near.join(few, near.a == few.node).select(
                 "node", F.least("component", "near").alias("component"), F.col("component").alias("before")
             ),
             "hooked",
         )
-        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        up = light(hooked.select(F.col("node").alias("component"), F.col("component").alias("up")))
         jumped = scratch.put(
             hooked.join(up, "component", "left").select(
                 "node", F.coalesce("up", "component").alias("component"), "before"
@@ -43,6 +44,20 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return label.select("node", "component")
 
 
+def merged(label: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``label`` (node, component), which is written, after more links (a, b).
+
+    Only components that a link joins to another are nodes of the rounds.
+    """
+    ends = links.select("a", "b")
+    for c in "ab":
+        ends = ends.join(light(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))), c, "left").withColumn(c, F.coalesce(f"c{c}", c)).drop(f"c{c}")
+    joined = components(ends, scratch)
+    moved = label.join(light(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left")
+    new = joined.join(label.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.put(moved.select("node", F.coalesce("to", "component").alias("component")).union(new), "labels").select("node", "component")
+
+
 def _spread(edges: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) with the least label of all nodes that lead to a node along ``edges`` (a, b), its own included."""
     while True:

@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pytest
 
+from skeinflow.llm import vertical_join
+from skeinflow.llm._graph import components, merged
 from skeinflow.llm.kd_search import chi_square_point, nearest
 from skeinflow.llm.lattice_dedup import decode_e8, near_duplicates
 from skeinflow.llm.vertical_join import jaccard_components, keep_one, sign
@@ -56,6 +58,43 @@ def test_jaccard_components(spark, k, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_of_shared_passages_in_slices(spark, monkeypatch):
+    """Signatures meet slice by slice, and what is compared at last goes to its signatures once, whatever hubs find."""
+    rng = random.Random(4)
+    passages = [[f"p{i}-{j}" for j in range(60)] for i in range(4)]
+    texts = {}
+    for i in range(160):
+        own = [f"q{i % 40}-{j}" for j in range(45)]
+        words = own[:20] + passages[i % 4] + own[20:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(sets, links)
+    made, put = [], vertical_join.Scratch.put
+    monkeypatch.setattr(vertical_join.Scratch, "put", lambda self, df, tag: made.append(tag) or put(self, df, tag))
+    monkeypatch.setattr(vertical_join, "WHOLE", 0, raising=False)
+    monkeypatch.setattr(vertical_join, "LARGE", 2, raising=False)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard_components(df, k=5, percent=80).collect()} == want
+    assert made.count("ties") == 4
+    assert made.count("open-prefix") == 1 and made.count("hub-links") == 1
+
+
+def test_merged_components(spark):
+    """More links join components as what they are: of 200 nodes in two chains, one link makes two nodes."""
+    made = []
+    scratch = vertical_join.Scratch(spark, "test")
+    label = components(spark.createDataFrame([(i, i + 2) for i in range(200)], "a long, b long"), scratch)
+    put = scratch.put
+    scratch.put = lambda df, tag: made.append((tag, out := put(df, tag), out.count())) or out
+    got = merged(label, spark.createDataFrame([(57, 20), (300, 57), (401, 400), (3, 5)], "a long, b long"), scratch)
+    want = components_of([*range(202), 300, 400, 401], [*((i, i + 2) for i in range(200)), (57, 20), (300, 57), (401, 400)])
+    assert {r.node: r.component for r in got.collect()} == want
+    assert max(n for tag, _, n in made if tag == "edges") == 6
+
+
 def test_small_sets_with_empty_fragments_share_a_signature():
     rng = np.random.default_rng(6)
 
