@@ -16,6 +16,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from skeinflow.llm._bytes import pieces
 from skeinflow.llm._io import Scratch, give_back, tidied
 
 OPEN, CUT, MERGE = 32, 64, 64
-#: Chunks of text whose ids a worker remembers.
-REMEMBER = 150_000
+#: Chunks of text whose ids a worker remembers as recent; as many that came before may stay beside them.
+REMEMBER = 400_000
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space that may join a chunk to the next; texts with it are tokenised whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -55,6 +56,7 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.piece = _piece_encoder(json.loads(self.tokenizer.to_str()))
         self.ids: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def _one(self, chunk: str) -> list[int] | None:
         lead, word = ("", chunk) if chunk[0] not in " \n" else (chunk[0], chunk[1:])
@@ -68,9 +70,12 @@ class ChunkTokenizer:
     def _learn(self, chunks: list[str]) -> None:
         hard = []
         for chunk in chunks:
+            if chunk in self.older:
+                self.ids[chunk] = self.older[chunk]
+                continue
             ids = self._one(chunk) if self.piece else None
             if ids is not None:
-                self.ids[chunk] = np.array(ids, np.uint32).tobytes()
+                self.ids[chunk] = array("I", ids).tobytes()
             elif _ODD.search(chunk):
                 self.ids[chunk] = None
             else:
@@ -78,12 +83,12 @@ class ChunkTokenizer:
         for at in range(0, len(hard), 10_000):
             some = hard[at : at + 10_000]
             for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.ids[chunk] = np.array(got.ids, np.uint32).tobytes()
+                self.ids[chunk] = array("I", got.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        if len(self.ids) > REMEMBER:
-            self.ids.clear()
+        if len(self.ids) > REMEMBER:  # chunks that come again move on, so common ones are never learnt anew
+            self.older, self.ids = self.ids, {}
         cut = [_CHUNK.findall(t) for t in texts]
         self._learn([c for c in set().union(*cut) if c not in self.ids])
         look, out = self.ids.__getitem__, []

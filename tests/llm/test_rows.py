@@ -298,3 +298,21 @@ def test_memory_of_one_very_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150 << 20
+
+
+def test_tokenizer_keeps_common_chunks(monkeypatch):
+    """What comes again is not learnt again when the memory is full."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from skeinflow.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "REMEMBER", 2)
+    made, learnt = packing.ChunkTokenizer(path), []
+    one = made._one
+    monkeypatch.setattr(made, "_one", lambda chunk: learnt.append(chunk) or one(chunk))
+    texts = [f"the word, the x{c}\nthe 12 é" for c in "abcdef"]
+    got = [made.encode([t])[0].tolist() for t in texts]
+    assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert learnt.count(" the") == 1 and len(made.ids) + len(made.older) < 20
