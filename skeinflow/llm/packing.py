@@ -21,32 +21,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinflow.llm._bytes import pieces
+from skeinflow.llm._bytes import buffers
 from skeinflow.llm._io import Scratch, give_back, tidied
 
 OPEN, CUT, MERGE = 32, 64, 64
 #: Chunks of text whose ids a worker remembers as recent; as many that came before may stay beside them.
 REMEMBER = 400_000
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Bytes of text that are looked up at once.
+BLOCK = 1 << 22
+_SEP, _LETTER, _DIGIT, _PUNCT, _QUOTE = 1, 2, 4, 8, 16
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[0x20, 0x0A]] = _SEP
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _PUNCT
+_CLASS[39] = _QUOTE
+#: Whether a chunk ends between bytes of two classes; an apostrophe may start a contraction.
+_ENDS = np.zeros((32, 32), bool)
+_ENDS[:, _SEP] = True
+_ENDS[_SEP] = False
+_ENDS[_LETTER, [_DIGIT, _PUNCT, _QUOTE]] = True
+_ENDS[_DIGIT, [_LETTER, _PUNCT, _QUOTE]] = True
+_ENDS[_PUNCT, [_LETTER, _DIGIT]] = True
+_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
 #: White space that may join a chunk to the next; texts with it are tokenised whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _known: dict = {}
 
 
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Where chunks of UTF-8 text may be cut, besides 0: before a space or newline after anything else, and between
+    letters (ASCII, Latin-1 and Latin Extended A and B), ASCII digits and ASCII punctuation, but not after an apostrophe."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC9))
+    lead = lead[(data[lead] != 0xC3) | ((data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7))]  # the signs times and divided by
+    kind[lead] = kind[lead + 1] = _LETTER
+    at = np.flatnonzero(kind[1:] != kind[:-1])
+    return at[_ENDS[kind[at], kind[at + 1]]] + 1
+
+
 class ChunkTokenizer:
     """Ids of whole texts from a byte-level BPE file of the ``tokenizers`` library.
 
-    Its pre-tokeniser never joins what stands before a space or newline to it, so
-    texts are cut there and each distinct chunk is encoded once.  Texts with
-    other white space are encoded whole.  A chunk that is one word, perhaps with
-    a space or newline before and punctuation after, splits into pieces without
-    a pattern; tiktoken applies the file's own merges to those, four times faster
-    than a call of ``tokenizers`` (not if the file's ids are not in the order of
-    its merges).
+    Its pre-tokeniser never joins what ``chunk_starts`` parts, so texts are cut
+    there, Arrow finds the distinct chunks of each ``BLOCK`` bytes, and each
+    chunk is encoded once.  Texts with other white space or with added tokens
+    are encoded whole.  A chunk of letters, digits or marks alone, perhaps with
+    white space before, splits into pieces without a pattern; tiktoken applies
+    the file's own merges to those, four times faster than a call of
+    ``tokenizers`` (not if the file's ids are not in the order of its merges).
     """
 
     def __init__(self, path: str):
@@ -54,30 +82,43 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.piece = _piece_encoder(json.loads(self.tokenizer.to_str()))
-        self.ids: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.piece = _piece_encoder(spec)
+        self.added = [t["content"] for t in spec["added_tokens"] if t["content"]]
+        #: Ids of chunks, none for those with odd white space.
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _one(self, chunk: str) -> list[int] | None:
-        lead, word = ("", chunk) if chunk[0] not in " \n" else (chunk[0], chunk[1:])
-        core = word.rstrip(".,;:!?|-")
-        if not core.isalpha():
-            return None
-        tail = word[len(core) :]
-        ids = self.piece(lead + core) if lead != "\n" else self.piece("\n") + self.piece(core)
-        return ids + self.piece(tail) if tail else ids
+        if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha():
+            return self.piece(chunk)
+        word = chunk.lstrip(" \n")
+        core = word
+        if not word.isalpha() and not (word.isascii() and (word.isdigit() or _MARKS.fullmatch(word))):
+            core = word.rstrip(".,;:!?|-")
+            if not core.isalpha():
+                return None if word else self.piece(chunk)
+        lead = chunk[: len(chunk) - len(word)]
+        if lead[-1:] == "\n":
+            ids = self.piece("\n") + self.piece(core)
+        else:
+            ids = self.piece(lead[-1:] + core)
+        if len(lead) > 1:
+            ids = self.piece(lead[:-1]) + ids
+        return ids + self.piece(word[len(core) :]) if len(core) < len(word) else ids
 
     def _learn(self, chunks: list[str]) -> None:
         hard = []
         for chunk in chunks:
-            if chunk in self.older:
-                self.ids[chunk] = self.older[chunk]
+            known = self.older.get(chunk)
+            if known is not None:
+                self.ids[chunk] = known
                 continue
             ids = self._one(chunk) if self.piece else None
             if ids is not None:
                 self.ids[chunk] = array("I", ids).tobytes()
             elif _ODD.search(chunk):
-                self.ids[chunk] = None
+                self.ids[chunk] = b""
             else:
                 hard.append(chunk)
         for at in range(0, len(hard), 10_000):
@@ -85,19 +126,56 @@ class ChunkTokenizer:
             for chunk, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.ids[chunk] = array("I", got.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, little-endian unsigned 32-bit."""
+    def _look_up(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, one after the other, and how many each has."""
         if len(self.ids) > REMEMBER:  # chunks that come again move on, so common ones are never learnt anew
             self.older, self.ids = self.ids, {}
-        cut = [_CHUNK.findall(t) for t in texts]
-        self._learn([c for c in set().union(*cut) if c not in self.ids])
-        look, out = self.ids.__getitem__, []
-        for text, chunks in zip(texts, cut, strict=True):
-            try:
-                got = np.frombuffer(b"".join(map(look, chunks)), "<u4")
-            except TypeError:  # a chunk with odd white space
-                got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            out.append(got)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data)).dictionary_encode()
+        chunks, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        got = list(map(self.ids.get, chunks))
+        new = [i for i, x in enumerate(got) if x is None]
+        self._learn([chunks[i] for i in new])
+        for i in new:
+            got[i] = self.ids[chunks[i]]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        n = sizes[index]
+        at = np.repeat((np.cumsum(sizes) - sizes)[index] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(got), "<u4")[at], n
+
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """The ids of each text (none for a null), little-endian unsigned 32-bit."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        data, off = buffers(column)
+        end, at, size = len(data), 0, BLOCK
+        made, before, whole = [np.zeros(0, "<u4")], np.zeros(len(off), np.int64), set()
+        while at < end:
+            to = min(end, at + size)
+            first = np.zeros(to - at, bool)
+            first[chunk_starts(data[at:to])] = True
+            first[off[slice(*np.searchsorted(off, (at, to)))] - at] = True
+            first[0] = True
+            starts = np.flatnonzero(first)
+            if to < end:  # the last chunk may go on
+                if len(starts) == 1:
+                    size *= 2
+                    continue
+                to, starts = at + int(starts[-1]), starts[:-1]
+            ids, n = self._look_up(data[at:to], starts)
+            a, b = np.searchsorted(off, (at, to))
+            total = before[-1] + np.append(0, np.cumsum(n))
+            before[a:b] = total[np.searchsorted(starts, off[a:b] - at)]
+            before[b:] = total[-1]
+            whole.update((np.searchsorted(off, starts[n == 0] + at, "right") - 1).tolist())
+            made.append(ids)
+            at, size = to, BLOCK
+        for token in self.added:
+            whole.update(np.flatnonzero(pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)).tolist())
+        ids = np.concatenate(made)
+        out = [ids[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
+        for row in whole:
+            out[row] = np.array(self.tokenizer.encode_batch_fast([column[row].as_py()], add_special_tokens=False)[0].ids, "<u4")
         return out
 
 
@@ -192,23 +270,20 @@ def _pack(path: str, end_id: int, size: int, keep_ids: bool):
         number = TaskContext.get().partitionId() << 36
         row, done = number, []
         for batch in batches:
-            for a, b in pieces(batch.column(1), 250):
-                part = batch.slice(a, b - a)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    ids = ids.tobytes() + end_id.to_bytes(4, "little")
-                    total, start = len(ids) // 4, 0
-                    piece = (doc, 0, total, (row, ids, total))
-                    row += 1
-                    while piece[2] >= size:
-                        full, piece = _cut(piece, size)
-                        done.append((number, [size, [full]], True))
-                        number += 1
-                    for w in packer.place(piece):
-                        done.append((number, w, True))
-                        number += 1
-                yield _rows(done, keep_ids)
-                done = []
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = ids.tobytes() + end_id.to_bytes(4, "little")
+                total = len(ids) // 4
+                piece = (doc, 0, total, (row, ids, total))
+                row += 1
+                while piece[2] >= size:
+                    full, piece = _cut(piece, size)
+                    done.append((number, [size, [full]], True))
+                    number += 1
+                for w in packer.place(piece):
+                    done.append((number, w, True))
+                    number += 1
+            yield _rows(done, keep_ids)
+            done = []
         for w in packer.open:
             done.append((number, w, False))
             number += 1

@@ -316,3 +316,34 @@ def test_tokenizer_keeps_common_chunks(monkeypatch):
     got = [made.encode([t])[0].tolist() for t in texts]
     assert got == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
     assert learnt.count(" the") == 1 and len(made.ids) + len(made.older) < 20
+
+
+def test_tokenizer_learns_words_without_their_marks():
+    """A word is learnt once, whatever follows it."""
+    import public_tokenizers
+
+    from skeinflow.llm import packing
+
+    made = packing.ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"w{a}{b}é" for a in "abcdefghij" for b in "abcdefghij"]
+    texts = ["".join(f" {w}{mark}" for w in words) for mark in [",", ".", "***", ",###", "'s", "|x", "7%"]]
+    want = [x.ids for x in made.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in made.encode(texts)] == want
+    assert len(made.ids) < len(words) + 20
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 22])
+def test_tokenizer_cuts_where_the_library_does(monkeypatch, block):
+    """Odd texts have the library's ids, also where a block ends within them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from skeinflow.llm import packing
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    monkeypatch.setattr(packing, "BLOCK", block, raising=False)
+    made, plain = packing.ChunkTokenizer(path), Tokenizer.from_file(path)
+    parts = [*"ab'. \n,(-|5éßĀ×÷ª…日\t\r\x1c\x85\x00😀", "\xa0", "́", "<|endoftext|>", " the", "'ll", "don't", "  ", "\n\n"]
+    texts = ["".join(rng.choices(rng.sample(parts, 8), k=rng.choice([0, 1, 3, 9, 40]))) for _ in range(600)]
+    got = made.encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
