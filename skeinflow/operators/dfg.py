@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.operators.order import in_order
+from skeinflow.operators.order import in_order, steps_of
 from skeinflow.sources.scratch import keep
 
 #: Activities of a log; its graph has at most the square of this many rows, which are what reaches the driver.
@@ -14,8 +14,7 @@ MOST_ACTIVITIES = 1000
 
 def successors(relations: DataFrame, once: bool = False) -> DataFrame:
     """(oid, otype, source, target) for consecutive events of an object, in order of (ts, eid); see ``in_order``."""
-    steps = in_order(relations, once=once).where("pos > 1 and activity is not null")
-    return steps.select("oid", "otype", F.col("before.activity").alias("source"), F.col("activity").alias("target"))
+    return steps_of(in_order(relations, once=once))
 
 
 def endpoints(relations: DataFrame, by_type: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.sources.scratch import keep
+from skeinflow.sources.scratch import Scratch, keep
 
 #: Events of an object from which it is dealt into ranges.
 HOT = 200_000
@@ -47,21 +47,23 @@ def changed(was: Column, now: Column) -> Column:
     return ~was["activity"].eqNullSafe(now["activity"])
 
 
-def in_order(relations: DataFrame, keys: tuple[str, ...] = ("oid",), new: Callable[[Column, Column], Column] = changed, once: bool = False, hot: int | None = None) -> DataFrame:
+def in_order(relations: DataFrame, keys: tuple[str, ...] = ("oid",), new: Callable[[Column, Column], Column] = changed, once: bool = False, hot: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """keys, otype, eid, ts, activity, before, pos and run of each event of each object, in order of (ts, eid).
 
     ``before`` is the (activity, ts) of the event before, null for the first;
     ``pos`` counts events from 1; ``run`` counts those that are ``new`` against the
     one before, the first included.  With ``once``, of several rows of an object
     and an event the one with the smallest (ts, activity) counts.  Objects with
-    more than ``hot`` events are dealt into ranges, which are then stitched.
+    more than ``hot`` events are dealt into ranges, which are then stitched;
+    ``scratch`` says where those are written.
     """
     hot = HOT if hot is None else hot
+    put = scratch.put if scratch is not None else keep
     keys = list(keys)
     rows = relations.select("oid", "otype", "eid", "ts", "activity")
     many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys)
     spread = many.limit(1).count() > 0
-    many = keep(many, "hot") if spread else many  # at most one for each ``hot`` events
+    many = put(many, "hot") if spread else many  # at most one for each ``hot`` events
     few = rows.join(F.broadcast(many), keys, "left_anti") if spread else rows
 
     def single(x: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def in_order(relations: DataFrame, keys: tuple[str, ...] = ("oid",), new: Callab
     plain = numbered(single(few.repartition(*keys)), keys).select(*names)
     if not spread:
         return plain
-    part = keep(numbered(ranged(single(rows.join(F.broadcast(many), keys, "left_semi")), [*keys, "ts", "eid"]), [*keys, "_range"]), "ranges")
+    part = put(numbered(ranged(single(rows.join(F.broadcast(many), keys, "left_semi")), [*keys, "ts", "eid"]), [*keys, "_range"]), "ranges")
     item = F.struct("activity", "ts")
     facts = part.groupBy(*keys, "_range").agg(
         F.count("*").alias("n"), F.max("run").alias("runs"), F.min_by(item, "pos").alias("first"), F.max_by(item, "pos").alias("last")
@@ -96,3 +98,9 @@ def in_order(relations: DataFrame, keys: tuple[str, ...] = ("oid",), new: Callab
         (F.col("pos") + F.col("_pos")).alias("pos"), (F.col("run") + F.col("_run")).alias("run"),
     )
     return plain.union(stitched)
+
+
+def steps_of(ordered: DataFrame) -> DataFrame:
+    """(oid, otype, source, target) for the consecutive events of ``in_order``."""
+    steps = ordered.where("pos > 1 and activity is not null")
+    return steps.select("oid", "otype", F.col("before.activity").alias("source"), F.col("activity").alias("target"))

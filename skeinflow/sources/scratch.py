@@ -57,12 +57,19 @@ class Scratch:
         out._scratch_path = where
         return out
 
+    def remove(self, where: str) -> None:
+        fs, path = self._fs(where)
+        fs.delete(path, True)
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             where = getattr(df, "_scratch_path", None)
             if where:
-                fs, path = self._fs(where)
-                fs.delete(path, True)
+                self.remove(where)
+
+    def clear(self) -> None:
+        """Remove all its tables at once."""
+        self.remove(self.base)
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:

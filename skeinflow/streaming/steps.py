@@ -1,94 +1,77 @@
 """Steps between events of an object, counted as they arrive.
 
-The state of an object holds its events of the last ``delay`` seconds before its
-newest one and the event before those.  An event that comes out of order within
-that span takes back the step it splits, so after every micro-batch the
-increments so far sum to the counts of a batch run over what has arrived.  An
-event that belongs before the span cannot be placed any more: it comes out as a
-row that says so and is in no count.  Work on one object's events of a
-micro-batch goes chunk by chunk through one task.
+A table beside the counts holds each object's events of the last ``delay``
+seconds before its newest one and the event before those.  A micro-batch is laid
+over it and counted as a batch run counts, so after every micro-batch the
+increments so far sum to the counts of a batch run over what has arrived; an
+event that comes out of order within that span takes back the step it splits.
+An event that belongs before the span as the last micro-batch left it cannot be
+placed any more: it comes out as a row that says so and is in no count.  Within
+a micro-batch events may come in any order.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-_OUT = "otype string, source string, target string, cnt long, late boolean"
-_STATE = "at array<long>, eid array<string>, activity array<string>, otype array<string>, cut boolean"
-
-
-def _steps(events: list[tuple]) -> Counter:
-    """Counts of (otype, source, target); an event is (at, eid, activity, otype)."""
-    return Counter((b[3], a[2], b[2]) for a, b in zip(events, events[1:]) if b[2] is not None)
-
-
-def _grow(delay: int):
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        events, cut = [], False
-        if state.exists:
-            *columns, cut = state.get
-            events = list(zip(*columns))
-        for chunk in chunks:
-            before, late = _steps(events), Counter()
-            held = {e[1]: e for e in events}
-            first = events[0][:2] if cut else None
-            for e in zip(chunk["at"].tolist(), chunk["eid"].tolist(), chunk["activity"].tolist(), chunk["otype"].tolist()):
-                e = (e[0], e[1], *(None if pd.isna(x) else x for x in e[2:]))
-                if (known := held.get(e[1])) is not None:  # an event of an object counts once, by its smallest row
-                    if (known[0], known[2] is not None, known[2] or "") <= (e[0], e[2] is not None, e[2] or ""):
-                        continue
-                if first is not None and e[:2] <= first:
-                    late[e[3], None, e[2]] += 1
-                else:
-                    held[e[1]] = e
-            events = sorted(held.values(), key=lambda e: e[:2])
-            after = _steps(events)
-            after.subtract(before)
-            rows = [(*k, n, False) for k, n in after.items() if n] + [(*k, n, True) for k, n in late.items()]
-            yield pd.DataFrame(rows, columns=["otype", "source", "target", "cnt", "late"])
-            oldest = events[-1][0] - delay if events else 0
-            gone = sum(e[0] < oldest for e in events)
-            if gone > 1:  # the last of those before the span stays
-                events, cut = events[gone - 1 :], True
-        state.update((*(list(c) for c in zip(*events)), cut) if events else ([], [], [], [], cut))
-
-    return run
-
-
-def increments(relations: DataFrame, delay: int) -> DataFrame:
-    """(otype, source, target, cnt, late) of a stream of relations: changes of the counts of steps, and late events as steps from null.
 
-    ``delay`` is in seconds.  Within it events may come in any order, and several
-    rows of an object and an event count once, by the smallest (ts, activity).  A
-    null ts comes before all others; rows with a null oid are left out, a null
-    eid is taken as an empty one.
-    """
-    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
-    rows = relations.where("oid is not null").select(
-        "oid", F.coalesce(at, F.lit(-(1 << 62))).alias("at"), F.coalesce("eid", F.lit("")).alias("eid"), "activity", "otype"
-    )
-    return rows.groupBy("oid").applyInPandasWithState(_grow(delay * 1_000_000), _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+from skeinflow.operators.order import in_order, steps_of
+from skeinflow.sources.scratch import Scratch
+
+_ROW = "oid string, otype string, eid string, ts timestamp_ntz, activity string"
+#: The first event held of an object that has let earlier ones go.
+_EDGE = "oid string, edge struct<ts: timestamp_ntz, eid: string, activity: string>"
+
+
+def _arrived(relations: DataFrame) -> DataFrame:
+    return relations.where("oid is not null").select("oid", "otype", F.coalesce("eid", F.lit("")).alias("eid"), F.col("ts").cast("timestamp_ntz").alias("ts"), "activity")
+
+
+def _counted(ordered: DataFrame) -> DataFrame:
+    return steps_of(ordered).groupBy("otype", "source", "target").agg(F.count("*").alias("cnt"))
 
 
 def write_counts(relations: DataFrame, path: str, delay: int, **trigger) -> StreamingQuery:
-    """Start a query that adds the increments of each micro-batch, summed, to the table at ``path``.
+    """Start a query that adds the increments of each micro-batch of relations to the table at ``path``.
 
-    A micro-batch that runs again after a failure writes over what it wrote; the
+    ``delay`` is in seconds.  Within it events may come in any order, and several
+    rows of an object and an event count once, by the smallest (ts, activity).  A
+    null ts comes before all others; rows with a null oid are left out, a null
+    eid is taken as an empty one.  A micro-batch that runs again after a failure
+    starts from what the one before left and writes over what it wrote; the
     stream's own checkpoint lies beside the table.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy("otype", "source", "target", "late").agg(F.sum("cnt").alias("cnt")).where("cnt <> 0")
-        summed.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
-
-    stream = increments(relations, delay).writeStream.outputMode("update").foreachBatch(add)
+        spark, scratch = batch.sparkSession, Scratch(batch.sparkSession, "stream")
+
+        def left(kind: str, schema: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{path}/{kind}/batch={number - 1}") if number else spark.createDataFrame([], schema)
+
+        held, edges = left("held", _ROW), left("edges", _EDGE)
+        rows = scratch.put(_arrived(batch).join(edges, "oid", "left").withColumn("late", F.coalesce(F.struct("ts", "eid", "activity") < F.col("edge"), F.lit(False))), "arrived")
+        fresh, late = rows.where("not late").drop("edge", "late"), rows.where("late")
+        before = in_order(held, scratch=scratch)
+        ordered = scratch.put(in_order(held.unionByName(fresh), once=True, scratch=scratch), "ordered")
+        summed = _counted(ordered).union(_counted(before).withColumn("cnt", -F.col("cnt"))).groupBy("otype", "source", "target").agg(F.sum("cnt").alias("cnt"))
+        missed = late.groupBy("otype", F.lit(None).cast("string").alias("source"), F.col("activity").alias("target")).agg(F.count("*").alias("cnt"))
+        made = summed.withColumn("late", F.lit(False)).union(missed.withColumn("late", F.lit(True))).where("cnt <> 0")
+
+        newest = ordered.groupBy("oid").agg(F.max("ts").alias("newest"))
+        old = F.col("newest").isNotNull() & F.coalesce(F.col("ts") < F.col("newest") - F.make_dt_interval(secs=F.lit(delay)), F.lit(True))
+        gone = ordered.join(newest, "oid").where(old).groupBy("oid").agg(F.max("pos").alias("gone")).where("gone > 1")  # the last of those before the span stays
+        gone = scratch.put(gone, "gone")
+        stay = ordered.join(gone, "oid", "left").where("pos >= coalesce(gone, 1)")
+        cut = stay.where("pos = gone").select("oid", F.struct("ts", "eid", "activity").alias("edge"))
+        stay.select("oid", "otype", "eid", "ts", "activity").write.mode("overwrite").parquet(f"{path}/held/batch={number}")
+        edges.join(gone, "oid", "left_anti").union(cut).write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
+        made.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        scratch.clear()
+        for kind in ("held", "edges"):  # what the micro-batch before last left is not asked for again
+            scratch.remove(f"{path}/{kind}/batch={number - 2}")
+
+    stream = relations.writeStream.foreachBatch(add)
     return stream.option("checkpointLocation", f"{path}/checkpoint").trigger(**trigger or {"availableNow": True}).start()
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from skeinflow.operators import order
 from skeinflow.operators.dfg import dfg_by_type
 from skeinflow.streaming.steps import read_counts, read_late, write_counts
 
@@ -49,3 +50,31 @@ def test_short_delay_in_order_and_late(spark, tmp_path):
     want = dfg_by_type(spark.createDataFrame([*log, near], SCHEMA))
     assert rows(read_counts(spark, f"{tmp_path}/out")) == rows(want)
     assert [tuple(r) for r in read_late(spark, f"{tmp_path}/out").collect()] == [("t", "a", 1)]
+
+
+def test_micro_batch_longer_than_the_delay_in_any_order(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20")  # an object's events would reach Python in many chunks
+    try:
+        rng = random.Random(7)
+        log = [(f"e{i:03}", rng.choice("abc"), T0 + dt.timedelta(seconds=10 * i), f"o{rng.randrange(2)}", "t") for i in range(400)]
+        parts = [log[:300], log[295:] + [("gone", "a", T0 + dt.timedelta(seconds=5), "o1", "t")]]
+        for p in parts:
+            rng.shuffle(p)
+        for _ in arrive(spark, str(tmp_path), parts, 120):
+            pass
+    finally:
+        spark.conf.set(key, before)
+    assert rows(read_counts(spark, f"{tmp_path}/out")) == rows(dfg_by_type(spark.createDataFrame(log, SCHEMA)))
+    assert [tuple(r) for r in read_late(spark, f"{tmp_path}/out").collect()] == [("t", "a", 1)]
+    assert sorted(p.name for p in (tmp_path / "out" / "held").iterdir()) == ["batch=0", "batch=1"]
+
+
+def test_hot_object_over_micro_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order, "HOT", 50)
+    log = [(f"e{i:03}", "abc"[i * i % 7 % 3], T0 + dt.timedelta(seconds=10 * (i // 2)), "o0" if i % 5 else f"o{i % 3}", "t") for i in range(600)]
+    for i in arrive(spark, str(tmp_path), [log[:250], log[240:400], log[400:]], 300):
+        pass
+    assert rows(read_counts(spark, f"{tmp_path}/out")) == rows(dfg_by_type(spark.createDataFrame(log, SCHEMA)))
+    assert read_late(spark, f"{tmp_path}/out").count() == 0
