@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinflow.plans.tree import OPERATORS, TAU
-from skeinflow.sources.scratch import keep
+from skeinflow.sources.scratch import Scratch, keep
 
 COLUMNS = ["tree_id", "node_id", "parent_id", "child_pos", "label"]
 _DOWN = """
@@ -64,13 +64,24 @@ def open_flowers(nodes: DataFrame) -> DataFrame:
     return first.join(names, ["tree_id", "node_id"], "left").select("tree_id", "node_id", F.coalesce("activities", F.array().cast("array<string>")).alias("activities"))
 
 
-def _outermost(found: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes under no top, and (tree_id, top_id, node_id, label) of those under one; of tops within tops the highest counts."""
-    tops = tops.select("tree_id", F.col("node_id").alias("top_id")).distinct()
-    chains = found.select("tree_id", "node_id", F.posexplode("above").alias("_i", "top_id"))
-    under = chains.join(tops, ["tree_id", "top_id"]).groupBy("tree_id", "node_id").agg(F.min_by("top_id", "_i").alias("top_id"))
-    marked = keep(found.select(*COLUMNS).join(under, ["tree_id", "node_id"], "left"), "marked")
-    return marked.where("top_id is null").select(*COLUMNS), marked.where("top_id is not null")
+def _outermost(nodes: DataFrame, tops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes under no top, and (tree_id, top_id, node_id, parent_id, child_pos, label) of those under one; of tops within tops the highest counts.
+
+    A node takes the top of its parent, level by level; each level is written, so
+    what a round shuffles is gone before the next.
+    """
+    scratch = Scratch(nodes.sparkSession, "forest")
+    tops = tops.select("tree_id", "node_id", F.lit(True).alias("_top")).distinct()
+    own = F.when(F.col("_top"), F.col("node_id"))
+    marked = scratch.put(nodes.select(*COLUMNS).join(tops, ["tree_id", "node_id"], "left"), "nodes")
+    below = marked.where("parent_id is not null")
+    levels = [scratch.put(marked.where("parent_id is null").select(*COLUMNS, own.alias("top_id")), "level")]
+    while not levels[-1].isEmpty():
+        up = levels[-1].select("tree_id", F.col("node_id").alias("parent_id"), F.col("top_id").alias("_above"))
+        levels.append(scratch.put(below.join(up, ["tree_id", "parent_id"]).select(*COLUMNS, F.coalesce("_above", own).alias("top_id")), "level"))
+    scratch.drop(marked)
+    found = scratch.read(levels)
+    return found.where("top_id is null").select(*COLUMNS), found.where("top_id is not null")
 
 
 def collapse(nodes: DataFrame, tops: DataFrame) -> DataFrame:
@@ -79,7 +90,7 @@ def collapse(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     The flower keeps the id of the top, its children are named ``id.0``, ``id.1``
     and so on.  Of tops within tops only the highest counts.
     """
-    outside, under = _outermost(placed(nodes), tops)
+    outside, under = _outermost(nodes, tops)
     heads = under.where("node_id = top_id").select("tree_id", "node_id", "parent_id", "child_pos", F.lit("flower").alias("label"))
     inner = under.select(F.col("tree_id"), F.col("parent_id").alias("node_id"))
     leaves = under.join(inner, ["tree_id", "node_id"], "left_anti").where(~F.col("label").isin(*OPERATORS) & (F.lower("label") != TAU))
@@ -99,7 +110,7 @@ def replace_flowers(nodes: DataFrame, names: list[str], new: DataFrame) -> DataF
     whole = new.select("node_id", "parent_id", "child_pos", "label").limit(10_001).collect()
     if len(whole) > 10_000:
         raise ValueError("more than 10,000 nodes in the new tree")
-    found = placed(nodes)
+    found = keep(nodes.select(*COLUMNS), "nodes")
     flowers = found.where("label = 'flower'").select("tree_id", "node_id")
     held = found.select("tree_id", F.col("parent_id").alias("node_id"), F.col("label").alias("name")).join(flowers, ["tree_id", "node_id"], "left_semi")
     held = held.groupBy("tree_id", "node_id").agg(F.array_sort(F.collect_set("name")).alias("held"))

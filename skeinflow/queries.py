@@ -217,6 +217,10 @@ def _tops(nodes: DataFrame) -> DataFrame:
     return nodes.where("node_id = '0.1'")
 
 
+def _collapsed(nodes: DataFrame) -> DataFrame:
+    return N.collapse(nodes, _tops(nodes))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for log in LOGS:
@@ -266,7 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metrics_orders": lambda s, d: metrics(orders(s, d), GIVEN_LOOP),
         "descendants_orders": lambda s, d: N.descendants(order_trees(s, d), _tops(order_trees(s, d))).select("tree_id", "node_id", "depth"),
         "open_flower_orders": lambda s, d: N.open_flowers(order_trees(s, d)).select("tree_id", "node_id", F.array_join("activities", ",").alias("activities")),
-        "collapse_orders": lambda s, d: N.collapse(order_trees(s, d), _tops(order_trees(s, d))),
+        "collapse_orders": lambda s, d: _collapsed(keep(order_trees(s, d), "trees")),
         "replace_flowers_orders": lambda s, d: N.replace_flowers(order_trees(s, d), ["close item", "ship item"], table(s, GIVEN_NEW)),
         "dfg_by_type_stream_clicks": lambda s, d: _streamed(s, d, "clicks"),
         "dfg_by_type_stream_keys": lambda s, d: _streamed(s, d, "keys"),

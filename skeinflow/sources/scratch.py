@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,18 @@ def light(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= FEW else table
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs within go when it has run, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only for a local master that has none."""
     sc = spark.sparkContext
@@ -52,11 +66,16 @@ class Scratch:
 
     def put(self, df: DataFrame, tag: str) -> DataFrame:
         where = self.path(tag)
-        df.write.option("parquet.block.size", GROUP).parquet(where)
+        with lean(self.spark):
+            df.write.option("parquet.block.size", GROUP).option("compression", "zstd").parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._scratch_path = where
         return out
 
+    def read(self, parts: list[DataFrame]) -> DataFrame:
+        """Written tables of one schema as one."""
+        return self.spark.read.schema(parts[0].schema).parquet(*(x._scratch_path for x in parts))
+
     def remove(self, where: str) -> None:
         fs, path = self._fs(where)
         fs.delete(path, True)

@@ -29,9 +29,10 @@ def clicks_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(
-        *[F.min(c).alias(c) for c in ("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")]
-    )
+    """Lines, dealt by order: what follows of an order's lines needs no other shuffle of them."""
+    values = ("l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", *values).repartition("l_orderkey")
+    return lines.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in values])
 
 
 def _line_activity() -> Column:
@@ -68,9 +69,9 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     another one a flower.  Children are placed by their smallest line number.
     """
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("o"), "o_orderkey").alias("tree_id")).distinct()
-    lines = _lines(spark, sf_dir).groupBy(F.concat(F.lit("o"), "l_orderkey").alias("tree_id"), "l_suppkey").agg(
+    lines = _lines(spark, sf_dir).groupBy("l_orderkey", "l_suppkey").agg(
         F.min("l_linenumber").cast("int").alias("pos"), F.array_sort(F.collect_set(_line_activity())).alias("names")
-    ).withColumn("id", F.concat(F.lit("0.1."), "pos"))
+    ).select(F.concat(F.lit("o"), "l_orderkey").alias("tree_id"), "pos", "names", F.concat(F.lit("0.1."), "pos").alias("id"))
 
     def nodes(df: DataFrame, node, parent, pos, label) -> DataFrame:
         return df.select("tree_id", *[c.alias(n) for c, n in zip((node, parent, pos, label), ("node_id", "parent_id", "child_pos", "label"))])
