@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinflow.sources.scratch import Scratch, keep
+from skeinflow.sources.scratch import Scratch, keep, lean
 
 #: Events of an object from which it is dealt into ranges.
 HOT = 200_000
@@ -62,7 +62,8 @@ def in_order(relations: DataFrame, keys: tuple[str, ...] = ("oid",), new: Callab
     keys = list(keys)
     rows = relations.select("oid", "otype", "eid", "ts", "activity")
     many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select(*keys)
-    spread = many.limit(1).count() > 0
+    with lean(rows.sparkSession):
+        spread = many.limit(1).count() > 0
     many = put(many, "hot") if spread else many  # at most one for each ``hot`` events
     few = rows.join(F.broadcast(many), keys, "left_anti") if spread else rows
 

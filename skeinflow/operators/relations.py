@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinflow.sources.scratch import keep, lean
+
 
 def relations_from(events: DataFrame, objects: DataFrame, e2o: DataFrame) -> DataFrame:
     """(eid, activity, ts, oid, otype) for each link of a known event to a known object.
@@ -18,20 +20,40 @@ def relations_from(events: DataFrame, objects: DataFrame, e2o: DataFrame) -> Dat
     return links.join(named, "eid").join(known, "oid").select("eid", "activity", "ts", "oid", "otype")
 
 
-def patterns(relations: DataFrame) -> DataFrame:
-    """(activity, otype, related, divergent, convergent, deficient), one row per pair that occurs.
+#: Rows of an event from which its objects are dealt to many tasks.
+HOT = 200_000
 
-    Sets of objects are compared by size and a 128-bit fingerprint that does not
-    depend on order, so no set is ever gathered in one place.
-    """
-    once = relations.select("eid", "activity", "oid", "otype").distinct()
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """A row for each event and type of its objects: their number and fingerprints, and those of all its objects."""
     parts = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("oid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "oid")).alias("y")]
-    typed = once.groupBy("eid", "activity", "otype").agg(*parts)
+    typed = rows.distinct().groupBy("eid", "activity", "otype").agg(*parts)
     event = Window.partitionBy("eid").orderBy("activity")  # a row for each type of an event's objects
     all_of = event.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = {"wn": F.sum("n").over(all_of), "wx": F.bit_xor("x").over(all_of), "wy": F.bit_xor("y").over(all_of), "before": F.lag("activity").over(event)}
+    return typed.withColumns(whole)
+
+
+def patterns(relations: DataFrame, hot: int | None = None) -> DataFrame:
+    """(activity, otype, related, divergent, convergent, deficient), one row per pair that occurs.
+
+    Sets of objects are compared by size and a 128-bit fingerprint that does not
+    depend on order, so no set is ever gathered in one place.  Rows are dealt by
+    event, once; only those of events with more than ``hot`` rows are dealt by
+    object before their fingerprints are.
+    """
+    rows = relations.select("eid", "activity", "oid", "otype")
+    many = rows.groupBy("eid").agg(F.count("*").alias("_n")).where(F.col("_n") > (HOT if hot is None else hot)).select("eid")
+    with lean(rows.sparkSession):
+        spread = many.limit(1).count() > 0
+    if spread:
+        many = keep(many, "hot")  # at most one for each ``hot`` rows
+        few, many = rows.join(F.broadcast(many), "eid", "left_anti"), rows.join(F.broadcast(many), "eid", "left_semi")
+        typed = _typed(few.repartition("eid")).union(_typed(many))
+    else:
+        typed = _typed(rows.repartition("eid"))
     # numbers only, so that sums are kept in hash tables
-    seen = typed.withColumns(whole).groupBy("activity", "otype", "n", "x", "y").agg(
+    seen = typed.groupBy("activity", "otype", "n", "x", "y").agg(
         F.count("*").alias("events"), F.count_if(~F.col("before").eqNullSafe(F.col("activity"))).alias("firsts"),
         *[f(w).alias(f"{k}_{w}") for w in ("wn", "wx", "wy") for f, k in ((F.min, "low"), (F.max, "high"))],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinflow.operators.order import changed, in_order, running_sums
-from skeinflow.sources.scratch import keep
+from skeinflow.sources.scratch import keep, lean
 
 
 def kept_relations(relations: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def offsets(relations: DataFrame) -> DataFrame:
 
 def presence(relations: DataFrame) -> DataFrame:
     """(activity, objects, share): the share of objects that have the activity."""
-    total = relations.select("oid").distinct().count()
+    with lean(relations.sparkSession):
+        total = relations.select("oid").distinct().count()
     held = relations.select("oid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("objects"))
     return held.select("activity", "objects", (F.col("objects").cast("double") / float(total or 1)).alias("share"))
 

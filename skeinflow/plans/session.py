@@ -18,7 +18,7 @@ from skeinflow.plans.cuts import discover
 from skeinflow.plans.graph import Edges
 from skeinflow.plans.repair import Suggestion, suggest
 from skeinflow.plans.tree import TAU, Node, collapse, descendants, open_flower, relations_of, replace_flowers, replay_greedily, rules
-from skeinflow.sources.scratch import keep
+from skeinflow.sources.scratch import keep, lean
 
 
 @dataclass
@@ -43,7 +43,8 @@ class Session:
         names = {r.activity for r in held.select("activity").distinct().limit(MOST_ACTIVITIES + 1).collect()}
         if len(names) > MOST_ACTIVITIES:
             raise ValueError(f"more than {MOST_ACTIVITIES} activities")
-        kinds = D.endpoints(relations, True).collect()  # at most activities times types
+        with lean(relations.sparkSession):
+            kinds = D.endpoints(relations, True).collect()  # at most activities times types
         steps = keep(D.dfg_by_type(relations), "steps")
         graph = D.drop_activities(D.reduce_noise(D.dfg(relations, held, steps), noise), list(remove))
         edges = {(r.source, r.target): int(r.weight) for r in graph.collect()}
@@ -199,7 +200,8 @@ def f_score(fitness: float, precision: float) -> tuple[float, float, float]:
 
 def known_types(kept: DataFrame) -> dict[str, list[str]]:
     """The activities of each object type; more than ``MOST_ACTIVITIES`` squared pairs are an error."""
-    known = kept.select("otype", "activity").distinct().limit(MOST_ACTIVITIES**2 + 1).collect()
+    with lean(kept.sparkSession):
+        known = kept.select("otype", "activity").distinct().limit(MOST_ACTIVITIES**2 + 1).collect()
     if len(known) > MOST_ACTIVITIES**2:
         raise ValueError(f"more than {MOST_ACTIVITIES**2} pairs of type and activity")
     types: dict[str, list[str]] = {}

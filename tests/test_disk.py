@@ -6,7 +6,9 @@ from pathlib import Path
 import pytest
 
 from skeinflow.operators import forest as N
+from skeinflow.operators.relations import patterns
 from skeinflow.sources.scratch import keep, lean
+from skeinflow.sources.tables import orders
 
 
 def shuffled(spark) -> set[Path]:
@@ -50,3 +52,11 @@ def test_collapse_leaves_no_shuffle_files(spark, key):
         assert out.count() == 1500 and out.where("label = 'flower'").count() == 300
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_patterns_deal_events_once(spark, sf):
+    rel = keep(orders(spark, sf), "relations")
+    plan = patterns(rel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(eid") == 1
+    want = sorted(map(tuple, patterns(rel).collect()))
+    assert want and sorted(map(tuple, patterns(rel, hot=2).collect())) == want  # lines have three rows each, placed orders two
