@@ -8,7 +8,7 @@ import pytest
 
 from skeinflow.queries import oracle_sql, queries
 from skeinflow.sources.ocel import read_log
-from skeinflow.sources.ocel_split import brackets, elements, read_large_log, write_documents
+from skeinflow.sources.ocel_split import _blocks, brackets, elements, read_large_log, write_documents
 
 
 def document(seed, n=300):
@@ -63,6 +63,27 @@ def test_brackets():
     assert [text[i : i + 1] for i in at] == [b"{", b"[", b"]", b"}"] and change.tolist() == [1, 1, -1, -1] and not inside
 
 
+def test_stretches_of_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [("f", 0, "a"), ("f", 0, None), ("f", 9, "é"), ("g", 9, ""), ("g", 9, "x" * (1 << 20)), ("g", 9, "y")]
+    batches = [pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["file", "block", "value"])] * 2
+    got: dict = {}
+    for key, text in _blocks(iter(batches)):
+        assert text.dtype == np.uint8 and text[-1] == ord("}")
+        got.setdefault(key, []).append(text.tobytes())
+    assert {k: b"".join(v) for k, v in got.items()} == {("f", 0): b"a}}" * 2, ("f", 9): "é}".encode() * 2, ("g", 9): (b"}" + b"x" * (1 << 20) + b"}y}") * 2}
+    assert len(got["g", 9]) > 2  # long stretches are cut
+
+
+def test_events_are_parsed_once(spark, tmp_path):
+    (tmp_path / "log.json").write_text(json.dumps(document(3)))
+    found = read_large_log(spark, str(tmp_path))
+    for name in ("events", "objects", "e2o", "o2o", "event_attributes", "object_attributes"):
+        assert "from_json" not in found[name]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents_written(spark, tmp_path):
     at = "timestamp_ntz '2024-01-01 00:00:00.123456'"
     events = spark.sql(f"SELECT 'e' || id AS id, 't' || id % 2 AS type, {at} AS time FROM range(50)")
